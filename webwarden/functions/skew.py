@@ -16,28 +16,25 @@ def lookup_join(rows: DataFrame, dictionary: DataFrame, key: str, count: str, ho
     `count` is the dictionary's column with the number of rows of the key. The `hot` most frequent keys are joined
     by broadcast (at most `hot` dictionary rows, whatever the data's size), all others by a shuffled join. Null
     keys match nothing. The result has the columns of rows, then those of the dictionary without key and count.
+    Both inputs are read twice: give tables or scans, not long plans.
     """
     top = dictionary.orderBy(F.col(count).desc(), F.col(key)).limit(hot)
-    flagged = rows.join(F.broadcast(top.select(F.col(key).alias("_hot_key"))), F.col(key) == F.col("_hot_key"), "left")
     value_cols = [c for c in dictionary.columns if c not in (key, count)]
     out = [*rows.columns, *value_cols]
-    is_hot = flagged.filter(F.col("_hot_key").isNotNull()).drop("_hot_key")
-    rest = flagged.filter(F.col("_hot_key").isNull()).drop("_hot_key")
-    by_broadcast = is_hot.join(F.broadcast(top.drop(count)), key).select(*out)
-    by_shuffle = rest.join(dictionary.drop(count), key).select(*out)
-    return by_broadcast.unionAll(by_shuffle)
+    by_broadcast = rows.join(F.broadcast(top.drop(count)), key).select(*out)
+    rest = rows.join(F.broadcast(top.select(key)), key, "left_anti")
+    return by_broadcast.unionAll(rest.join(dictionary.drop(count), key).select(*out))
 
 
 def salted_rank(rows: DataFrame, key: str, order: list[Column], salt_on: str, salts: int = 32) -> DataFrame:
     """Add `_rank`: 1 for the first row of each key in the given order, else 2 or more.
 
-    Ranked in two steps: within (key, salt), so that no task sorts a whole hot key, then among the at most `salts`
-    leaders of the key. Rows that do not lead their salt keep a rank above 1; only rank 1 is exact, which is what
-    "keep the first" asks for.
+    Ranked in two steps: within (key, salt), so that no task sorts a whole hot key, then the leaders of the salts,
+    at most `salts` of a key, among themselves. Only rank 1 is exact, which is what "keep the first" asks for.
     """
-    w1 = Window.partitionBy(key, "_salt").orderBy(*order)
-    w2 = Window.partitionBy(key).orderBy(*order)
-    local = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts))).withColumn("_local", F.row_number().over(w1))
-    lead = local.filter(F.col("_local") == 1).withColumn("_rank", F.row_number().over(w2))
-    rest = local.filter(F.col("_local") > 1).withColumn("_rank", F.col("_local"))
-    return lead.unionByName(rest).drop("_salt", "_local")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
+    local = salted.withColumn("_local", F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order)))
+    heat = local.withColumn("_heat", F.when(F.col("_local") == 1, -1).otherwise(F.col("_salt")))
+    second = F.row_number().over(Window.partitionBy(key, "_heat").orderBy(*order))
+    ranked = heat.withColumn("_second", second)
+    return ranked.withColumn("_rank", F.when(F.col("_local") == 1, F.col("_second")).otherwise(F.col("_local"))).drop("_salt", "_local", "_heat", "_second")

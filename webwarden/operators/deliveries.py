@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webwarden.functions.skew import lookup_join, salted_rank
+from webwarden.session import materialize
 
 _PREFIX = r"(?i)^sha-?256\s*[:_/=\-]?\s*"
 
@@ -61,24 +62,19 @@ def keyed_deliveries(df: DataFrame, cols: dict[str, str] = CT_COLUMNS, stored: D
     base = _prepared(df, cols)
     if stored is not None:
         base = base.unionAll(_prepared(stored, cols))
+    base = materialize(base, "deliveries")
     named = base.filter(F.col("digest").isNotNull())
     bare = base.filter(F.col("digest").isNull())
-    # One row per link: its first digest, and how many rows ask for it.
-    digest_of = (
-        base.filter(F.col("link").isNotNull())
-        .groupBy("link")
-        .agg(F.min(F.when(F.col("digest").isNotNull(), F.struct("at", "row_id", "digest"))).alias("lead"), F.count_if(F.col("digest").isNull()).alias("asking"))
-        .filter((F.col("asking") > 0) & F.col("lead").isNotNull())
-        .select("link", F.col("lead.digest").alias("linked"), "asking")
-    )
-    found = lookup_join(bare.filter(F.col("link").isNotNull()).select("row_id", "at", "link"), digest_of, "link", "asking")
-    # Rows whose link has no digest are keyed by the link itself; they are those that the lookup does not return.
-    alone = bare.join(digest_of.select("link"), "link", "left_anti")
+    linked = bare.filter(F.col("link").isNotNull()).select("row_id", "at", "link")
+    asked = linked.groupBy("link").agg(F.count(F.lit(1)).alias("asking"))
+    leads = lookup_join(named, asked, "link", "asking").groupBy("link").agg(F.min(F.struct("at", "row_id", "digest")).alias("lead"))
+    keys = asked.join(leads, "link", "left").select("link", "asking", F.coalesce("lead.digest", "link").alias("key"))
+    found = lookup_join(linked, materialize(keys, "links"), "link", "asking")
     own = F.encode(F.concat(F.lit("row:"), F.col("row_id").cast("string")), "utf-8")
     return (
         named.select("row_id", "at", F.col("digest").alias("key"))
-        .unionAll(found.select("row_id", "at", F.col("linked").alias("key")))
-        .unionAll(alone.select("row_id", "at", F.coalesce(F.col("link"), own).alias("key")))
+        .unionAll(found.select("row_id", "at", "key"))
+        .unionAll(bare.filter(F.col("link").isNull()).select("row_id", "at", own.alias("key")))
     )
 
 
@@ -90,7 +86,7 @@ def split_by_frequency(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ranked_repeats(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
     """The rows of repeated messages with `_rank`, 1 for the first by time, then by id (null times last)."""
-    rows = lookup_join(keyed, repeated, "key", "copies")
+    rows = lookup_join(keyed, materialize(repeated, "repeated"), "key", "copies")
     return salted_rank(rows, "key", [F.col("at").asc_nulls_last(), F.col("row_id")], "row_id")
 
 
