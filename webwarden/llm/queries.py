@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webwarden.llm import packing, spam, tokens
+from webwarden.llm import lookalikes, packing, spam, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def all_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexical = lookalikes.host_values(table(spark, sf_dir, "lexical_features"), "lexical_features.raw_domain", "feature_id", "raw_domain")
+    ct = lookalikes.host_values(table(spark, sf_dir, "ct_events"), "ct_events.domain", "delivery_id", "domain")
+    stream = lookalikes.host_values(table(spark, sf_dir, "certstream_events"), "certstream_events.san_list", "event_id", "san_list")
+    return lexical.unionAll(ct).unionAll(stream)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.consistent_hosts(all_hosts(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents"), "byte_bpe_50k")
 
@@ -31,5 +42,5 @@ def p9_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_containers, p8_fill, p9_found, p9_measures)}
+QUERIES = {f.__name__: f for f in (p2_found, p7_ids, p8_containers, p8_fill, p9_found, p9_measures)}
 SQL: dict[str, str] = {}
