@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webwarden.llm import lookalikes, packing, spam, tokens
+from webwarden.llm import lookalikes, packing, residue, spam, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.consistent_hosts(all_hosts(spark, sf_dir))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = residue.residual_pages(table(spark, sf_dir, "page_captures")).filter("is_residue").select(F.lit("page_captures.dom_html").alias("field_name"), "row_id")
+    types = residue.residual_types(table(spark, sf_dir, "cloaking_results")).select(F.lit("cloaking_results.interstitial_type").alias("field_name"), "row_id")
+    return pages.unionAll(types)
+
+
+def p3_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residual_pages(table(spark, sf_dir, "page_captures"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents"), "byte_bpe_50k")
 
@@ -42,5 +53,5 @@ def p9_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p7_ids, p8_containers, p8_fill, p9_found, p9_measures)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_measures, p7_ids, p8_containers, p8_fill, p9_found, p9_measures)}
 SQL: dict[str, str] = {}
