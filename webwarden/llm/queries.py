@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webwarden.llm import lookalikes, packing, residue, spam, tokens
+from webwarden.llm import lookalikes, nearcopies, packing, residue, spam, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,15 @@ def p3_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residual_pages(table(spark, sf_dir, "page_captures"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = nearcopies.NearCopies(table(spark, sf_dir, "page_captures"), "capture_id", "dom_html")
+    return near.pairs().select(F.col("id_a").alias("capture_id_a"), F.col("id_b").alias("capture_id_b"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.NearCopies(table(spark, sf_dir, "page_captures"), "capture_id", "dom_html").groups().withColumnRenamed("id", "capture_id")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents"), "byte_bpe_50k")
 
@@ -53,5 +62,5 @@ def p9_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_measures, p7_ids, p8_containers, p8_fill, p9_found, p9_measures)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_measures, p5_found, p5_groups, p7_ids, p8_containers, p8_fill, p9_found, p9_measures)}
 SQL: dict[str, str] = {}

@@ -15,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webwarden.session import materialize
@@ -152,13 +152,12 @@ def judged(measures: DataFrame) -> DataFrame:
     words = F.aggregate("seg_words", F.lit(0), lambda a, x: a + x)
     share = F.aggregate("seg_function", F.lit(0), lambda a, x: a + x) / words
     has = measures.filter(F.size("seg_words") > 0)
-    usual = has.groupBy("lang").agg(F.percentile_approx(share, 0.5).alias("usual"))
-    everywhere = has.agg(F.percentile_approx(share, 0.5).alias("usual_all"))
-    rated = has.join(F.broadcast(usual), "lang", "left").join(F.broadcast(everywhere))
-    floor = USUAL_PART * F.when(F.col("lang") == "und", F.col("usual_all")).otherwise(F.greatest("usual", F.col("usual_all") * 0.5))
-    rated = rated.withColumn("need", floor)
+    # A row per language; "und", the texts without any function word, is held to the mean of the languages.
+    named = F.when(F.col("lang") != "und", F.col("median"))
+    medians = has.groupBy("lang").agg(F.percentile_approx(share, 0.5).alias("median"))
+    usual = medians.select("lang", F.coalesce(named, F.avg(named).over(Window.partitionBy(F.lit(0))), F.lit(0.0)).alias("usual"))
+    rated = has.join(F.broadcast(usual), "lang").withColumn("need", USUAL_PART * F.col("usual"))
     pairs = F.arrays_zip("seg_words", "seg_function")
-    # The lambda must see the threshold as part of the element, so it is carried by the comparison itself.
     running = F.aggregate(pairs, F.lit(0), lambda a, p: a + F.when((p["seg_words"] >= MIN_WORDS) & (p["seg_function"] >= F.col("need") * p["seg_words"]), p["seg_words"]).otherwise(0))
     rated = rated.withColumn("total", words + F.col("neutral")).withColumn("stuffed", words - running)
     clean = rated.filter(F.col("stuffed") < 0.2 * F.col("total"))
