@@ -15,7 +15,11 @@ _AGENTS = ["Mozilla/5.0", "sqlmap/1.7", "Mozilla/5.0 (X11)", "curl/8.0", "Nikto/
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line_no, line): a line in the combined format for each event; every 97th is malformed, every 13th sizeless."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spelt(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def spelt(e: DataFrame) -> DataFrame:
+    """The log lines of a table or stream of events."""
     pick = lambda items, by: F.element_at(F.array(*[F.lit(x) for x in items]), (F.col("event_id") % by + 1).cast("int"))
     kind = F.col("event_type")
     p = pick(_PAYLOADS, 11)
