@@ -42,7 +42,10 @@ _DIGITS = re.compile(r"\d+")
 _SHAPE = re.compile(r"[^\W\d_]+")
 _HOST = re.compile(r"(?i)\b(?:hxxps?://)?[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![a-z0-9])")
 _SETS = [frozenset(FUNCTION_WORDS[k]) for k in LANGUAGES]
-_LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
+_ALL = frozenset().union(*_SETS)
+_TOKEN = re.compile(r"[^\W_]\S*")
+#: Words that sort before this are in Latin letters.
+_LATIN_END = "ɐ"
 MEASURES = ["top_word", "repeated_trigrams", "repeated_lines", "link_share", "separators"]
 
 #: A segment is running text if it has at least this many words and this part of its language's usual share of
@@ -80,17 +83,19 @@ def measured(text: str, declared: str | None) -> tuple:
     have the words and function words of each segment; links and hosts count as one word each.
     """
     counts: list[int] = []
-    hits: list[list[int]] = []
+    spoken: list[list[str]] = []
     words: list[str] = []
-    shapes: Counter = Counter()
+    shapes: set[str] = set()
     neutral = links = separators = tokens = 0
     for part, aside in segments(text):
         if aside:
-            neutral += sum(1 for t in part.split() if any(map(str.isalnum, t)))
+            neutral += len(_TOKEN.findall(part))
             continue
-        body, found = _LINK.subn(" ", _CLOSING.sub(" ", part))
-        body, hosts = _HOST.subn(" ", body)
-        own = [t for t in body.split() if any(map(str.isalnum, t))]
+        body, found, hosts = part, 0, 0
+        if "." in part[:-1] or "[" in part or "<" in part or "/" in part:
+            body, found = _LINK.subn(" ", _CLOSING.sub(" ", part))
+            body, hosts = _HOST.subn(" ", body)
+        own = _TOKEN.findall(body)
         if len(own) == 1 and not found and _BLOB.match(own[0]):
             neutral += 1
             continue
@@ -99,25 +104,25 @@ def measured(text: str, declared: str | None) -> tuple:
         if not n:
             continue
         counts.append(n)
-        hits.append([sum(map(s.__contains__, w)) for s in _SETS])
+        spoken.append(w)
         tokens += n
         links += found + hosts * (len(w) < MIN_WORDS)
         separators += len(_SEPARATOR.findall(part.strip())) - (1 if part.lstrip()[:1] == "#" else 0)
         words += w
-        shapes[_DIGITS.sub("0", _SHAPE.sub("w", body.strip()))] += 1
-    total = [sum(h[k] for h in hits) for k in range(len(LANGUAGES))]
+        shapes.add(_DIGITS.sub("0", _SHAPE.sub("w", body.strip())))
+    seen = Counter(words)
+    total = [sum(map(seen.__getitem__, s)) for s in _SETS]
     if any(total):
         k = max(range(len(LANGUAGES)), key=total.__getitem__)
-        lang, function = LANGUAGES[k], [h[k] for h in hits]
+        has = _SETS[k].__contains__
+        lang, function = LANGUAGES[k], [sum(map(has, w)) for w in spoken]
     else:
         code = (declared or "").strip().lower()[:2]
         lang, function = code if code in FUNCTION_WORDS else "und", [0] * len(counts)
-    trigrams = Counter(zip(words, words[1:], words[2:]))
-    plain = Counter(w for w in words if not any(w in s for s in _SETS))
-    top = max(plain.values(), default=0) / max(1, len(words))
-    repeats = 1 - len(trigrams) / max(1, len(words) - 2) if len(words) > 2 else 0.0
+    top = max((n for w, n in seen.items() if w not in _ALL), default=0) / max(1, len(words))
+    repeats = 1 - len(set(zip(words, words[1:], words[2:]))) / (len(words) - 2) if len(words) > 2 else 0.0
     lines = 1 - len(shapes) / max(1, len(counts))
-    latin = sum(1 for x in words if _LATIN.match(x))
+    latin = sum(map(_LATIN_END.__gt__, words))
     return lang, counts, function, neutral, latin, top, repeats, lines, links / max(1, tokens), max(0, separators) / max(1, tokens)
 
 
