@@ -72,12 +72,22 @@ def test_groups_and_empty(spark):
 def test_allocation_is_optimal(groups, data):
     costs = [np.cumsum(sorted(g)).astype(float) for g in groups]
     units = data.draw(st.integers(1, sum(map(len, groups))))
-    taken = m.allocate(costs, units)
     price = lambda ts: sum(c[t - 1] for c, t in zip(costs, ts) if t)
-    assert sum(taken) == units
+    for taken in m.allocate([costs, costs[:1] + costs], [units, units]):
+        assert sum(taken) == units
+    taken = m.allocate([costs, costs[:1]], [units, 1])[0]
     assert price(taken) == min(price(ts) for ts in itertools.product(*[range(len(c) + 1) for c in costs]) if sum(ts) == units)
 
 
+def test_probes_are_enough_for_pages_of_any_length():
+    rnd = np.random.default_rng(1)
+    pages = [(rnd.integers(0, 40, n), rnd.integers(0, 4, n)) for n in (1, 5, 60, 200, 3000)]
+    for (_, others), places in zip(pages, m.chosen_probes(pages, 0.6)):
+        k, w = m.probe_budget(len(others), 0.6)
+        assert len(set(places.tolist())) == len(places) == max(0, k + w - int((others == 0).sum()))
+        assert (others[places] > 0).all()
+
+
 def test_budget_covers_every_similar_page():
     for a in range(1, 120):
         k, w = m.probe_budget(a, 0.6)

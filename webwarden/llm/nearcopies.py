@@ -12,11 +12,13 @@ with enough hits are verified on the exact sets. Exact copies are one page throu
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from hashlib import blake2b, md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webwarden.functions.skew import lookup_join
@@ -32,29 +34,73 @@ SPARE_PROBES = 0.12
 GROUP_OVERLAP = 0.5
 
 
-def page_words(markup: Column) -> Column:
+_COMMENT = re.compile(r"(?s)<!--.*?-->")
+_DROPPED = re.compile(r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>")
+_TAG = re.compile(r"<[^>]*>")
+_WORD = re.compile(r"[^\W_]+")
+#: Word hashes that a process remembers before it starts afresh.
+_HASH_CACHE = 500_000
+# Odd multipliers that mix the hashes of a sequence's words by their place.
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
+
+
+def page_words(markup: str) -> list[str]:
     """The words of a page, in lower case: runs of letters and digits once comments, script and style elements are
     dropped and every other tag is replaced by a space."""
-    text = F.regexp_replace(markup, r"(?s)<!--.*?-->", "")
-    text = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
-    text = F.regexp_replace(text, r"<[^>]*>", " ")
-    return F.transform(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)")), F.lower)
+    return list(map(str.lower, _WORD.findall(_TAG.sub(" ", _DROPPED.sub("", _COMMENT.sub("", markup))))))
+
+
+class WordHashes(dict):
+    """64-bit hash of each word, kept for the next time."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > _HASH_CACHE:
+            self.clear()
+        value = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return value
+
+
+def sequence_bits(words: list[str], hashes: WordHashes, sequence: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, anchors) of the distinct word sequences, sorted: each sequence's 64-bit hash, and the least hash of its
+    words, which the sequences around one word share."""
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    n = len(h) - sequence + 1
+    mixed = np.zeros(n, np.uint64)
+    anchor = h[:n].copy()
+    for j in range(sequence):
+        part = h[j : j + n] * np.uint64(_MIX[j % len(_MIX)])
+        mixed ^= part ^ (part >> np.uint64(29))
+        mixed *= np.uint64(_MIX[-1])
+        np.minimum(anchor, h[j : j + n], out=anchor)
+    bits, first = np.unique((mixed ^ (mixed >> np.uint64(32))).view(np.int64), return_index=True)
+    return bits, anchor[first].view(np.int64)
+
+
+_SETS = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("bits", pa.list_(pa.int64())), ("anchors", pa.list_(pa.int64())), ("content", pa.binary())])
 
 
 def sequence_sets(df: DataFrame, id_col: str, markup_col: str, sequence: int = SEQUENCE, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, size, bits, anchors, content) of the rows with at least `least_words` words: the distinct sequences as 64-bit
-    hashes, the least word hash of each as its anchor, and a digest of the whole set."""
-    words = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), page_words(F.col(f"`{markup_col}`")).alias("words")).filter(F.size("words") >= max(least_words, sequence))
-    hashed = words.select("id", F.transform(F.array("words"), lambda w: F.struct(w.alias("w"), F.transform(w, lambda x: F.xxhash64(x)).alias("h")))[0].alias("s"))
-    at = F.sequence(F.lit(0), F.size("s.w") - sequence)
+    """(id, size, bits, anchors, content) of the rows with at least `least_words` words: the distinct sequences as
+    hashes with their anchors, and a digest of the whole set. Whole texts, one pass in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            ids, kept, bits, anchors, digests = b.column(0).to_pylist(), [], [], [], []
+            for rid, markup in zip(ids, b.column(1).to_pylist()):
+                words = page_words(markup)
+                if len(words) >= max(least_words, sequence):
+                    own, anchor = sequence_bits(words, hashes, sequence)
+                    kept.append(rid), bits.append(own), anchors.append(anchor), digests.append(md5(own.tobytes()).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(map(len, bits), pa.int32()), _lists(bits), _lists(anchors), pa.array(digests, pa.binary())], schema=_SETS)
 
-    def bit(i: Column) -> Column:
-        part = [F.col("s.h")[i + j] for j in range(sequence)]
-        return F.struct(F.xxhash64(*part).alias("bit"), F.least(*part).alias("anchor"))
+    source = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{markup_col}`").alias("m")).filter(F.length("m") > 0)
+    return source.mapInArrow(run, "id bigint, size int, bits array<bigint>, anchors array<bigint>, content binary")
 
-    bits = hashed.select("id", F.array_distinct(F.transform(at, bit)).alias("b"))
-    sets = bits.select("id", F.size("b").alias("size"), F.col("b.bit").alias("bits"), F.col("b.anchor").alias("anchors"))
-    return sets.withColumn("content", F.unhex(F.md5(F.array_join(F.array_sort("bits").cast("array<string>"), ","))))
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]) if parts else np.zeros(1)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
 
 
 def required_overlap(size_a: int, size_b: int, similarity: float) -> int:
@@ -68,47 +114,90 @@ def probe_budget(size: int, similarity: float) -> tuple[int, int]:
     return k, max(1, min(size - k, int(SPARE_PROBES * size)))
 
 
-def allocate(costs: list[np.ndarray], units: int) -> list[int]:
-    """T_i + 1 of each group such that they sum to `units` and the cost is least: a dynamic program over the groups.
+def allocate(pages: list[list[np.ndarray]], units: list[int]) -> list[list[int]]:
+    """For each page, T_i + 1 of each group such that they sum to the page's units and the cost is least.
 
-    costs[i][u - 1] estimates the candidates when u bits of group i are probed.
+    pages[p][i][u - 1] estimates the candidates when u bits of group i are probed. One dynamic program over the groups
+    runs for all pages together: its row g, u is a whole-array step.
     """
-    best = np.full(units + 1, np.inf)
-    best[0] = 0.0
-    choices = np.zeros((len(costs), units + 1), np.int16)
-    for g, cost in enumerate(costs):
-        after = best.copy()
-        chosen = choices[g]
-        for u in range(1, min(len(cost), units) + 1):
-            tried = best[:-u] + cost[u - 1]
-            better = tried < after[u:]
-            after[u:][better] = tried[better]
-            chosen[u:][better] = u
+    most, deep = max(units), max(map(len, pages))
+    wide = max(len(c) for costs in pages for c in costs)
+    table = np.full((deep, wide, len(pages), 1), np.inf)
+    for p, costs in enumerate(pages):
+        for g, c in enumerate(costs):
+            table[g, : len(c), p, 0] = c
+    best = np.full((len(pages), most + 1), np.inf)
+    best[:, 0] = 0.0
+    choices = np.zeros((deep, len(pages), most + 1), np.int16)
+    for g in range(deep):
+        after, chosen = best.copy(), choices[g]
+        for u in range(1, min(wide, most) + 1):
+            cost = table[g, u - 1]
+            if not np.isfinite(cost).any():
+                break
+            tried = best[:, :-u] + cost
+            better = tried < after[:, u:]
+            after[:, u:][better] = tried[better]
+            chosen[:, u:][better] = u
         best = after
-    out, left = [0] * len(costs), units
-    for g in range(len(costs) - 1, -1, -1):
-        out[g] = int(choices[g][left])
-        left -= out[g]
+    out = []
+    for p, costs in enumerate(pages):
+        taken, left = [0] * len(costs), units[p]
+        for g in range(len(costs) - 1, -1, -1):
+            taken[g] = int(choices[g, p, left])
+            left -= taken[g]
+        out.append(taken)
     return out
 
 
-def chosen_probes(bits: np.ndarray, anchors: np.ndarray, others: np.ndarray, units: int) -> np.ndarray:
-    """The bits to probe. `others` estimates how many other pages have each bit; bits that certainly no other page
-    has fill units at no cost and are not sent anywhere."""
-    free = int((others == 0).sum())
-    units -= free
-    if units <= 0:
-        return bits[:0]
+#: Pages whose thresholds are found together, and the size of a program beyond which a page's bits are taken as
+#: uncorrelated: then the cheapest bits are best and no program is needed. The bound holds either way.
+TOGETHER, PROGRAM_CELLS = 128, 400_000
+
+
+def grouped_costs(anchors: np.ndarray, others: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(groups, costs) of the bits that other pages may have: their places by anchor, cheapest first. All groups of
+    one bit are offered as one, since of them the cheapest are always best."""
     order = np.lexsort((others, anchors))
     order = order[others[order] > 0]
-    edges = np.flatnonzero(np.diff(anchors[order])) + 1
-    groups = np.split(order, edges)
-    costs = []
-    for g in groups:
+    named = anchors[order]
+    starts = np.flatnonzero(np.concatenate([[True], named[1:] != named[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(order)]]))
+    lone = order[starts[sizes == 1]]
+    lone = lone[np.argsort(others[lone], kind="stable")]
+    groups = [lone] if len(lone) else []
+    costs = [np.cumsum(others[lone]).astype(float)] if len(lone) else []
+    for a, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+        g = order[a : a + n]
         c = others[g].astype(float)
+        groups.append(g)
         costs.append(c + GROUP_OVERLAP * (np.cumsum(c) - c))
-    taken = allocate(costs, units)
-    return bits[np.concatenate([g[:u] for g, u in zip(groups, taken)])]
+    return groups, costs
+
+
+def chosen_probes(pages: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> list[np.ndarray]:
+    """The places of the bits to probe of each page, from (anchors, others). `others` estimates how many other pages
+    have each bit; bits that certainly no other page has fill units at no cost and are not sent anywhere."""
+    found: list[np.ndarray] = [np.empty(0, np.int64)] * len(pages)
+    waiting = []
+    for p, (anchors, others) in enumerate(pages):
+        k, w = probe_budget(len(others), similarity)
+        units = k + w - int((others == 0).sum())
+        if units <= 0:
+            continue
+        if len(others) * units > PROGRAM_CELLS:
+            order = np.argsort(others, kind="stable")
+            found[p] = order[others[order] > 0][:units]
+        else:
+            waiting.append((units, p, *grouped_costs(anchors, others)))
+    waiting.sort(key=lambda x: (x[0], len(x[2])))
+    for at in range(0, len(waiting), TOGETHER):
+        part = waiting[at : at + TOGETHER]
+        # The lone bits' curve is long: it is cut to the units that a page can spend.
+        taken = allocate([[c[:units] for c in costs] for units, _, _, costs in part], [x[0] for x in part])
+        for (_, p, groups, _), t in zip(part, taken):
+            found[p] = np.concatenate([g[:u] for g, u in zip(groups, t)])
+    return found
 
 
 def frequency_counters(sets: DataFrame, bits: int = COUNTER_BITS) -> np.ndarray:
@@ -132,28 +221,19 @@ def probe_rows(sets: DataFrame, counters, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for b in batches:
-            ids, bits, anchors = b.column(0).to_pylist(), b.column(1), b.column(2)
-            for i, rid in enumerate(ids):
-                own, anchor = bits[i].values.to_numpy(), anchors[i].values.to_numpy()
-                others = table[own & mask].astype(np.int64) - 1
-                k, w = probe_budget(len(own), similarity)
-                probed = chosen_probes(own, anchor, others, k + w)
-                kept = own[others > 0]
-                n = len(kept)
-                yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(np.full(n, rid)), pa.array(np.full(n, len(own), np.int32)), pa.array(np.isin(kept, probed))], schema=_ROLE)
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for b in run(batches):
-            held.append(b)
-            rows += b.num_rows
-            if rows > 200_000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, rows = [], 0
-        if rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    return sets.select("id", "bits", "anchors").mapInArrow(joined, "bit bigint, id bigint, size int, is_probe boolean")
+            ids, sizes = b.column(0).to_numpy(), np.diff(b.column(1).offsets.to_numpy())
+            bits, anchors = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
+            others = table[bits & mask].astype(np.int64) - 1
+            probed = np.zeros(len(bits), bool)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            pages = [(anchors[x:y], others[x:y]) for x, y in zip(ends, ends[1:])]
+            for at, places in zip(ends, chosen_probes(pages, similarity)):
+                probed[at + places] = True
+            kept = others > 0
+            owner = np.repeat(np.arange(len(ids)), sizes)[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(bits[kept]), pa.array(ids[owner]), pa.array(sizes[owner].astype(np.int32)), pa.array(probed[kept])], schema=_ROLE)
+
+    return sets.select("id", "bits", "anchors").mapInArrow(run, "bit bigint, id bigint, size int, is_probe boolean")
 
 
 def similar_representatives(sets: DataFrame, similarity: float) -> DataFrame:
