@@ -29,7 +29,7 @@ SIMILARITY, SEQUENCE, LEAST_WORDS = 0.6, 3, 60
 #: Counters of the frequency estimates, a fixed 8 MB that is sent by broadcast; two sequences may share a counter.
 COUNTER_BITS = 22
 #: The part of the bits by which probes exceed what the bound needs, so that candidates need several hits.
-SPARE_PROBES = 0.12
+SPARE_PROBES = 0.03
 #: How much a further probe of one group adds to its estimate: correlated bits find mostly the same pages.
 GROUP_OVERLAP = 0.5
 
