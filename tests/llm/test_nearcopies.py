@@ -106,3 +106,13 @@ def test_connected(spark):
         for a, b in edges:
             want[a] = want[b] = min(want[a], want[b])
     assert got == want
+
+
+def test_long_broken_markup_is_quick():
+    import time
+
+    start = time.time()
+    for text in ("<" * 300_000, "<!--" * 100_000, "<b " * 100_000, "<script>" * 3_000 + " a", "a" * 300_000, "<p>" + "w " * 200_000):
+        assert m.page_words(text) is not None
+    assert time.time() - start < 20
+    assert m.page_words("a<!-- x -->b <p>c</p> <d <!-- e") == ["ab", "c", "d", "e"]

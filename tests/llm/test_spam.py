@@ -42,3 +42,12 @@ def test_long_and_repeated_rows(spark):
 def test_segments_mark_what_is_neutral():
     parts = list(m.segments("One. Two!\n" + LOG + "```\ncode\n```\nhxxp://a.test\n\nThree"))
     assert [n for _, n in parts] == [False, False, True, True, True, False]
+
+
+def test_long_odd_texts_are_quick():
+    import time
+
+    start = time.time()
+    for text in ("a-" * 100_000 + ". b", "a." * 100_000, "x" * 300_000, "| " * 100_000, "https://" * 40_000, "[url=" * 50_000 + ".", ". " * 100_000):
+        assert m.measured(text, None) is not None
+    assert time.time() - start < 20

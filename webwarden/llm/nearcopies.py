@@ -44,10 +44,18 @@ _HASH_CACHE = 500_000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 
 
+def _replaced(pattern: re.Pattern, by: str, text: str, closer: str) -> str:
+    """pattern.sub, tried only as far as the last closer: what is opened after it never matches, and trying it at
+    every opening would take time in the square of a long text."""
+    end = text.rfind(closer) + len(closer)
+    return pattern.sub(by, text[:end]) + text[end:] if end >= len(closer) else text
+
+
 def page_words(markup: str) -> list[str]:
     """The words of a page, in lower case: runs of letters and digits once comments, script and style elements are
     dropped and every other tag is replaced by a space."""
-    return list(map(str.lower, _WORD.findall(_TAG.sub(" ", _DROPPED.sub("", _COMMENT.sub("", markup))))))
+    text = _replaced(_DROPPED, "", _replaced(_COMMENT, "", markup, "-->"), ">")
+    return list(map(str.lower, _WORD.findall(_replaced(_TAG, " ", text, ">"))))
 
 
 class WordHashes(dict):

@@ -29,7 +29,7 @@ FUNCTION_WORDS = {
 }
 LANGUAGES = sorted(FUNCTION_WORDS)
 _WORD = re.compile(r"[^\W\d_]+")
-_LINK = re.compile(r"(?i)\b(?:https?|ftp)://\S+|\bwww\.\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/\S*|\[url[^\]]*\]|<a\s[^>]*>")
+_LINK = re.compile(r"(?i)\b(?:https?|ftp)://\S+|\bwww\.\S+|(?<![\w.-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/\S*|\[url[^\]]*\]|<a\s[^>]*>")
 _CLOSING = re.compile(r"(?i)\[/url\]|</a>")
 _END = re.compile(r"(?<=[.!?])\s+")
 _LOG = re.compile(r'^\s*\S+ \S+ \S+ \[[^\]]*\] "|^\s*\d{4}-\d\d-\d\d[T ]\d\d:\d\d')
@@ -40,7 +40,7 @@ _BLOB = re.compile(r"^(?:0x[0-9a-fA-F]+|[0-9a-fA-F]{16,}|[A-Za-z0-9+/]{40,}={0,2
 
 _DIGITS = re.compile(r"\d+")
 _SHAPE = re.compile(r"[^\W\d_]+")
-_HOST = re.compile(r"(?i)\b(?:hxxps?://)?[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![a-z0-9])")
+_HOST = re.compile(r"(?i)(?<![\w.-])(?:hxxps?://)?[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![a-z0-9])")
 _SETS = [frozenset(FUNCTION_WORDS[k]) for k in LANGUAGES]
 _ALL = frozenset().union(*_SETS)
 _TOKEN = re.compile(r"[^\W_]\S*")
