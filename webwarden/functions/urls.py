@@ -6,7 +6,7 @@ give null or zero features and never fail.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -54,24 +54,31 @@ def query(url: Column) -> Column:
     return F.regexp_extract(F.trim(url), r"^[^?#]*\?([^#]*)", 1)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: written out, each use would repeat its expression, and expressions
+    that build on each other would grow with every step."""
+    return F.transform(F.array(value), use)[0]
+
+
 def suffix(name: Column) -> Column:
     """Public suffix by rule: the last label, with the one before it if registries sell under that; '' for bare
     names and addresses."""
     two = F.regexp_extract(name, rf"\.((?:{'|'.join(SECOND_LEVEL)})\.[^.]+)$", 1)
-    one = F.regexp_extract(name, r"\.([^.]+)$", 1)
-    return F.when(is_ipv4(name), "").when(two != "", two).otherwise(one)
+    return F.when(is_ipv4(name), "").otherwise(bound(two, lambda t: F.when(t != "", t).otherwise(F.regexp_extract(name, r"\.([^.]+)$", 1))))
 
 
 def registered(name: Column) -> Column:
     """Suffix and the label before it; the name itself where there is no suffix."""
-    s = suffix(name)
-    rest = F.when(s == "", name).otherwise(F.substring(name, F.lit(1), F.length(name) - F.length(s) - 1))
-    return F.when((s == "") | is_ipv4(name), name).otherwise(F.concat(F.regexp_extract(rest, r"([^.]*)$", 1), F.lit("."), s))
+
+    def joined(s: Column) -> Column:
+        rest = F.substring(name, F.lit(1), F.length(name) - F.length(s) - 1)
+        return F.when(s == "", name).otherwise(F.concat(F.regexp_extract(rest, r"([^.]*)$", 1), F.lit("."), s))
+
+    return bound(suffix(name), joined)
 
 
 def subdomain(name: Column) -> Column:
-    r = registered(name)
-    return F.when(F.length(name) > F.length(r), F.substring(name, F.lit(1), F.length(name) - F.length(r) - 1)).otherwise("")
+    return bound(registered(name), lambda r: F.when(F.length(name) > F.length(r), F.substring(name, F.lit(1), F.length(name) - F.length(r) - 1)).otherwise(""))
 
 
 def is_ipv4(text: Column) -> Column:
@@ -94,18 +101,21 @@ def characters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)(.)"))
 
 
-def entropy_of(items: Column) -> Column:
-    """Shannon entropy, in bits, of the elements of an array; 0 for an empty one."""
+def _entropy_of_parts(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0.0), lambda a, p: a - p * F.log2(p)) + F.lit(0.0)
 
-    def total(xs: Column) -> Column:
-        n = F.size(xs).cast("double")
-        return F.aggregate(F.array_distinct(xs), F.lit(0.0), lambda a, c: a - (F.size(F.filter(xs, lambda x: x == c)) / n) * F.log2(F.size(F.filter(xs, lambda x: x == c)) / n))
 
-    return F.when(F.size(items) > 0, total(items) + F.lit(0.0)).otherwise(F.lit(0.0))
+def entropy_of(items: Column) -> Column:
+    """Shannon entropy, in bits, of the elements of an array; 0 for an empty one."""
+    parts = lambda xs: F.transform(F.array_distinct(xs), lambda c: F.size(F.filter(xs, lambda x: x == c)) / F.size(xs))
+    return F.when(F.size(items) > 0, _entropy_of_parts(bound(items, parts))).otherwise(F.lit(0.0))
 
 
 def entropy(text: Column) -> Column:
-    return entropy_of(characters(F.coalesce(text, F.lit(""))))
+    """Shannon entropy of a text's characters: each distinct one is counted by what its removal takes away."""
+    t = F.coalesce(text, F.lit(""))
+    parts = lambda x: F.transform(F.array_distinct(characters(x)), lambda c: (F.length(x) - F.length(F.replace(x, c, F.lit("")))) / F.length(x))
+    return F.when(F.length(t) > 0, _entropy_of_parts(bound(t, parts))).otherwise(F.lit(0.0))
 
 
 def bigram_entropy(text: Column) -> Column:
@@ -134,10 +144,9 @@ def nlp_risk(url: Column) -> Column:
 def brand_tokens(name: Column) -> Column:
     """The parts of a host that may spell a brand: domain body, subdomain, their pieces, and the whole host."""
     n = F.lower(name)
-    body = F.split_part(registered(n), F.lit("."), F.lit(1))
-    sub = subdomain(n)
-    parts = F.concat(F.array(body), F.split(body, "[-._0-9]"), F.array(sub), F.split(sub, "[-._0-9]"), F.array(n))
-    return F.array_distinct(F.filter(parts, lambda t: t != ""))
+    base = F.struct(n.alias("n"), F.split_part(registered(n), F.lit("."), F.lit(1)).alias("body"), subdomain(n).alias("sub"))
+    pieces = lambda b: F.concat(F.array(b["body"]), F.split(b["body"], "[-._0-9]"), F.array(b["sub"]), F.split(b["sub"], "[-._0-9]"), F.array(b["n"]))
+    return F.array_distinct(F.filter(bound(base, pieces), lambda t: t != ""))
 
 
 def nearest_brand(tokens: Column, brands: Sequence[str]) -> Column:
@@ -150,7 +159,8 @@ def nearest_brand(tokens: Column, brands: Sequence[str]) -> Column:
         sim = 1 - d / F.greatest(F.length(t), F.length(b["brand"]))
         return F.struct(d.alias("distance"), (-sim).alias("minus"), b["ord"].alias("ord"), b["brand"].alias("brand"))
 
-    best = F.array_min(F.flatten(F.transform(items, lambda b: F.transform(tokens, lambda t: one(t, b)))))
+    # The outer lambda binds the tokens once; they would else be cut again for each brand.
+    best = F.transform(F.array(tokens), lambda ts: F.array_min(F.flatten(F.transform(items, lambda b: F.transform(ts, lambda t: one(t, b))))))[0]
 
     def kept(x: Column) -> Column:
         far = (x["minus"] > -0.6) & (x["distance"] > 2)
@@ -165,22 +175,29 @@ def nearest_brand(tokens: Column, brands: Sequence[str]) -> Column:
 
 def lexical_score(name: Column, near: Column, canonical: Column, url: Column) -> Column:
     """Composite score in [0, 1] of a host (lower case) with its nearest brand."""
-    sub, brand = subdomain(name), near["brand"]
-    known = brand != ""
-    risky = F.element_at(F.split(suffix(name), r"\."), -1).isin(RISKY_TLDS)
-    exact = known & (near["distance"] == 0)
-    levels = F.when(sub == "", 0).otherwise(F.size(F.split(sub, r"\.")))
-    hyphen = F.contains(name, F.lit("-"))
-    masks = known & (F.contains(sub, F.concat(brand, F.lit("."))) | F.startswith(sub, F.concat(brand, F.lit("-"))) | F.endswith(sub, F.concat(F.lit("-"), brand)))
-    add = lambda cond, v: F.when(cond, v).otherwise(0.0)
-    near_miss = ~exact & near["distance"].between(1, 2) & (F.length(brand) >= 3)
-    loose = ~exact & ~near_miss & near["distance"].between(3, 4) & (near["similarity"] >= 0.6)
-    digits = F.length(F.regexp_replace(name, "[^0-9]", "")) / F.greatest(F.lit(1), F.length(name))
-    total = (
-        add(masks, 0.70) + add(exact, 0.55) + add(exact & risky, 0.20) + add(exact & (hyphen | (levels > 0)), 0.15) + add(near_miss, 0.60) + add(near_miss & risky, 0.20) + add(loose, 0.35)
-        + add(F.contains(F.lower(url), F.lit("xn--")), 0.50) + add(risky, 0.25) + add(is_ip(name), 0.55) + add(entropy(name) > 3.8, 0.15) + add(hyphen & ~exact, 0.10) + add(levels >= 2, 0.15) + add(digits > 0.15, 0.15)
+    parts = F.struct(
+        name.alias("name"), subdomain(name).alias("sub"), F.element_at(F.split(suffix(name), r"\."), -1).isin(RISKY_TLDS).alias("risky"), entropy(name).alias("entropy"), near["brand"].alias("brand"), near["distance"].alias("distance"), near["similarity"].alias("similarity"),
+        is_ip(name).alias("is_ip"), F.contains(F.lower(url), F.lit("xn--")).alias("puny"),
     )
-    return F.when(canonical, 0.02).otherwise(F.round(F.least(F.lit(1.0), total), 4))
+    add = lambda cond, v: F.when(cond, v).otherwise(0.0)
+
+    def total(p: Column) -> Column:
+        sub, brand, risky = p["sub"], p["brand"], p["risky"]
+        known = brand != ""
+        exact = known & (p["distance"] == 0)
+        levels = F.when(sub == "", 0).otherwise(F.size(F.split(sub, r"\.")))
+        hyphen = F.contains(p["name"], F.lit("-"))
+        masks = known & (F.contains(sub, F.concat(brand, F.lit("."))) | F.startswith(sub, F.concat(brand, F.lit("-"))) | F.endswith(sub, F.concat(F.lit("-"), brand)))
+        near_miss = ~exact & p["distance"].between(1, 2) & (F.length(brand) >= 3)
+        loose = ~exact & ~near_miss & p["distance"].between(3, 4) & (p["similarity"] >= 0.6)
+        digits = F.length(F.regexp_replace(p["name"], "[^0-9]", "")) / F.greatest(F.lit(1), F.length(p["name"]))
+        parts = [
+            (masks, 0.70), (exact, 0.55), (exact & risky, 0.20), (exact & (hyphen | (levels > 0)), 0.15), (near_miss, 0.60), (near_miss & risky, 0.20), (loose, 0.35), (p["puny"], 0.50), (risky, 0.25), (p["is_ip"], 0.55),
+            (p["entropy"] > 3.8, 0.15), (hyphen & ~exact, 0.10), (levels >= 2, 0.15), (digits > 0.15, 0.15),
+        ]
+        return F.round(F.least(F.lit(1.0), reduce(lambda a, c: a + add(*c), parts, F.lit(0.0))), 4)
+
+    return F.when(canonical, 0.02).otherwise(bound(parts, total))
 
 
 def verdict(score: Column) -> Column:

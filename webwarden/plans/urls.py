@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webwarden.functions import urls as u
+from webwarden.session import materialize
 
 #: Key and hour of the planted credentials in the query; an engine's user passes their own.
 CANARY_KEY, CANARY_HOUR = b"webwarden-canary", 485000
@@ -53,10 +54,11 @@ def url_bigram_entropy(spark, sf_dir):
 
 
 def _near(spark, sf_dir) -> DataFrame:
-    """Each distinct host once with its nearest brand: proximity is costly and hosts repeat."""
+    """Each distinct host once with its nearest brand, written down: proximity is costly, hosts repeat, and a join's
+    condition on the brand would have the optimizer spell the expression out again in every branch."""
     named = scans(spark, sf_dir).withColumn("host", F.lower(u.host(F.col("url"))))
     hosts = named.select("host").distinct()
-    return hosts.select("host", u.nearest_brand(u.brand_tokens(F.col("host")), brand_ids(spark, sf_dir)).alias("near"))
+    return materialize(hosts.select("host", u.nearest_brand(u.brand_tokens(F.col("host")), brand_ids(spark, sf_dir)).alias("near")), "near")
 
 
 def url_brand_distance(spark, sf_dir):
