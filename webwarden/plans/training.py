@@ -79,7 +79,43 @@ m AS (SELECT link, arg_min(fp, (received_at, delivery_id)) AS fp FROM b WHERE fp
 k AS (SELECT b.delivery_id, b.received_at, coalesce(b.fp, m.fp, b.link, 'row:' || b.delivery_id) AS key FROM b LEFT JOIN m ON b.link = m.link),
 r AS (SELECT delivery_id, key, row_number() OVER (PARTITION BY key ORDER BY received_at NULLS LAST, delivery_id) AS rn FROM k)
 """
+# The oracle of the instants goes another way: strings are brought to a few shapes and read by format.
+_TZ = "coalesce(zone, 'UTC')"
+_OFFSETS = ", ".join(f"('{k}', {v})" for k, v in instants.ZONE_MINUTES.items())
+_INSTANTS = rf"""
+WITH v AS (SELECT 'ct_events.not_before' AS field_name, delivery_id AS row_id, not_before AS raw, collector_zone AS zone FROM ct_events UNION ALL SELECT 'ct_events.not_after', delivery_id, not_after, collector_zone FROM ct_events
+ UNION ALL SELECT 'tls_info.valid_from', probe_id, valid_from, probe_zone FROM tls_info UNION ALL SELECT 'tls_info.valid_to', probe_id, valid_to, probe_zone FROM tls_info),
+u AS (SELECT *, trim(raw) AS t FROM v WHERE raw IS NOT NULL AND NOT regexp_matches(raw, '{instants.CANONICAL}')),
+n AS (SELECT *, CASE WHEN regexp_matches(t, '^\d{{9,19}}(\.\d*)?$') THEN CASE length(split_part(t, '.', 1)) WHEN 9 THEN 1000000 WHEN 10 THEN 1000000 WHEN 12 THEN 1000 WHEN 13 THEN 1000 WHEN 15 THEN 1 WHEN 16 THEN 1 ELSE 0 END END AS f FROM u),
+i AS (SELECT *, regexp_extract(t, '^(\d{{4}}-\d\d-\d\d)[Tt ](\d\d:\d\d)(:\d\d)?(?:[.,](\d+))? ?([A-Za-z]{{1,5}}|[+-]\d\d(?::?\d\d)?)?$', ['d', 'm', 's', 'f', 'z']) AS p FROM n),
+j AS (SELECT *, CASE WHEN f IS NOT NULL THEN NULL WHEN p.d <> '' THEN try_strptime(p.d || ' ' || p.m || CASE WHEN p.s = '' THEN ':00' ELSE p.s END, '%Y-%m-%d %H:%M:%S')
+ ELSE coalesce(try_strptime(regexp_replace(t, ' (GMT|[+-]\d{{4}})$', ''), ['%b %d %H:%M:%S %Y', '%d/%b/%Y:%H:%M:%S', '%a, %d %b %Y %H:%M:%S', '%b %d, %Y %I:%M:%S %p', '%d.%m.%Y %H:%M:%S', '%Y%m%dT%H%M%SZ', '%Y%m%d%H%M%SZ']), CASE WHEN regexp_matches(t, '^\d{{12}}Z$') THEN try_strptime('20' || t, '%Y%m%d%H%M%SZ') END) END AS wall,
+ CASE WHEN p.d <> '' THEN p.z WHEN regexp_matches(t, '(GMT|\dZ)$') THEN 'Z' ELSE regexp_extract(t, ' ([+-]\d{{4}})$', 1) END AS mark FROM i),
+o(name, minutes) AS (VALUES {_OFFSETS}),
+k AS (SELECT j.*, CASE WHEN mark = '' THEN NULL WHEN regexp_matches(mark, '^[+-]') THEN (CASE WHEN mark[1] = '-' THEN -1 ELSE 1 END) * (mark[2:3]::INT * 60 + coalesce(nullif(replace(mark, ':', '')[4:5], '')::INT, 0)) ELSE minutes END AS minutes FROM j LEFT JOIN o ON upper(mark) = o.name),
+r AS (SELECT field_name, row_id, raw, CASE WHEN f = 0 THEN (t::HUGEINT // 1000)::BIGINT WHEN f IS NOT NULL THEN split_part(t, '.', 1)::BIGINT * f + coalesce(nullif(rpad(split_part(t, '.', 2), 6, '0'), '000000')::BIGINT, 0) * f // 1000000
+ WHEN wall IS NULL THEN NULL WHEN mark = '' THEN least(epoch_us(timezone({_TZ}, wall)), epoch_us(timezone({_TZ}, wall - INTERVAL 1 HOUR)) + 3600000000) + coalesce(nullif(rpad(left(p.f, 6), 6, '0'), '000000')::BIGINT, 0)
+ ELSE epoch_us(wall) - minutes::BIGINT * 60000000 + coalesce(nullif(rpad(left(p.f, 6), 6, '0'), '000000')::BIGINT, 0) END AS utc_micros FROM k)
+"""
+_UNTEXT = "CASE WHEN json_type({0}) = 'VARCHAR' AND regexp_matches(trim({0} ->> '$'), '^[\\[{{]') AND json_valid({0} ->> '$') THEN ({0} ->> '$')::JSON ELSE {0} END"
+_LISTED = "CASE WHEN json_type({0}) = 'ARRAY' THEN {0} ELSE json_array({0}) END"
+# Every list of an entity by its path; a place is an element's index, and the parent of an input field is the form
+# whose list holds it. Forms are opened first, since a list that came as text hides its fields.
+_SHREDDED = f"""
+WITH d AS (SELECT report_id, payload::JSON AS j FROM scan_reports WHERE json_valid(payload)),
+t AS (SELECT report_id, coalesce(nullif(regexp_extract(x.fullkey, 'results\\[(\\d+)\\]', 1), '')::INT, 0) AS result_pos, x.key AS child, {_UNTEXT.format('x.value')} AS v FROM d, json_tree(d.j) x WHERE x.key IN ('hops', 'form_actions', 'mitre_attack_techniques')),
+l AS (SELECT report_id, result_pos, child, {_LISTED.format('v')} AS v FROM t WHERE json_type(v) NOT IN ('NULL', 'VARCHAR')),
+e AS (SELECT report_id, result_pos, child, i::INT AS pos, json_extract(v, '$[' || i || ']') AS o FROM l, range(0, 10000) r(i) WHERE i < json_array_length(v)),
+k AS (SELECT * FROM e WHERE json_type(o) = 'OBJECT'),
+g AS (SELECT report_id, result_pos, pos, {_UNTEXT.format("json_extract(o, '$.input_fields')")} AS v FROM k WHERE child = 'form_actions' AND json_extract(o, '$.input_fields') IS NOT NULL),
+h AS (SELECT report_id, result_pos, pos, {_LISTED.format('v')} AS v FROM g WHERE json_type(v) <> 'NULL'),
+f AS (SELECT report_id, result_pos, pos, i::INT AS place, json_extract(v, '$[' || i || ']') AS o FROM h, range(0, 10000) r(i) WHERE i < json_array_length(v))
+"""
 SQL = {
+    "p4_found": _INSTANTS + "SELECT field_name, row_id, utc_micros FROM r WHERE utc_micros IS NOT NULL",
+    "p4_unreadable": _INSTANTS + "SELECT raw, count(*) AS uses FROM r WHERE utc_micros IS NULL GROUP BY raw",
+    "p6_found": _SHREDDED + """SELECT report_id, result_pos, child, -1 AS parent_pos, pos AS child_pos, CASE child WHEN 'hops' THEN o ->> '$.url' WHEN 'form_actions' THEN o ->> '$.action_url' ELSE o ->> '$.id' END AS child_key FROM k
+UNION ALL SELECT report_id, result_pos, 'input_fields', pos, place, CASE WHEN json_type(o) = 'VARCHAR' THEN o ->> '$' ELSE coalesce(o ->> '$.name', '') || ':' || coalesce(o ->> '$.type', '') END FROM f WHERE json_type(o) IN ('OBJECT', 'VARCHAR') AND (o ->> '$') <> ''""",
     "p1_found": _MESSAGES + "SELECT delivery_id FROM r WHERE rn > 1",
     "p1_kept": _MESSAGES + "SELECT delivery_id FROM r WHERE rn = 1",
     "p1_message_sizes": _MESSAGES + "SELECT copies, count(*) AS messages FROM (SELECT key, count(*) AS copies FROM r GROUP BY key) GROUP BY copies",
