@@ -63,4 +63,11 @@ def p9_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_measures, p5_found, p5_groups, p7_ids, p8_containers, p8_fill, p9_found, p9_measures)}
-SQL: dict[str, str] = {}
+_PAIRS = r"""
+WITH w AS (SELECT capture_id, list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(dom_html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g'), '<[^>]*>', ' ', 'g'), '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM page_captures),
+s AS (SELECT capture_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM w WHERE len(w) >= 60),
+n AS (SELECT capture_id, count(*) AS n FROM s GROUP BY capture_id),
+o AS (SELECT a.capture_id AS capture_id_a, b.capture_id AS capture_id_b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.capture_id < b.capture_id GROUP BY ALL)
+SELECT capture_id_a, capture_id_b FROM o JOIN n x ON capture_id_a = x.capture_id JOIN n y ON capture_id_b = y.capture_id WHERE o / (x.n + y.n - o) >= 0.6
+"""
+SQL = {"p5_found": _PAIRS}
