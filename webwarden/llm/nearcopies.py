@@ -163,11 +163,15 @@ def allocate(pages: list[list[np.ndarray]], units: list[int]) -> list[list[int]]
 TOGETHER, PROGRAM_CELLS = 128, 400_000
 
 
-def grouped_costs(anchors: np.ndarray, others: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def grouped_costs(anchors: np.ndarray, others: np.ndarray, units: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """(groups, costs) of the bits that other pages may have: their places by anchor, cheapest first. All groups of
-    one bit are offered as one, since of them the cheapest are always best."""
-    order = np.lexsort((others, anchors))
-    order = order[others[order] > 0]
+    one bit are offered as one, since of them the cheapest are always best. A bit that adds more to its group than
+    the dearest of the `units` cheapest costs by itself is in no best choice, and is left out."""
+    at = np.flatnonzero(others > 0)
+    if len(at) > units:
+        own = others[at]
+        at = at[own <= np.partition(own, units - 1)[units - 1] / GROUP_OVERLAP]
+    order = at[np.lexsort((others[at], anchors[at]))]
     named = anchors[order]
     starts = np.flatnonzero(np.concatenate([[True], named[1:] != named[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(order)]]))
@@ -197,7 +201,7 @@ def chosen_probes(pages: list[tuple[np.ndarray, np.ndarray]], similarity: float)
             order = np.argsort(others, kind="stable")
             found[p] = order[others[order] > 0][:units]
         else:
-            waiting.append((units, p, *grouped_costs(anchors, others)))
+            waiting.append((units, p, *grouped_costs(anchors, others, units)))
     waiting.sort(key=lambda x: (x[0], len(x[2])))
     for at in range(0, len(waiting), TOGETHER):
         part = waiting[at : at + TOGETHER]
@@ -218,37 +222,54 @@ def frequency_counters(sets: DataFrame, bits: int = COUNTER_BITS) -> np.ndarray:
     return counters
 
 
-_ROLE = pa.schema([("bit", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("is_probe", pa.bool_())])
+_ROW = pa.schema([("bit", pa.int64()), ("id", pa.int64()), ("size", pa.int32())])
+_ROW_DDL = "bit bigint, id bigint, size int"
+
+
+def _bit_rows(batches: Iterator[pa.RecordBatch], choose) -> Iterator[pa.RecordBatch]:
+    """(bit, id, size) of the bits that choose(bits, sizes, batch) marks, batch by batch."""
+    for b in batches:
+        ids, sizes = b.column(0).to_numpy(), np.diff(b.column(1).offsets.to_numpy())
+        bits = b.column(1).flatten().to_numpy()
+        kept = choose(bits, sizes, b)
+        owner = np.repeat(np.arange(len(ids)), sizes)[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(bits[kept]), pa.array(ids[owner]), pa.array(sizes[owner].astype(np.int32))], schema=_ROW)
 
 
 def probe_rows(sets: DataFrame, counters, similarity: float) -> DataFrame:
-    """(bit, id, size, is_probe): every bit of a page that another page may have, marked where it is also probed."""
+    """(bit, id, size) of the bits of each page that are probed."""
     shared = sets.sparkSession.sparkContext.broadcast(counters)
     mask = len(counters) - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for b in batches:
-            ids, sizes = b.column(0).to_numpy(), np.diff(b.column(1).offsets.to_numpy())
-            bits, anchors = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
-            others = table[bits & mask].astype(np.int64) - 1
-            probed = np.zeros(len(bits), bool)
-            ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-            pages = [(anchors[x:y], others[x:y]) for x, y in zip(ends, ends[1:])]
-            for at, places in zip(ends, chosen_probes(pages, similarity)):
-                probed[at + places] = True
-            kept = others > 0
-            owner = np.repeat(np.arange(len(ids)), sizes)[kept]
-            yield pa.RecordBatch.from_arrays([pa.array(bits[kept]), pa.array(ids[owner]), pa.array(sizes[owner].astype(np.int32)), pa.array(probed[kept])], schema=_ROLE)
+    def choose(bits: np.ndarray, sizes: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        anchors, others = batch.column(2).flatten().to_numpy(), shared.value[bits & mask].astype(np.int64) - 1
+        probed = np.zeros(len(bits), bool)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        pages = [(anchors[x:y], others[x:y]) for x, y in zip(ends, ends[1:])]
+        for at, places in zip(ends, chosen_probes(pages, similarity)):
+            probed[at + places] = True
+        return probed
+
+    return sets.select("id", "bits", "anchors").mapInArrow(lambda batches: _bit_rows(batches, choose), _ROW_DDL)
+
 
-    return sets.select("id", "bits", "anchors").mapInArrow(run, "bit bigint, id bigint, size int, is_probe boolean")
+def probed_rows(sets: DataFrame, probes: DataFrame, bits: int = COUNTER_BITS) -> DataFrame:
+    """(bit, id, size) of the bits of each page that fall on a counter of some probe. The marks of the counters have a
+    fixed size, 2**bits bytes, so they may be collected and sent out; a bit that shares a probe's counter is only
+    carried in vain."""
+    mask = (1 << bits) - 1
+    slots = probes.select(F.col("bit").bitwiseAND(mask).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()
+    marks = np.zeros(1 << bits, bool)
+    marks[slots] = True
+    shared = sets.sparkSession.sparkContext.broadcast(marks)
+    return sets.select("id", "bits").mapInArrow(lambda batches: _bit_rows(batches, lambda own, sizes, batch: shared.value[own & mask]), _ROW_DDL)
 
 
 def similar_representatives(sets: DataFrame, similarity: float) -> DataFrame:
     """(id_a, id_b, similarity) of every pair of distinct sets, id_a < id_b. `sets` has one row per distinct set."""
-    rows = materialize(probe_rows(sets, frequency_counters(sets), similarity), "probes")
-    p = rows.filter("is_probe").select("bit", F.col("id").alias("p_id"), F.col("size").alias("p_size"))
-    x = rows.select("bit", F.col("id").alias("x_id"), F.col("size").alias("x_size"))
+    probes = materialize(probe_rows(sets, frequency_counters(sets), similarity), "probes")
+    p = probes.select("bit", F.col("id").alias("p_id"), F.col("size").alias("p_size"))
+    x = probed_rows(sets, probes).select("bit", F.col("id").alias("x_id"), F.col("size").alias("x_size"))
     larger = (F.col("x_size") > F.col("p_size")) | ((F.col("x_size") == F.col("p_size")) & (F.col("x_id") > F.col("p_id")))
     near = F.col("x_size") * F.lit(similarity) <= F.col("p_size") + F.lit(1e-6)
     hits = p.join(x, "bit").filter(larger & near).groupBy("p_id", "x_id", "p_size", "x_size").agg(F.count(F.lit(1)).alias("hits"))
