@@ -1,0 +1,141 @@
+"""Whole documents in one parser pass: texts of elements with all they hold, fingerprints of the layout, one row a page."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+
+from webwarden.functions import html as h
+
+# Elements whose text is no text of the elements around them, what makes a link visible without text,
+# and elements whose blank text is kept as it is.
+QUIET = frozenset("script style template rt rp".split())
+GRAPHICS = frozenset("img svg i span".split())
+VERBATIM = frozenset(("pre", "textarea"))
+# Elements that add their text to the semantic text, if it has at most so many characters.
+SPEAKING = frozenset("button a h1 h2 h3 p span div".split())
+SHORT = 120
+
+
+class Document(h._Nodes):
+    """The nodes of a page, and for each its begin and end as (texts, characters, graphics, passwords) seen until then.
+    `said` has the stripped texts in order; text between two tags or comments is one."""
+
+    def __init__(self, markup: str) -> None:
+        super().__init__()
+        self.said: list[str] = []
+        self.begin: list[tuple[int, ...]] = []
+        self.end: list[tuple[int, ...]] = []
+        self.quiet: list[bool] = []
+        self.coded = self.commented = 0
+        self._seen = [0, 0, 0]
+        self._data: list[str] = []
+        self.feed(markup)
+        self.close()
+        self._flush()
+        self._ends(self.open)
+
+    def _at(self) -> tuple[int, ...]:
+        return (len(self.said), *self._seen)
+
+    def _ends(self, closed: Sequence[int]) -> None:
+        for i in closed:
+            self.end[i] = self._at()
+
+    def _flush(self) -> None:
+        if not self._data:
+            return
+        data, self._data = "".join(self._data), []
+        inside = self.open[-1] if self.open else -1
+        if not data.strip() and not any(self.nodes[i][3] in VERBATIM for i in self.open):
+            data = "\n" if "\n" in data else " "
+        if inside >= 0 and self.nodes[inside][3] in ("script", "style"):
+            self.coded += len(data)
+        if inside < 0 or not self.quiet[inside]:
+            self._seen[0] += len(data)
+            if data.strip():
+                self.said.append(data.strip())
+
+    def handle_starttag(self, tag, attrs):
+        self._flush()
+        parent = self.open[-1] if self.open else -1
+        self.quiet.append(tag in QUIET or (parent >= 0 and self.quiet[parent]))
+        self.begin.append(self._at())
+        super().handle_starttag(tag, attrs)
+        self._seen[1] += tag in GRAPHICS
+        self._seen[2] += tag == "input" and self.nodes[-1][4].get("type", "").lower() == "password"
+        self.end.append(self._at())
+
+    def handle_endtag(self, tag):
+        self._flush()
+        before = list(self.open) if any(self.nodes[i][3] == tag for i in self.open) else self.open
+        super().handle_endtag(tag)
+        self._ends(before[len(self.open) :])
+
+    def handle_data(self, data):
+        self._data.append(data)
+
+    def handle_comment(self, data):
+        self._flush()
+        self.commented += len(data)
+
+    def handle_decl(self, decl):
+        self._flush()
+
+    def handle_pi(self, data):
+        self._flush()
+
+    def unknown_decl(self, data):
+        self._flush()
+
+    def find(self, *tags: str) -> list[tuple[int, dict[str, str]]]:
+        """(node, attributes) of the elements of these names, in document order."""
+        return [(i, n[4]) for i, n in enumerate(self.nodes) if n[3] in tags]
+
+    def text(self, i: int) -> str:
+        return "".join(self.said[self.begin[i][0] : self.end[i][0]])
+
+    def short_text(self, i: int) -> str:
+        """The whole text of an element, or '' if it is longer than SHORT."""
+        length, out = 0, []
+        for s in self.said[self.begin[i][0] : min(self.end[i][0], self.begin[i][0] + SHORT + 1)]:
+            length += len(s)
+            if length > SHORT:
+                return ""
+            out.append(s)
+        return "".join(out)
+
+
+def per_page(df: DataFrame, id_col: str, markup_col: str, extras: Sequence[Column], schema: pa.Schema, one: Callable[..., tuple]) -> DataFrame:
+    """(page_id, *schema): what `one` says of each document and its extra columns, in one pass without shuffle; null
+    and empty documents give no row."""
+    full = pa.schema([("page_id", pa.int64()), *schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(rid, *one(Document(m), m, *more)) for rid, m, *more in zip(*(c.to_pylist() for c in b.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(full)], schema=full)
+
+    source = df.filter(F.length(markup_col) > 0).select(F.col(id_col).cast("bigint").alias("page_id"), F.col(markup_col).alias("m"), *[c.alias(f"e{i}") for i, c in enumerate(extras)])
+    return source.mapInArrow(run, from_arrow_schema(full))
+
+
+def spoken(doc: Document, visible: str) -> str:
+    """What a page says and names: its whole visible text, then title, form targets, input names and hints, image
+    descriptions, and once more the elements with short texts, in lower case."""
+    title = [doc.text(i) for i, _ in doc.find("title")[:1]]
+    parts = [visible or "", *title, *[a.get("action", "") for _, a in doc.find("form")]]
+    for names, keys in (("input", ("name", "placeholder")), ("img", ("alt", "src"))):
+        parts += [" ".join(a.get(k, "") for k in keys) for _, a in doc.find(names)]
+    parts += [doc.short_text(i) for i, _ in doc.find(*SPEAKING)]
+    return " ".join(p for p in map(str.strip, parts) if p).lower()
+
+
+def spoken_texts(df: DataFrame, id_col: str, markup_col: str) -> DataFrame:
+    """(page_id, text) of the pages that say anything."""
+    out = per_page(df, id_col, markup_col, [h.visible_text(F.col(markup_col))], pa.schema([("text", pa.string())]), lambda doc, m, visible: (spoken(doc, visible),))
+    return out.filter("text <> ''")

@@ -172,10 +172,10 @@ def tag_paths(df: DataFrame, id_col: str, markup_col: str, depth: int = 6) -> Da
 
 
 def semantic_text(nodes: DataFrame) -> DataFrame:
-    """(page_id, text): what a page says and names: element texts, titles, form targets, input names and hints, image
-    descriptions, in document order."""
+    """(page_id, text): what a node table alone tells of the words of a page: whole element texts, titles, form targets,
+    input names and hints, image descriptions, in document order. documents.spoken_texts has the visible text as well."""
     get = lambda k: F.try_element_at("attrs", F.lit(k))
-    shown = F.when(~F.col("tag").isin("script", "style", "noscript", "template"), F.substring("text", 1, 120))
+    shown = F.when(~F.col("tag").isin("script", "style", "noscript", "template"), F.col("text"))
     parts = F.concat_ws(" ", shown, F.when(F.col("tag") == "form", get("action")), F.when(F.col("tag") == "input", F.concat_ws(" ", get("name"), get("placeholder"))), F.when(F.col("tag") == "img", F.concat_ws(" ", get("alt"), get("src"))))
     said = nodes.select("page_id", "node_id", F.trim(parts).alias("t")).filter("t <> ''")
     return said.groupBy("page_id").agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "t"))), lambda s: s["t"]), " ")).alias("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from webwarden.functions import documents as d
 from webwarden.functions import forensics as f
 from webwarden.functions import html as h
 from webwarden.plans.decisions import _S, signals
@@ -57,7 +58,7 @@ def dom_tag_paths(spark, sf_dir):
 
 
 def semantic_text(spark, sf_dir):
-    return f.semantic_text(h.html_nodes(pages(spark, sf_dir), "capture_id", "dom_html")).withColumnRenamed("page_id", "capture_id")
+    return d.spoken_texts(pages(spark, sf_dir), "capture_id", "dom_html").withColumnRenamed("page_id", "capture_id")
 
 
 def dom_formless(spark, sf_dir):
