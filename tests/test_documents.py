@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from webwarden.functions import documents as d
@@ -18,3 +20,22 @@ def test_semantic_text_is_whole(spark):
 def test_document_is_linear_on_unclosed_elements():
     doc = d.Document("<div>x" * 5000)
     assert [doc.short_text(i) == "" for i in (0, 4880, 4999)] == [True, False, False] and len(doc.said) == 5000
+
+
+def brute_fingerprint(paths, tags):
+    features = [(p, 3 if "form" in p or "input" in p else 1) for p in paths] + [(f"{a}_{b}", 1) for a, b in zip(tags, tags[1:])]
+    bits = [sum(w if int(hashlib.md5(t.encode()).hexdigest()[:16], 16) >> i & 1 else -w for t, w in features) > 0 for i in range(64)]
+    return f"{sum(1 << i for i, b in enumerate(bits) if b):016x}"
+
+
+def test_layout_fingerprint(spark):
+    nested = "<html><head><title>t</title></head><body><div><p>a</p><p>b</p></div><form><input type='Password'><input></form></body></html>"
+    flat = nested.replace("<div>", "<div></div>").replace("</p></div>", "</p>")
+    text = nested.replace("Password", "text")
+    df = spark.createDataFrame([(1, nested), (2, flat), (3, text), (4, "  "), (5, "a")], "id bigint, html string")
+    got = {r["page_id"]: r["fingerprint"] for r in d.layout_fingerprints(df, "id", "html").collect()}
+    form = lambda kind: ["html>body>form", f"html>body>form>input_{kind}", "html>body>form>input_text"]
+    tags = lambda kind: ["html", "body", "div", "p", "p", "form", f"input_{kind}", "input_text"]
+    deep, wide = ["html>body>div>p"] * 2, ["html>body>div", "html>body>p", "html>body>p"]
+    assert got == {1: brute_fingerprint(deep + form("password"), tags("password")), 2: brute_fingerprint(wide + form("password"), tags("password")), 3: brute_fingerprint(deep + form("text"), tags("text")), 4: "0" * 16, 5: brute_fingerprint(["html>[document]"], [])}
+    assert len({got[1], got[2], got[3]}) == 3

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import hashlib
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +23,9 @@ VERBATIM = frozenset(("pre", "textarea"))
 # Elements that add their text to the semantic text, if it has at most so many characters.
 SPEAKING = frozenset("button a h1 h2 h3 p span div".split())
 SHORT = 120
+# Elements that are no part of a layout, and elements that end a path though they hold others.
+UNSEEN = frozenset("script style meta link noscript svg path defs clippath head title".split())
+ENDS = frozenset("form input button iframe".split())
 
 
 class Document(h._Nodes):
@@ -139,3 +146,49 @@ def spoken_texts(df: DataFrame, id_col: str, markup_col: str) -> DataFrame:
     """(page_id, text) of the pages that say anything."""
     out = per_page(df, id_col, markup_col, [h.visible_text(F.col(markup_col))], pa.schema([("text", pa.string())]), lambda doc, m, visible: (spoken(doc, visible),))
     return out.filter("text <> ''")
+
+
+def layout_tags(doc: Document) -> list[str]:
+    """Names of the elements of the layout in order; an input's name carries its type."""
+    return [f"input_{(n[4].get('type') or 'text').lower()}" if n[3] == "input" else n[3] for n in doc.nodes if n[3] not in UNSEEN]
+
+
+def layout_paths(doc: Document, depth: int = 6) -> list[str]:
+    """Paths of the layout from the body, or from the document if it has none, at leaves and form elements."""
+    body = next((i for i, n in enumerate(doc.nodes) if n[3] == "body"), -1)
+    holding = {n[0] for n in doc.nodes}
+    at: dict[int, tuple[str, int] | None] = {} if body >= 0 else {-1: ("html>[document]", 1)}
+    out = [] if body >= 0 or -1 in holding else ["html>[document]"]
+    for i, (parent, _, _, tag, attrs, _) in enumerate(doc.nodes):
+        up = ("html", 0) if i == body else at.get(parent)
+        if up is None or tag in UNSEEN or up[1] >= depth:
+            continue
+        name = f"input_{attrs.get('type', 'text').lower()}" if tag == "input" else tag
+        at[i] = (f"{up[0]}>{name}", up[1] + 1)
+        if i not in holding or tag in ENDS:
+            out.append(at[i][0])
+    return out
+
+
+@lru_cache(maxsize=1 << 15)
+def _votes(feature: str) -> np.ndarray:
+    """A vote of +1 or -1 for each of the leading 64 bits of the MD5, the highest first."""
+    return np.unpackbits(np.frombuffer(hashlib.md5(feature.encode("utf-8", "replace")).digest()[:8], np.uint8)).astype(np.int64) * 2 - 1
+
+
+def layout_fingerprint(paths: Sequence[str], tags: Sequence[str]) -> int:
+    """64-bit vote of the paths, three times as heavy if they hold a form or an input, and of the pairs of tags; 0 for none."""
+    weights: Counter[str] = Counter()
+    for p in paths:
+        weights[p] += 3 if "form" in p or "input" in p else 1
+    weights.update(f"{a}_{b}" for a, b in zip(tags, tags[1:]))
+    if not weights:
+        return 0
+    total = sum(_votes(f) * w for f, w in weights.items())
+    return int.from_bytes(np.packbits(total > 0).tobytes(), "big")
+
+
+def layout_fingerprints(df: DataFrame, id_col: str, markup_col: str) -> DataFrame:
+    """(page_id, fingerprint): sixteen hexadecimal digits; zeros for a blank page."""
+    one = lambda doc, m: (f"{layout_fingerprint(layout_paths(doc), layout_tags(doc)) if m.strip() else 0:016x}",)
+    return per_page(df, id_col, markup_col, [], pa.schema([("fingerprint", pa.string())]), one)

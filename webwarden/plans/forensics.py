@@ -61,13 +61,18 @@ def semantic_text(spark, sf_dir):
     return d.spoken_texts(pages(spark, sf_dir), "capture_id", "dom_html").withColumnRenamed("page_id", "capture_id")
 
 
+def dom_layout_fingerprint(spark, sf_dir):
+    """Paths and pairs of tags, where `dom_simhash` and its SQL take the pairs alone."""
+    return d.layout_fingerprints(pages(spark, sf_dir), "capture_id", "dom_html").withColumnRenamed("page_id", "capture_id")
+
+
 def dom_formless(spark, sf_dir):
     return f.formless_secrets(h.html_nodes(pages(spark, sf_dir), "capture_id", "dom_html")).withColumnRenamed("page_id", "capture_id")
 
 
 QUERIES = {
     q.__name__: q
-    for q in (dom_topology, dom_similarity, content_html_features, outbound_requests, recognised_text, brand_ladder, target_attribution, dom_tag_paths, semantic_text, dom_formless)
+    for q in (dom_topology, dom_similarity, content_html_features, outbound_requests, recognised_text, brand_ladder, target_attribution, dom_tag_paths, semantic_text, dom_layout_fingerprint, dom_formless)
 }
 
 _M = "lower(regexp_replace(dom_html, '(?s)<!--.*?-->', '', 'g'))"
