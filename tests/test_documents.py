@@ -39,3 +39,16 @@ def test_layout_fingerprint(spark):
     deep, wide = ["html>body>div>p"] * 2, ["html>body>div", "html>body>p", "html>body>p"]
     assert got == {1: brute_fingerprint(deep + form("password"), tags("password")), 2: brute_fingerprint(wide + form("password"), tags("password")), 3: brute_fingerprint(deep + form("text"), tags("text")), 4: "0" * 16, 5: brute_fingerprint(["html>[document]"], [])}
     assert len({got[1], got[2], got[3]}) == 3
+
+
+def test_brand_search_rates_what_a_page_says(spark):
+    page = lambda words: f"<html><body><h1>{words}</h1><form><input type='password'></form></body></html>"
+    other = "<html><body><ul>" + "<li>text</li>" * 30 + "</ul></body></html>"
+    refs = spark.createDataFrame([("acme", ["acme", "acme bank", "acme.test"], page("x")), ("zeta", ["zeta"], page("y"))], "brand string, words array<string>, html string")
+    df = spark.createDataFrame([(1, page("zeta, like acme bank at acme.test")), (2, page("nobody")), (3, other + "zeta"), (4, other), (5, "")], "id bigint, html string")
+    got = {r["id"]: (r["brand"], r["score"]) for r in f.reference_match(df, refs, "id", "html").collect()}
+    assert got[1] == ("acme", 1.0) and got[2] == ("acme", 1.0) and got[3][0] == "zeta" and got[4] == (None, 0.0) and 5 not in got
+    shape = {"forms": 0, "passwords": 0, "submits": False}
+    a, b = (d.Layout(d.Document(m), m, shape) for m in (other, page("y")))
+    assert got[3][1] == min(1.0, round(0.55 * 0.5 + 0.45 * round(a.similarity(b) - 0.25 * 0.8, 4), 4) + 0.20)
+    assert d.signature_score("acme bank", ["acme", "acme bank", "acme.test"]) == 0.7 and d.signature_score("x", ["acme"]) == 0.0

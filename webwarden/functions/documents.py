@@ -192,3 +192,47 @@ def layout_fingerprints(df: DataFrame, id_col: str, markup_col: str) -> DataFram
     """(page_id, fingerprint): sixteen hexadecimal digits; zeros for a blank page."""
     one = lambda doc, m: (f"{layout_fingerprint(layout_paths(doc), layout_tags(doc)) if m.strip() else 0:016x}",)
     return per_page(df, id_col, markup_col, [], pa.schema([("fingerprint", pa.string())]), one)
+
+
+class Layout:
+    """What one page is compared by: tags, their sets and counts, fingerprint, and the topology of its forms."""
+
+    def __init__(self, doc: Document, markup: str, topology: Mapping) -> None:
+        self.markup, self.tags = markup, layout_tags(doc)
+        self.sets = [set(zip(*(self.tags[i:] for i in range(n)))) for n in (1, 2, 3)]
+        self.counts = Counter(self.tags)
+        self.norm = sum(v * v for v in self.counts.values())
+        self.fingerprint = layout_fingerprint(layout_paths(doc), self.tags)
+        self.forms = tuple(topology[k] for k in ("forms", "passwords", "submits"))
+
+    def similarity(self, other: Layout) -> float:
+        """1 for equal pages, 0 if one is blank or has no tags, else the fused similarity of tags, counts, fingerprints and forms."""
+        if not self.markup.strip() or not other.markup.strip():
+            return 0.0
+        if self.markup == other.markup:
+            return 1.0
+        if not self.tags or not other.tags:
+            return 0.0
+        tags = sum(w * (len(a & b) / len(a | b) if a or b else 0.0) for w, a, b in zip((0.30, 0.45, 0.25), self.sets, other.sets))
+        cosine = sum(v * other.counts[k] for k, v in self.counts.items()) / (self.norm**0.5 * other.norm**0.5)
+        bits = round(1 - (self.fingerprint ^ other.fingerprint).bit_count() / 64, 4) if self.fingerprint and other.fingerprint else 0.0
+        forms = 1.0 if self.forms == other.forms else 0.5 if self.forms[1] > 0 and other.forms[1] > 0 else 0.2
+        return round(0.30 * tags + 0.15 * cosine + 0.30 * bits + 0.25 * forms, 4)
+
+
+def signature_score(text: str, signatures: Sequence[str]) -> float:
+    """What a text says of a brand: 0.45 for each signature of several words or a host, 0.25 for others; from 0.5 to 1 if any is there."""
+    found = [0.45 if " " in s or "." in s else 0.25 for s in signatures if s in text]
+    return min(1.0, max(0.50, sum(found))) if found else 0.0
+
+
+def best_reference(layout: Layout, text: str, references: Sequence[tuple[str, Sequence[str], Layout]]) -> tuple[float, str | None]:
+    """(score, brand) of the best reference, the first of equals; 0 and null below 0.35."""
+    said = [signature_score(text, signatures) for _, signatures, _ in references]
+    named, best, brand = sum(s > 0 for s in said), 0.0, None
+    for s, (name, _, reference) in zip(said, references):
+        alike = layout.similarity(reference)
+        score = min(1.0, round(0.55 * s + 0.45 * alike, 4) + 0.20) if s > 0 else round(alike * 0.25, 4) if named else alike
+        if score > best:
+            best, brand = score, name
+    return (best, brand) if best >= 0.35 else (0.0, None)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webwarden.functions import documents
 from webwarden.functions import html as h
 from webwarden.functions.urls import host
 
@@ -58,21 +59,27 @@ def page_structure(markup: Column) -> Column:
     return F.transform(F.array(F.struct(bound.alias("b"), topology(markup).alias("topology"))), lambda s: F.struct(s["b"]["tags"].alias("tags"), s["b"]["fingerprint"].alias("fingerprint"), s["topology"].alias("topology")))[0]
 
 
+def layouts(references: DataFrame) -> list[tuple[str, list[str], documents.Layout]]:
+    """The catalogue (brand, words, html) with its layouts, by brand. It is a dimension kept by hand, so it comes to the driver."""
+    rows = references.filter(F.length("html") > 0).select("brand", "words", "html", topology(F.col("html")).alias("t")).collect()
+    return [(r["brand"], r["words"], documents.Layout(documents.Document(r["html"]), r["html"], r["t"].asDict())) for r in sorted(rows, key=lambda r: r["brand"])]
+
+
 def reference_match(pages: DataFrame, references: DataFrame, id_col: str, markup_col: str) -> DataFrame:
     """(id, brand, score) of the best of a catalogue of reference pages (brand, words, html), or null below 0.35.
 
-    A page that has a brand's words is held to that brand; where it has another brand's words, structure alone counts
-    a quarter. The catalogue is a dimension kept by hand and is sent by broadcast.
+    A page that says a brand's words is rated by how much it says of that brand and by its layout; where it has another
+    brand's words only, the layout alone counts a quarter. Every page meets every reference, in one pass.
     """
-    ref = references.select("brand", "words", page_structure(F.col("html")).alias("ref")).withColumn("_k", F.lit(1))
-    own = pages.select(F.col(id_col).alias("id"), F.lower(markup_col).alias("low"), page_structure(F.col(markup_col)).alias("own")).withColumn("_k", F.lit(1))
-    pairs = own.join(F.broadcast(ref), "_k").select("id", "brand", F.exists("words", lambda w: F.contains(F.col("low"), w)).alias("named"), structure_similarity(F.col("own"), F.col("ref")).alias("s"))
-    others = pairs.groupBy("id").agg(F.count_if("named").alias("n"), F.collect_list(F.struct("brand", "named", "s")).alias("all"))
-    score = lambda n: lambda p: F.struct(
-        F.when(p["named"], F.least(F.lit(1.0), F.round(0.55 * 0.5 + 0.45 * p["s"], 4) + 0.20)).when(n > 0, F.round(0.25 * p["s"], 4)).otherwise(p["s"]).alias("score"), p["brand"].alias("brand")
-    )
-    best = others.select("id", F.array_max(F.transform("all", score(F.col("n")))).alias("b"))
-    return best.select("id", F.when(F.col("b.score") >= 0.35, F.col("b.brand")).alias("brand"), F.when(F.col("b.score") >= 0.35, F.col("b.score")).otherwise(0.0).alias("score"))
+    catalogue = layouts(references)
+
+    def one(doc: documents.Document, markup: str, shape: Mapping, visible: str) -> tuple:
+        score, brand = documents.best_reference(documents.Layout(doc, markup, shape), documents.spoken(doc, visible), catalogue)
+        return brand, score
+
+    m = F.col(markup_col)
+    schema = pa.schema([("brand", pa.string()), ("score", pa.float64())])
+    return documents.per_page(pages, id_col, markup_col, [topology(m), h.visible_text(m)], schema, one).withColumnRenamed("page_id", "id")
 
 
 def content_measures(markup: Column, url: Column) -> dict[str, Column]:

@@ -23,6 +23,19 @@ def dom_similarity(spark, sf_dir):
     return s.join(first, "matched_brand").select("capture_id", f.structure_similarity(F.col("s"), F.col("r")).alias("similarity"))
 
 
+def reference_pages(spark, sf_dir):
+    """(brand, words, html): each brand's first captured page; its words are its id, its name and its hosts."""
+    first = pages(spark, sf_dir).filter("matched_brand <> ''").groupBy(F.col("matched_brand").alias("brand")).agg(F.min_by("dom_html", "capture_id").alias("html"))
+    words = F.concat(F.array("brand_id", F.coalesce("display_name", "brand_id")), F.coalesce("canonical_domains", F.array().cast("array<string>")))
+    brands = table(spark, sf_dir, "protected_brands").select(F.col("brand_id").alias("brand"), F.array_distinct(F.transform(words, lambda w: F.lower(F.trim(w)))).alias("words"))
+    return first.join(F.broadcast(brands), "brand").select("brand", F.filter("words", lambda w: w != "").alias("words"), "html")
+
+
+def dom_brand_search(spark, sf_dir):
+    """Each page against every brand's reference page, the best brand."""
+    return f.reference_match(pages(spark, sf_dir), reference_pages(spark, sf_dir), "capture_id", "dom_html").withColumnRenamed("id", "capture_id")
+
+
 def content_html_features(spark, sf_dir):
     return pages(spark, sf_dir).select("capture_id", *[c.alias(k) for k, c in f.content_measures(F.col("dom_html"), F.col("url")).items()])
 
@@ -72,7 +85,7 @@ def dom_formless(spark, sf_dir):
 
 QUERIES = {
     q.__name__: q
-    for q in (dom_topology, dom_similarity, content_html_features, outbound_requests, recognised_text, brand_ladder, target_attribution, dom_tag_paths, semantic_text, dom_layout_fingerprint, dom_formless)
+    for q in (dom_topology, dom_similarity, dom_brand_search, content_html_features, outbound_requests, recognised_text, brand_ladder, target_attribution, dom_tag_paths, semantic_text, dom_layout_fingerprint, dom_formless)
 }
 
 _M = "lower(regexp_replace(dom_html, '(?s)<!--.*?-->', '', 'g'))"
