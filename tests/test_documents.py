@@ -52,3 +52,18 @@ def test_brand_search_rates_what_a_page_says(spark):
     a, b = (d.Layout(d.Document(m), m, shape) for m in (other, page("y")))
     assert got[3][1] == min(1.0, round(0.55 * 0.5 + 0.45 * round(a.similarity(b) - 0.25 * 0.8, 4), 4) + 0.20)
     assert d.signature_score("acme bank", ["acme", "acme bank", "acme.test"]) == 0.7 and d.signature_score("x", ["acme"]) == 0.0
+
+
+def test_page_audit(spark):
+    bad = """<html><head><link rel="Shortcut Icon" href="//cdn.test/i.ico"><script src="https://x.evil.top/a.js"></script><script src="https://acme.test/b.js"></script></head><body>
+    <a href="https://evil.test/p">Sign in at <b>paypal</b></a><a href="https://evil.test/q"><img src="data:x"></a><a href="#"></a><a href="javascript:void(0)">x</a><a href="/in">in</a><img src="https://cdn.test/1.png"></body></html>"""
+    plain = '<html><body><a href="https://acme.test/">acme.com</a><img src="/a.png"></body></html>'
+    df = spark.createDataFrame([(1, bad, ["acme.test"]), (2, plain, ["acme.test"]), (3, bad, None), (4, "<p>x</p>", None)], "id bigint, html string, official array<string>")
+    got = {r["page_id"]: r for r in d.page_audit(df, "id", "html", F.lit("www.own.test"), F.col("official")).collect()}
+    r = got[1]
+    assert (r["links"], r["null_share"], r["internal_share"], r["external_share"], r["empty_share"], r["anchor_discrepancies"]) == (5, 0.4, 0.2, 0.4, 0.2, 1)
+    assert (r["external_resource_share"], r["favicon_mismatch"], r["foreign_scripts"]) == (0.75, True, ["https://x.evil.top/a.js"])
+    assert r["techniques"] == "T1566.002 (Spearphishing Link: Anchor Text Discrepancy) / T1059.007 (JavaScript Execution from Untrusted Source)"
+    assert len(r["highlights"]) == 5 and "'sign in atpaypal'" in r["highlights"][1]
+    assert (got[2]["external_share"], got[2]["external_resource_share"], got[2]["favicon_mismatch"], got[2]["techniques"]) == (0.0, 0.0, False, "N/A")
+    assert got[3]["foreign_scripts"] == [] and got[3]["external_resource_share"] == 1.0 and got[4]["links"] == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import lru_cache
@@ -27,6 +28,17 @@ SHORT = 120
 UNSEEN = frozenset("script style meta link noscript svg path defs clippath head title".split())
 ENDS = frozenset("form input button iframe".split())
 
+# Names that deceptive links show, endings of hosts of abused scripts, sign-in hosts that fake windows
+# show, styles that hide text, and elements whose insides are no visible text.
+LURES = "paypal google microsoft apple amazon netflix chase bankofamerica wellsfargo citibank dhl fedex ups usps adobe docusign dropbox facebook instagram linkedin coinbase binance metamask steam spotify ebay".split()
+ABUSED = tuple(".tk .xyz .top .ru .buzz .live .cc .icu .cfd .monster .work .shop .fit .rest".split())
+SIGN_IN_HOSTS = ["login.microsoftonline.com", "accounts.google.com", "appleid.apple.com", "auth.paypal.com", "id.sonyentertainmentnetwork.com"]
+HIDING = re.compile(r"(?i)font-size\s*:\s*0|display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0|(?:left|top|text-indent)\s*:\s*-[0-9]{3,}|transform\s*:\s*scale\(0\)|max-(?:height|width)\s*:\s*0")
+INVISIBLE = frozenset("script style noscript svg defs clippath template".split())
+ZERO_WIDTH = re.compile("[\u200b-\u200f\ufeff\u00ad\u2060\u180e]")
+HOST_TEXT = re.compile(r"[a-z0-9_\-.]\.(?:com|org|net|gov|edu|io|co|uk|de|xyz|top)")
+RESOURCES = {"img": "src", "script": "src", "link": "href", "source": "src", "iframe": "src"}
+
 
 class Document(h._Nodes):
     """The nodes of a page, and for each its begin and end as (texts, characters, graphics, passwords) seen until then.
@@ -236,3 +248,85 @@ def best_reference(layout: Layout, text: str, references: Sequence[tuple[str, Se
         if score > best:
             best, brand = score, name
     return (best, brand) if best >= 0.35 else (0.0, None)
+
+
+def _host_of(url: str) -> str:
+    """Host of an absolute URL or one without scheme, '' for others."""
+    m = re.match(r"(?:https?:)?//([^/?#]*)", url)
+    return m[1].split(":")[0].lower() if m else ""
+
+
+def audit(doc: Document, markup: str, own: str | None, official: Sequence[str] | None) -> tuple:
+    """(links, null, internal, external, empty shares, discrepancies, external resource share, favicon mismatch,
+    foreign scripts, techniques, highlights) of a page on the host `own` that shows a brand of the official hosts."""
+    own, canon, low = own or "", {x.lower() for x in official or ()}, markup.lower()
+    foreign = lambda there: bool(there) and there != own and there not in canon
+    count = {"null": 0, "internal": 0, "external": 0, "empty": 0}
+    links, deceptive, examples = doc.find("a"), 0, []
+    for i, attrs in links:
+        href, said = attrs.get("href", "").strip(), doc.begin[i][0] < doc.end[i][0]
+        count["empty"] += not said and doc.begin[i][2] == doc.end[i][2]
+        if href.lower() in h.NULL_LINKS:
+            count["null"] += 1
+            continue
+        there = _host_of(href)
+        count["internal" if not there or there == own or own.endswith("." + there) or there in canon else "external"] += 1
+        if foreign(there) and not there.endswith(tuple(LURES)):
+            text = doc.text(i).lower()
+            if HOST_TEXT.search(text) or any(b in text for b in LURES):
+                deceptive += 1
+                if len(examples) < 3:
+                    examples.append(f"  • Anchor text '{text[:40]}' deceptively routes to external host '{there}'")
+    shares = {k: round(v / len(links), 4) if links else 0.0 for k, v in count.items()}
+    sources = [v for tag, key in RESOURCES.items() for _, a in doc.find(tag) if (v := a.get(key, "")) and not v.startswith(("data:", "blob:", "#"))]
+    away = round(sum(foreign(_host_of(v.strip())) for v in sources) / len(sources), 4) if sources else 0.0
+    favicon = any("icon" in a.get("rel", "").lower() and foreign(_host_of(a.get("href", "").strip())) for _, a in doc.find("link"))
+    scripts = [v for _, a in doc.find("script") if (v := a.get("src", "")).startswith(("http://", "https://")) and canon and (there := _host_of(v)) not in canon and own not in there and there.endswith(ABUSED)]
+
+    actions = [(a.get("action", "").strip(), doc.begin[i][3] < doc.end[i][3]) for i, a in doc.find("form")]
+    mismatch = any(foreign(_host_of(x)) for x, _ in actions if x.lower() not in h.NULL_LINKS)
+    unhandled = any(secret and x.lower() in h.NULL_LINKS for x, secret in actions)
+    outside = sum(a.get("type", "").lower() == "password" and doc.nodes[i][2] < 0 for i, a in doc.find("input"))
+    shown = [((a.get("value") or doc.text(i)).lower(), "lock" in a.get("class", "").split()) for i, a in doc.find("input", "div", "span", "p")] if any(x in low for x in SIGN_IN_HOSTS) else []
+    window = any(w in low for w in h.FAKE_WINDOW) or any(x in t and (lock or "http://" in t or "https://" in t) for t, lock in shown for x in SIGN_IN_HOSTS)
+    packed = low.replace(" ", "")
+    no_click = any(w in low or w.replace(" ", "") in packed for w in h.NO_RIGHT_CLICK)
+    hooks = list(dict.fromkeys([m[0] for m in re.finditer(h.HOOK, markup)] + [m[1] for m in re.finditer(h.DROP_FILE, markup)]))
+    unseen: list[bool] = []
+    for n in doc.nodes:
+        unseen.append(n[3] in INVISIBLE or (n[0] >= 0 and unseen[n[0]]))
+    hidden = {(n[3], style.strip()) for n, u in zip(doc.nodes, unseen) if not u and HIDING.search(style := n[4].get("style", ""))}
+    decoys = len(hidden) + bool(ZERO_WIDTH.search(markup))
+    shadow = any(w in markup for w in h.SHADOW) or any("-" in n[3] and n[3] != "annotation-xml" for n in doc.nodes)
+    overlay = any(w in a.get("style", "").lower() for _, a in doc.find("iframe") for w in ("opacity: 0", "opacity:0", "z-index: 999", "position: absolute"))
+    findings = [
+        (mismatch, "T1056.001 (Credential Harvester Action Mismatch)", ["Credential Exfiltration Vector: Form action submits authentication payloads to mismatched external host."]),
+        (unhandled, "T1056.001 (Server Form Handler Mismatch)", ["Server Form Handler (SFH) Anomaly: Credential input form lacks a valid server action handler (empty/placeholder destination)."]),
+        (outside, "T1056.004 (Input Capture: Formless Credential Interception)", [f"Formless Credential Harvesting: Detected {outside} password input(s) rendered outside standard <form> wrappers."]),
+        (window, "T1185 (Browser-in-the-Browser False Authentication Window)", ["Browser-in-the-Browser (BiTB): Simulated desktop browser UI / OAuth modal detected mimicking legitimate SSO providers."]),
+        (deceptive, "T1566.002 (Spearphishing Link: Anchor Text Discrepancy)", [f"Anchor Text Deception: Detected {deceptive} hyperlink(s) displaying legitimate brand names that route to external target hosts.", *examples]),
+        (shares["null"] > 0.40 and len(links) >= 3, "T1566.002 (Dead Navigation Template)", [f"Null Hyperlink Density: {shares['null'] * 100:.0f}% of anchor tags are dead/placeholder links (#, javascript:void(0)), characteristic of cloned phishing kits."]),
+        (away > 0.60, None, [f"External Resource Dependency: {away * 100:.0f}% of images/scripts/stylesheets are hotlinked from external origins (CANTINA+ heuristic)."]),
+        (favicon, None, ["Favicon Origin Mismatch: Site favicon is loaded from an external third-party domain."]),
+        (no_click, "T1027 (Defense Evasion: Disabled Right-Click)", ["Anti-Analysis Evasion: Right-click / context menu has been programmatically disabled to obstruct source code review."]),
+        (any(w in low for w in h.NO_SELECTION), None, ["Anti-Analysis Evasion: Text selection / copy has been disabled via inline events or CSS user-select."]),
+        (hooks, "T1020 (Automated Exfiltration: Webhook / C2 Drop)", [f"Direct Exfiltration Hooks: Discovered {len(hooks[:3])} C2/Webhook endpoints ({', '.join(hooks[:3])})."]),
+        (decoys, "T1027.006 (HTML Steganography / Zero-Font Evasion)", [f"Zero-Font / CSS Text Obfuscation: Stripped {decoys} hidden zero-pixel/off-screen decoy spans."]),
+        (shadow, "T1027 (Defense Evasion: Encapsulated Shadow DOM)", ["Shadow DOM / Custom Components: Nested web components traversed to expose encapsulated authentication nodes."]),
+        (overlay, "T1204.001 (User Execution: Clickjacking Overlay)", ["Clickjacking Overlay: Hidden or zero-opacity iframe structure detected over viewport."]),
+        (scripts, "T1059.007 (JavaScript Execution from Untrusted Source)", [f"External Script Ingestion: Detected {len(scripts)} script(s) loaded from suspicious abuse TLDs."]),
+    ]
+    techniques = dict.fromkeys(t for hit, t, _ in findings if hit and t)
+    highlights = [x for hit, _, xs in findings if hit for x in xs] or ["DOM structures and form action endpoints exhibit normal layout patterns."]
+    return len(links), *shares.values(), deceptive, away, favicon, scripts, " / ".join(techniques) or "N/A", highlights
+
+
+AUDIT = pa.schema([
+    ("links", pa.int32()), *[(f"{k}_share", pa.float64()) for k in ("null", "internal", "external", "empty")], ("anchor_discrepancies", pa.int32()), ("external_resource_share", pa.float64()), ("favicon_mismatch", pa.bool_()),
+    ("foreign_scripts", pa.list_(pa.string())), ("techniques", pa.string()), ("highlights", pa.list_(pa.string())),
+])
+
+
+def page_audit(df: DataFrame, id_col: str, markup_col: str, own: Column, official: Column) -> DataFrame:
+    """One row per page, with links or without: see audit."""
+    return per_page(df, id_col, markup_col, [own, official], AUDIT, audit)

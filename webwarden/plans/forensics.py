@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from webwarden.functions import documents as d
 from webwarden.functions import forensics as f
 from webwarden.functions import html as h
+from webwarden.functions.urls import host
 from webwarden.plans.decisions import _S, signals
 from webwarden.plans.pages import _FORM, _FP, _TAGS, page_hosts, pages, profiles
 from webwarden.plans.training import table
@@ -79,13 +80,20 @@ def dom_layout_fingerprint(spark, sf_dir):
     return d.layout_fingerprints(pages(spark, sf_dir), "capture_id", "dom_html").withColumnRenamed("page_id", "capture_id")
 
 
+def dom_audit(spark, sf_dir):
+    """Links, resources, favicon and scripts of each page against its own host, with techniques and highlights."""
+    brands = table(spark, sf_dir, "protected_brands").select(F.col("brand_id").alias("matched_brand"), F.col("canonical_domains").alias("official"))
+    shown = pages(spark, sf_dir).join(F.broadcast(brands), "matched_brand", "left")
+    return d.page_audit(shown, "capture_id", "dom_html", F.lower(host(F.col("url"))), F.col("official")).withColumnRenamed("page_id", "capture_id")
+
+
 def dom_formless(spark, sf_dir):
     return f.formless_secrets(h.html_nodes(pages(spark, sf_dir), "capture_id", "dom_html")).withColumnRenamed("page_id", "capture_id")
 
 
 QUERIES = {
     q.__name__: q
-    for q in (dom_topology, dom_similarity, dom_brand_search, content_html_features, outbound_requests, recognised_text, brand_ladder, target_attribution, dom_tag_paths, semantic_text, dom_layout_fingerprint, dom_formless)
+    for q in (dom_topology, dom_similarity, dom_brand_search, content_html_features, outbound_requests, recognised_text, brand_ladder, target_attribution, dom_tag_paths, semantic_text, dom_layout_fingerprint, dom_audit, dom_formless)
 }
 
 _M = "lower(regexp_replace(dom_html, '(?s)<!--.*?-->', '', 'g'))"
