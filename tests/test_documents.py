@@ -67,3 +67,14 @@ def test_page_audit(spark):
     assert len(r["highlights"]) == 5 and "'sign in atpaypal'" in r["highlights"][1]
     assert (got[2]["external_share"], got[2]["external_resource_share"], got[2]["favicon_mismatch"], got[2]["techniques"]) == (0.0, 0.0, False, "N/A")
     assert got[3]["foreign_scripts"] == [] and got[3]["external_resource_share"] == 1.0 and got[4]["links"] == 0
+
+
+def test_content_model(spark):
+    page = "<html><head><title>Own</title><style>abc</style><script>alert(1)</script><!--note--></head><body><form>\n<input name='Pass'>Go &amp; on</form><a href='https://b.test/'>b</a><a href='https://own.test/'>o</a></body></html>"
+    df = spark.createDataFrame([(1, page, "https://own.test/"), (2, "<p>x</p>", "http://1.2.3.4/login")], "id bigint, html string, url string")
+    got = {r["page_id"]: r for r in d.content_model(df, "id", "html", F.col("url")).collect()}
+    r = got[1]
+    assert (r["html_len_tag"], r["html_len"], r["brand_domain"]) == (3 + 8 + 4 + 8, 3 + 8 + 2, 0)
+    assert (r["internal_link"], r["external_link"], r["login_form"], r["alarm_window"], r["title_domain"], r["domain_occurrence"]) == (1, 1, 1, 1, 1, 1)
+    assert r["score"] == round((1 + 1 + 2) / 23, 4)
+    assert (got[2]["score"], got[2]["brand_domain"], got[2]["html_len"]) == (round(4 / 11, 4), 1, 0)

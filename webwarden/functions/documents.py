@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from webwarden.functions import html as h
+from webwarden.functions.urls import content_url_measures
 
 # Elements whose text is no text of the elements around them, what makes a link visible without text,
 # and elements whose blank text is kept as it is.
@@ -51,6 +52,7 @@ class Document(h._Nodes):
         self.end: list[tuple[int, ...]] = []
         self.quiet: list[bool] = []
         self.coded = self.commented = 0
+        self.alarms = False
         self._seen = [0, 0, 0]
         self._data: list[str] = []
         self.feed(markup)
@@ -74,6 +76,7 @@ class Document(h._Nodes):
             data = "\n" if "\n" in data else " "
         if inside >= 0 and self.nodes[inside][3] in ("script", "style"):
             self.coded += len(data)
+            self.alarms |= self.nodes[inside][3] == "script" and ("alert" in data or "window.open" in data)
         if inside < 0 or not self.quiet[inside]:
             self._seen[0] += len(data)
             if data.strip():
@@ -111,6 +114,10 @@ class Document(h._Nodes):
     def unknown_decl(self, data):
         self._flush()
 
+    @property
+    def characters(self) -> int:
+        return self._seen[0]
+
     def find(self, *tags: str) -> list[tuple[int, dict[str, str]]]:
         """(node, attributes) of the elements of these names, in document order."""
         return [(i, n[4]) for i, n in enumerate(self.nodes) if n[3] in tags]
@@ -330,3 +337,58 @@ AUDIT = pa.schema([
 def page_audit(df: DataFrame, id_col: str, markup_col: str, own: Column, official: Column) -> DataFrame:
     """One row per page, with links or without: see audit."""
     return per_page(df, id_col, markup_col, [own, official], AUDIT, audit)
+
+
+EMPTY_LINKS = frozenset(["", "#", "#javascript::void(0)", "#content", "#skip", "javascript:;", "javascript::void(0);", "javascript::void(0)", "javascript:void(0)", "javascript:void(0);"])
+COMMON_LABELS = frozenset("com net org www http https html".split())
+CONTENT = ["internal_link", "external_link", "empty_link", "login_form", "html_len_tag", "html_len", "alarm_window", "redirection", "hidden", "title_domain", "brand_domain", "internal_resource", "external_resource", "domain_occurrence"]
+
+
+def _content_host(url: str) -> str:
+    """Host of a URL; what has no scheme is taken as one that begins with its host."""
+    m = re.match(r"(?:https?://)?([^/?#]*)", url)
+    return m[1].split(":")[0].lower() if m else ""
+
+
+def content_features(doc: Document, markup: str, url: str | None) -> dict[str, int]:
+    """Fourteen measures of a page's content against its own host."""
+    own, low = _content_host(url or ""), markup.lower()
+    hrefs = [v for _, a in doc.find("a") if (v := a.get("href", ""))]
+    away = lambda u: "http" in u and _content_host(u) != own
+    outer = sum(map(away, hrefs))
+    resources = [v for tag, key in (("link", "href"), ("img", "src"), ("script", "src"), ("noscript", "src")) for _, a in doc.find(tag) if (v := a.get(key, ""))]
+    foreign = sum(map(away, resources))
+    login = any(a.get("name") and doc.nodes[i][2] >= 0 and any(w in a["name"].lower() for w in ("pass", "login", "signin")) for i, a in doc.find("input"))
+    hidden = any("visibility:hidden" in a.get("style", "") or "display:none" in a.get("style", "") for _, a in doc.find("div")) or any(a.get("disabled") == "disabled" for _, a in doc.find("button", "input")) or any(a.get("type") == "hidden" for _, a in doc.find("input"))
+    title = " ".join(doc.text(i) for i, _ in doc.find("title")[:1]).lower()
+    labels = [x for x in own.split(".") if len(x) >= 3 and x not in COMMON_LABELS]
+    linked = Counter(_content_host(u) if "http" in u else own for u in hrefs)
+    forms = sum(doc.end[i][1] - doc.begin[i][1] for i, _ in doc.find("form"))
+    values = (
+        len(hrefs) - outer, outer, sum(u.strip().lower() in EMPTY_LINKS for u in hrefs), login, doc.coded + forms + doc.commented, doc.characters, doc.alarms, "redirect" in low[:5000], hidden, bool(own) and (own in title or any(x in title for x in labels)),
+        not linked or linked.most_common(1)[0][0] == own, len(resources) - foreign, foreign, low.count(own) if own else 0,
+    )
+    return dict(zip(CONTENT, map(int, values)))
+
+
+def content_score(markup: str, page: Mapping[str, int], url: Mapping[str, int]) -> float:
+    """Share of the weighted signals of a URL (of 11), and of a page of more than 50 characters too (of 23)."""
+    hits = 2 * url["domain_is_ip"] + url["sensitive_word"] + (not url["https"]) + (url["domain_len"] > 30) + (url["url_len"] > 75) + (url["num_dot_hostname"] > 3) + 2 * url["tld_in_domain"] + url["tld_in_path"] + (url["symbol_count"] > 2)
+    if len(markup) <= 50:
+        return round(hits / 11, 4)
+    hits += 2 * (page["external_link"] > max(3, page["internal_link"])) + 2 * (page["empty_link"] > 3) + page["login_form"] + page["alarm_window"] + page["redirection"] + page["hidden"]
+    hits += (not page["title_domain"]) + 2 * (not page["brand_domain"]) + (page["external_resource"] > page["internal_resource"])
+    return round(hits / 23, 4)
+
+
+def content_model(df: DataFrame, id_col: str, markup_col: str, url: Column) -> DataFrame:
+    """(page_id, fourteen measures, score) of each page."""
+
+    def one(doc: Document, markup: str, address: str | None, measures: Mapping) -> tuple:
+        page = content_features(doc, markup, address)
+        if len(markup) <= 50:
+            page = dict.fromkeys(CONTENT, 0) | {"brand_domain": 1}
+        return *page.values(), content_score(markup, page, measures)
+
+    measures = F.struct(*[F.coalesce(c, F.lit(0)).alias(k) for k, c in content_url_measures(url).items()])
+    return per_page(df, id_col, markup_col, [url, measures], pa.schema([*[(k, pa.int32()) for k in CONTENT], ("score", pa.float64())]), one)

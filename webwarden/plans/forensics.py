@@ -41,6 +41,11 @@ def content_html_features(spark, sf_dir):
     return pages(spark, sf_dir).select("capture_id", *[c.alias(k) for k, c in f.content_measures(F.col("dom_html"), F.col("url")).items()])
 
 
+def content_model(spark, sf_dir):
+    """All fourteen measures and the score, where `content_html_features` and its SQL have eleven of them."""
+    return d.content_model(pages(spark, sf_dir), "capture_id", "dom_html", F.col("url")).withColumnRenamed("page_id", "capture_id")
+
+
 def outbound_requests(spark, sf_dir):
     """The first of a page's forms that would carry a password away."""
     nodes = h.html_nodes(pages(spark, sf_dir), "capture_id", "dom_html")
@@ -93,7 +98,7 @@ def dom_formless(spark, sf_dir):
 
 QUERIES = {
     q.__name__: q
-    for q in (dom_topology, dom_similarity, dom_brand_search, content_html_features, outbound_requests, recognised_text, brand_ladder, target_attribution, dom_tag_paths, semantic_text, dom_layout_fingerprint, dom_audit, dom_formless)
+    for q in (dom_topology, dom_similarity, dom_brand_search, content_html_features, content_model, outbound_requests, recognised_text, brand_ladder, target_attribution, dom_tag_paths, semantic_text, dom_layout_fingerprint, dom_audit, dom_formless)
 }
 
 _M = "lower(regexp_replace(dom_html, '(?s)<!--.*?-->', '', 'g'))"
