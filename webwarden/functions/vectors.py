@@ -65,11 +65,30 @@ def code_likelihood(pixels: np.ndarray) -> tuple[float, bool]:
 
 
 def colour_signature(pixels: np.ndarray, top: int = 20) -> list[tuple[tuple[int, ...], tuple[float, float], int]]:
-    """(colour, centre, count) of the most frequent colours of an image, components modulo 32, first seen first."""
+    """(colour, centre, count) of the most frequent colours of an image, components modulo 32, the first seen column by column first."""
     a = np.asarray(pixels)
-    flat = (a.reshape(-1, a.shape[-1]) % 32).astype(int)
+    flat = (a.swapaxes(0, 1).reshape(-1, a.shape[-1]) % 32).astype(int)
     seen: dict[tuple[int, ...], list[int]] = {}
     for i, c in enumerate(map(tuple, flat.tolist())):
         seen.setdefault(c, []).append(i)
     ranked = sorted(seen.items(), key=lambda kv: -len(kv[1]))[:top]
-    return [(c, (float(np.mean([i % a.shape[1] for i in at])), float(np.mean([i // a.shape[1] for i in at]))), len(at)) for c, at in ranked]
+    return [(c, (float(np.mean([i // a.shape[0] for i in at])), float(np.mean([i % a.shape[0] for i in at]))), len(at)) for c, at in ranked]
+
+
+def signature_similarity(a: list, b: list, height: int = 100, width: int = 100, top: int = 20) -> tuple[float, bool]:
+    """(similarity, is_clone) of two colour signatures of RGBA images of the same size: each colour of the first takes
+    the nearest one left of the second, by half the colour and half the centre distance."""
+    n = min(len(a), len(b), top)
+    if n == 0:
+        return 0.0, False
+    reach = lambda s: float(np.sqrt((np.array([c for c, _, _ in s], float).max(axis=0) ** 2).sum()))
+    apart = lambda k: np.linalg.norm(np.array([x[k] for x in a[:n]], float)[:, None] - np.array([x[k] for x in b[:n]], float)[None], axis=2)
+    cost = 0.5 * apart(0) / max(reach(a), reach(b), 1e-6) + 0.5 * apart(1) / np.sqrt(height * width)
+    left, total = np.ones(n, bool), 0.0
+    for row in cost:
+        j = int(np.argmin(np.where(left, row, np.inf)))
+        left[j] = False
+        total += row[j]
+    mean = total / n
+    similarity = round(max(0.0, 1.0 - float(mean * 2 if mean > 0.3 else mean / 2 if mean < 0.3 else mean)), 4)
+    return similarity, similarity >= 0.955
