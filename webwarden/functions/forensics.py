@@ -101,14 +101,16 @@ def content_measures(markup: Column, url: Column) -> dict[str, Column]:
     }
 
 
-def first_exfiltration(requests: DataFrame, key: str, own_host: str, order: str, url: str, method: str, body: str, canary: str | None = None) -> DataFrame:
-    """(key, protocol, destination, is_external) of the first request, in order, that carries a secret away."""
+def first_exfiltration(requests: DataFrame, key: str, own_host: str, order: str, url: str, method: str, body: str, canary: str | None = None, place: str | None = None) -> DataFrame:
+    """(key, protocol, destination, is_external) of the first request, in order, that carries a secret away. `place`
+    names a column to report and judge instead of the URL for requests that are no chat hooks."""
     u, b = F.lower(F.coalesce(url, F.lit(""))), F.coalesce(body, F.lit(""))
     secret = _any(b, ["password=", "pass=", "decoy", "sec-trap", *([canary] if canary else [])])
     kind = F.when(_any(u, ["discord.com/api/webhooks", "discordapp.com/api/webhooks"]), "chat_webhook").when(F.contains(u, F.lit("api.telegram.org/bot")), "chat_bot").when(F.upper(method).isin("POST", "PUT") & secret, "http_post")
-    there = F.lower(host(F.col(url)))
+    place = place or url
+    there = F.lower(host(F.col(place)))
     out = kind.isin("chat_webhook", "chat_bot") | ~((there == F.col(own_host)) | F.endswith(there, F.concat(F.lit("."), F.col(own_host))))
-    rows = requests.select(key, order, kind.alias("protocol"), F.col(url).alias("destination"), out.alias("is_external")).filter("protocol is not null")
+    rows = requests.select(key, order, kind.alias("protocol"), F.when(kind == "http_post", F.col(place)).otherwise(F.col(url)).alias("destination"), out.alias("is_external")).filter("protocol is not null")
     return rows.groupBy(key).agg(F.min_by(F.struct("protocol", "destination", "is_external"), order).alias("r")).select(key, "r.*")
 
 

@@ -47,12 +47,15 @@ def content_model(spark, sf_dir):
 
 
 def outbound_requests(spark, sf_dir):
-    """The first of a page's forms that would carry a password away."""
+    """The first of a page's forms that would carry a password away, or go to a chat hook; the former are reported by
+    host, as in the SQL, the latter by their whole address."""
     nodes = h.html_nodes(pages(spark, sf_dir), "capture_id", "dom_html")
     forms = h.form_audit(nodes, page_hosts(spark, sf_dir)).join(page_hosts(spark, sf_dir).select("page_id", F.col("host").alias("own")), "page_id")
     body = F.when(F.col("has_password"), "password=x").otherwise("")
-    requests = forms.withColumn("body", body).withColumn("dest", F.concat(F.lit("https://"), "target"))
-    return f.first_exfiltration(requests, "page_id", "own", "node_id", "dest", "method", "body").withColumnRenamed("page_id", "capture_id")
+    place = F.concat(F.lit("https://"), "target")
+    address = F.when(F.col("is_null_action"), place).when(F.col("action").rlike("^(?i)https?://"), F.col("action")).when(F.startswith("action", F.lit("//")), F.concat(F.lit("https:"), "action")).otherwise(F.concat(F.lit("https://"), "own", F.lit("/"), F.ltrim("action", F.lit("/"))))
+    requests = forms.withColumn("body", body).withColumn("place", place).withColumn("address", address)
+    return f.first_exfiltration(requests, "page_id", "own", "node_id", "address", "method", "body", place="place").withColumnRenamed("page_id", "capture_id")
 
 
 def recognised_text(spark, sf_dir):
