@@ -72,3 +72,13 @@ def test_long_broken_markup_is_quick():
     for text in ("<" * 300_000, "<!--" * 100_000, "<b " * 100_000, "{{" * 100_000, "word " * 100_000, "X" * 300_000, "*** A" * 50_000):
         assert m.measured_page(text) is not None
     assert time.time() - start < 20
+
+
+def test_chance_repeats_on_a_large_host_are_content(spark):
+    line = "<p>the front desk could reproduce it with an empty profile today</p>"
+    note = "<p>Something went wrong while we loaded the page.</p>"
+    rows = [(i, "https://big.test/a", page((line if i < 4 else "") + BODY, "Title " + "abcdefghijklmnopqrstuvwxyz"[i])) for i in range(26)]
+    rows.append((99, "https://big.test/b", page(line + note, "Bank")))
+    df = spark.createDataFrame(rows, "capture_id bigint, url string, dom_html string")
+    got = {r["row_id"]: (r["residual_words"], r["is_residue"]) for r in m.residual_pages(df).collect()}
+    assert got[99] == (11, False)

@@ -77,6 +77,8 @@ FILLER_PART, FILLER_LEAST = 0.8, 2
 SPARE_WORDS, HEADED_WORDS, FILLED_PART = 6, 16, 0.5
 #: A line is boilerplate of a host if it stands under this many different titles of it.
 RECURS_UNDER = 3
+#: and under this share of all its titles, so that chance repeats on a host of many pages are none.
+RECURS_SHARE = 0.2
 #: Longest line that can be boilerplate: menus, buttons, footers, never a paragraph.
 BOILERPLATE_WORDS = 12
 
@@ -203,7 +205,10 @@ def residual_pages(df: DataFrame, id_col: str = "capture_id", url_col: str = "ur
     key = F.xxhash64("host", "line").alias("line_key")
     under = pages.select("host", "title", F.explode("lines").alias("l")).select("host", F.col("l.line").alias("line"), "title")
     counted = under.groupBy("host", "line", "title").count().groupBy("host", "line").agg(F.count(F.lit(1)).alias("titles"), F.sum("count").alias("uses"))
-    recurrent = materialize(counted.filter(F.col("titles") >= RECURS_UNDER).select(key, "uses"), "recurrent")
+    frequent = materialize(counted.filter(F.col("titles") >= RECURS_UNDER), "frequent")
+    titled = pages.groupBy("host", "title").count().groupBy("host").agg(F.count(F.lit(1)).alias("host_titles"), F.sum("count").alias("pages")).filter(F.col("host_titles") >= RECURS_UNDER)
+    repeated = lookup_join(frequent, materialize(titled, "titled"), "host", "pages")
+    recurrent = materialize(repeated.filter(F.col("titles") >= RECURS_SHARE * F.col("host_titles")).select(key, "uses"), "recurrent")
     evidence = F.col("error_words") + F.col("script_words") + F.col("filler_words")
     judged = pages.filter(evidence > 0)
     lines = judged.select("row_id", "host", F.explode("lines").alias("l")).select("row_id", F.xxhash64("host", "l.line").alias("line_key"), F.col("l.words").alias("words"))
