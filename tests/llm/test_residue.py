@@ -82,3 +82,54 @@ def test_chance_repeats_on_a_large_host_are_content(spark):
     df = spark.createDataFrame(rows, "capture_id bigint, url string, dom_html string")
     got = {r["row_id"]: (r["residual_words"], r["is_residue"]) for r in m.residual_pages(df).collect()}
     assert got[99] == (11, False)
+
+
+#: Pages without content in seven languages, none of them worded as in the given tables, and short pages of content.
+HELD_OUT = {
+    "en": ["Sorry, that page is gone.", "We are down for scheduled maintenance. Service resumes at noon.", "Your request could not be processed.", "Hmm, this link seems to point nowhere: the address does not exist.", "The connection to the database was refused.",
+           "This site works best with scripting turned on.", "Scripts must be allowed for this app to run.", "Your session expired because the server failed to answer.", "HTTP 410", "Your access to this resource has been denied by the administrator.", "Insert your headline here.", "The service is temporarily overloaded, please try again later."],
+    "de": ["Diese Seite existiert leider nicht mehr.", "Ihre Anfrage konnte nicht verarbeitet werden.", "Wegen Wartungsarbeiten ist unser Angebot derzeit nicht erreichbar.", "Die Verbindung zum Server ist fehlgeschlagen.", "Sie haben keine Berechtigung, diese Datei zu öffnen.",
+           "Ohne JavaScript lässt sich diese Anwendung nicht starten.", "Schalten Sie Skripte ein: JavaScript ist deaktiviert.", "Hier Ihren Text einfügen.", "Fehler 503"],
+    "fr": ["Cette page n'existe plus.", "Votre demande n'a pas pu être traitée : le serveur ne répond pas.", "Le site est en maintenance.", "Une erreur est survenue sur le serveur.", "Vous n'êtes pas autorisé à ouvrir ce fichier.", "Cette application ne fonctionne pas sans JavaScript.", "JavaScript est désactivé dans votre navigateur.", "Insérez votre texte ici.", "Erreur 500"],
+    "es": ["Esta página ya no existe: la dirección no es válida y no se puede encontrar.", "El servidor no responde.", "No se pudo procesar su solicitud.", "Sitio en mantenimiento.", "Ha ocurrido un error en el servidor.", "Esta aplicación no funciona sin JavaScript.", "Debe habilitar JavaScript en su navegador.", "Escriba aquí su texto.", "Acceso denegado"],
+    "it": ["Pagina non trovata", "Il server non risponde.", "Il sito è in manutenzione.", "Si è verificato un errore nel servizio.", "Non hai il permesso di accedere a questa risorsa.", "Per usare questo sito occorre attivare JavaScript.", "Questa applicazione richiede JavaScript.", "Inserisci qui il tuo testo.", "Errore 404"],
+    "pt": ["Página não encontrada", "O servidor não responde.", "O site está em manutenção.", "Ocorreu um erro no servidor.", "Você não tem permissão para acessar este arquivo.", "Este aplicativo requer JavaScript.", "Ative o JavaScript para continuar.", "Insira aqui o seu texto.", "Acesso negado"],
+    "nl": ["Deze pagina bestaat niet.", "De server is onbereikbaar.", "De website is in onderhoud.", "Er is een fout opgetreden op de server.", "U heeft geen toestemming om dit bestand te openen.", "JavaScript is uitgeschakeld in uw browser.", "Plaats hier uw tekst.", "Toegang geweigerd"],
+    "marks": ['Dear {{ user.name | default("x") }}, hello', "Dear [First Name], hello", "Dear {FIRSTNAME}, hello", "Dear &lt;FIRST_NAME&gt;, hello", "You owe ${amount:,.2f} today", "Hello %(name)s", "Hi *|FNAME|*", "Hi %FIRSTNAME%", "Bonjour <%= nom %>, merci", "Hola {$nombre}"],
+}
+CONTENT_PAGES = [
+    "The bakery on Mill Street opens at six and sells rye bread.", "Not every visitor reads the guide, yet most of them enjoy the tour.", "Die Bäckerei öffnet um sechs Uhr und verkauft kein Weißbrot.", "Le marché n'ouvre pas le lundi, mais la boulangerie reste ouverte.",
+    "La biblioteca no abre los lunes por la tarde.", "Il mercato non apre il lunedì mattina.", "A feira não abre às segundas.", "De markt is niet open op maandag.", "Room 404 is on the fourth floor, next to the lift.", "Our script for the school play needs two more actors and a narrator tonight.",
+    "We sell 500 grams of tea for the price of 400.", "[1] See the second chapter for the 50% [sic] rule and #1 tip.", "If the page does not open, call the front desk before noon.", "She wrote a text about her sample garden and a heading north.", "Bids are due within 30 minutes of the auction's start.",
+]
+
+
+def test_held_out_wording_in_seven_languages():
+    def found(text):
+        _, placeholders, heads, e, s, f, c, _ = m.measured_page(f"<html><body><div>{text}</div></body></html>")
+        return placeholders > 0 or (e + s + f > 0 and c <= m.SPARE_WORDS)
+
+    missed = {k: [t for t in texts if not found(t)] for k, texts in HELD_OUT.items()}
+    assert all(len(v) <= 0.1 * len(HELD_OUT[k]) + 0.5 for k, v in missed.items()), missed
+    assert sum(map(len, missed.values())) <= 0.1 * sum(map(len, HELD_OUT.values())), missed
+    wrong = [t for t in CONTENT_PAGES if found(t)]
+    assert len(wrong) <= 1, wrong
+
+
+def test_evidence_on_every_page_of_a_host_is_subtracted(spark):
+    banner = "<noscript>This shop needs JavaScript; switch it on for the basket.</noscript>"
+    rows = [(i, "https://shop.test/a", page(banner + BODY, f"Title {'abcdef'[i]}")) for i in range(4)]
+    rows.append((7, "https://shop.test/b", page(banner + "<p>Open daily from nine.</p>", "Hours")))  # little content, and a banner that says nothing of it
+    rows.append((8, "https://shop.test/c", page(banner, "Basket")))  # nothing but the banner
+    rows.append((9, "https://shop.test/d", page(banner + "<p>404 Not Found</p><p>Open daily from nine.</p>", "Lost")))
+    rows += [(20 + i, "https://dead.test/a", page("<p>This page is gone.</p>", f"Title {'abcdef'[i]}")) for i in range(5)]  # errors without content are no boilerplate
+    df = spark.createDataFrame(rows, "capture_id bigint, url string, dom_html string")
+    got = {r["row_id"]: r["is_residue"] for r in m.residual_pages(df).collect()}
+    assert got == {**dict.fromkeys(range(4), False), 7: False, 8: True, 9: True, **dict.fromkeys(range(20, 25), True)}
+    without = {r["row_id"]: r["is_residue"] for r in m.residual_pages(df, subtract=False).collect()}
+    assert without[7] is True  # the subtraction decides this row
+
+
+def test_long_messages_are_evidence():
+    long = "The page that you asked for was moved by our editors some time ago and, as far as we can tell from the records that the archive keeps of such moves, can therefore no longer be found under this address today"
+    assert m.kind_of(long)[0] == m.ERROR
