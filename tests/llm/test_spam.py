@@ -51,3 +51,43 @@ def test_long_odd_texts_are_quick():
     for text in ("a-" * 100_000 + ". b", "a." * 100_000, "x" * 300_000, "| " * 100_000, "https://" * 40_000, "[url=" * 50_000 + ".", ". " * 100_000):
         assert m.measured(text, None) is not None
     assert time.time() - start < 20
+
+
+#: Languages without fixed function words: plain prose, and words that spam repeats.
+OTHERS = {
+    "pl": ("Analityk zamknął sprawę, ponieważ formularz logowania został już usunięty ze strony. Klienci banku otrzymują wiadomość, która obiecuje zwrot pieniędzy, ale prowadzi do fałszywej witryny. Kto zapomniał hasła, może zgłosić się do oddziału w mieście. Serwer odpowiada od wczoraj inną stroną i ukrywa pole adresu.", "kredyt bonus bank logowanie hasło gratis"),
+    "tr": ("Analist, giriş formu sayfadan zaten kaldırıldığı için dosyayı kapattı. Bankanın müşterileri para iadesi vaat eden bir mesaj alıyor, ancak bağlantı sahte bir siteye gidiyor. Şifresini unutanlar şehirdeki şubeye başvurabilir. Sunucu dünden beri başka bir sayfa gösteriyor.", "kredi bonus banka giriş şifre bedava"),
+    "fi": ("Tutkija sulki tapauksen, koska kirjautumislomake oli jo poistettu sivulta. Pankin asiakkaat saavat viestin, joka lupaa hyvitystä, mutta linkki vie väärennetylle sivustolle. Salasanansa unohtanut voi kysyä uutta konttorista. Palvelin on eilisestä lähtien näyttänyt toista sivua.", "laina bonus pankki kirjaudu salasana ilmainen"),
+    "it": ("L'analista ha chiuso il caso perché il modulo di accesso era già stato tolto dalla pagina. I clienti della banca ricevono un messaggio che promette un rimborso, ma il collegamento porta a un sito falso. Chi ha dimenticato la parola chiave può rivolgersi alla filiale in città.", "prestito bonus banca accesso gratis rimborso"),
+    "nl": ("De analist sloot de zaak omdat het aanmeldformulier al van de pagina was gehaald. Klanten van de bank krijgen een bericht dat een terugbetaling belooft, maar de koppeling leidt naar een valse site. Wie het wachtwoord vergeten heeft, kan bij het filiaal terecht.", "lening bonus bank inloggen gratis korting"),
+}
+
+
+def test_languages_without_fixed_function_words(spark):
+    rows, want = [], {}
+    for code, (prose, keys) in OTHERS.items():
+        words = keys.split()
+        mixed = " ".join(words[i * i % len(words)] for i in range(60))
+        tags = " | ".join(f"{words[i % 6]} {words[i * 5 % 6]} {i}.99" for i in range(20))
+        links = "\n".join(f"https://h{i}.test/{words[i % 6]}?a={i}" for i in range(16))
+        first = prose.split(". ")[0] + "."
+        for text, spam in ((prose, False), (first, False), (prose.replace(". ", ".\n"), False), (mixed, True), (tags, True), (links, True), (first + "\n" + mixed, True)):
+            for lang in (code, None, "en"):
+                want[len(rows)] = spam
+                rows.append((len(rows), text, lang))
+    # The thresholds are those of a corpus: fifty documents of running text in a known language.
+    rows += [(len(rows) + i, f"{EN}{EN.replace('form', f'form{i}')}"[: 300 + i], "en") for i in range(m.LEARN_DOCS)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["is_spam"] for r in m.spam_verdicts(df).collect()}
+    wrong = [(rows[i][2], rows[i][1][:60], got[i]) for i in want if got[i] != want[i]]
+    assert not wrong, wrong
+
+
+def test_function_words_are_learnt_from_document_frequency(spark):
+    prose = OTHERS["nl"][0].split(". ")
+    rows = [(i, f"{prose[i % len(prose)]}. {prose[(i + 1) % len(prose)]}.", "nl-NL" if i % 2 else " NL ") for i in range(m.LEARN_DOCS)] + [(900 + i, "kaas brood kaas brood", "fi") for i in range(m.LEARN_DOCS - 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learnt = m.learnt_words(df, "text", "lang")
+    assert set(learnt) == {"nl"} and {"de", "het", "van", "een"} <= set(learnt["nl"])
+    lang, words, function, *_ = m.measured(OTHERS["nl"][0], None, m.Lexicon(learnt))
+    assert lang == "nl" and sum(function) > 0.3 * sum(words)

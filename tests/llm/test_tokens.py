@@ -50,3 +50,11 @@ def test_chunks_cover_everything():
     texts = ["a" * n for n in (5, 0, 9, 1, 30, 2)] + [None]
     assert [i for a, b in m.chunks(texts, 10) for i in range(a, b)] == list(range(7))
     assert list(m.chunks([])) == []
+
+
+def test_forgetting_pairs_changes_nothing(reference, monkeypatch):
+    monkeypatch.setattr(m, "PAIR_CACHE", 8)
+    small = m.SpeculativeEncoder(*m.load_vocabulary("byte_bpe_50k"))
+    texts = ["a tokenizer forgets what it has judged", "unbelievably shortsighted encodings", "a tokenizer judges pairs again"]
+    for t in texts * 2:
+        assert small.encode_batch([t])[0].tolist() == reference(t)

@@ -5,7 +5,11 @@ counted; per document come the share of the most frequent word, of repeated thre
 lines, the share of words in links, and the density of separators. Over all documents the usual share of function
 words of each language is then computed, and a segment counts as running text only if it reaches a set part of
 what is usual in its language. A document is found if most of its words stand outside running text and at least
-one of the measures is beyond its threshold.
+one of the measures is beyond its threshold, a high quantile of the language's documents of running text.
+
+The function words of four languages are fixed values; those of any other language that enough documents declare are
+learnt from their document frequency. Missing function words alone never make a document spam: in a language of
+which nothing is known all words stand outside running text, and the other measures decide.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webwarden.session import materialize
@@ -41,11 +45,7 @@ _BLOB = re.compile(r"^(?:0x[0-9a-fA-F]+|[0-9a-fA-F]{16,}|[A-Za-z0-9+/]{40,}={0,2
 _DIGITS = re.compile(r"\d+")
 _SHAPE = re.compile(r"[^\W\d_]+")
 _HOST = re.compile(r"(?i)(?<![\w.-])(?:hxxps?://)?[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![a-z0-9])")
-_SETS = [frozenset(FUNCTION_WORDS[k]) for k in LANGUAGES]
-_ALL = frozenset().union(*_SETS)
 _TOKEN = re.compile(r"[^\W_]\S*")
-#: Words that sort before this are in Latin letters.
-_LATIN_END = "ɐ"
 MEASURES = ["top_word", "repeated_trigrams", "repeated_lines", "link_share", "separators"]
 
 #: A segment is running text if it has at least this many words and this part of its language's usual share of
@@ -53,10 +53,32 @@ MEASURES = ["top_word", "repeated_trigrams", "repeated_lines", "link_share", "se
 MIN_WORDS, USUAL_PART, MIN_STUFFED, MAJORITY = 4, 0.35, 12, 0.5
 #: Quantile of the measures of documents of running text that a found document must exceed in one measure at least,
 #: and the least value of each threshold.
-QUANTILE = 0.99
-FLOORS = {"top_word": 0.06, "repeated_trigrams": 0.10, "repeated_lines": 0.30, "link_share": 0.25, "separators": 0.25}
+QUANTILE = 0.95
+FLOORS = {"top_word": 0.12, "repeated_trigrams": 0.10, "repeated_lines": 0.30, "link_share": 0.25, "separators": 0.25}
+#: A language without fixed function words is learnt from this many documents that declare it: the words that stand in
+#: this share of them are its function words, at most LEARN_MOST, the most frequent first. A statistic over all
+#: documents; the bound is on words of a language, since no language needs more.
+LEARN_DOCS, LEARN_SHARE, LEARN_MOST = 50, 0.15, 60
+
+
+def _code(lang: Column) -> Column:
+    """The language that a document declares, as its first two letters in lower case; null for none."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(lang)), "^([a-z]{2})(?:[^a-z]|$)", 1), F.lit(""))
 
 
+def learnt_words(df: DataFrame, text_col: str, lang_col: str) -> dict[str, list[str]]:
+    """The function words of the languages that are declared but not among the fixed ones, by document frequency over
+    all documents that declare them. At most LEARN_MOST words for each two-letter code come to the driver."""
+    code = _code(F.col(f"`{lang_col}`").cast("string"))
+    other = df.select(code.alias("code"), F.col(f"`{text_col}`").alias("text")).filter(F.col("code").isNotNull() & ~F.col("code").isin("un", *LANGUAGES) & F.col("text").rlike(r"\S"))
+    words = other.select("code", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))))).alias("word"))
+    counted = words.groupBy("code", "word").agg(F.count(F.lit(1)).alias("n"))
+    docs = counted.filter("word = ''").select("code", F.col("n").alias("docs")).filter(F.col("docs") >= LEARN_DOCS)
+    # Two-letter codes are fewer than 700, so their sizes may be sent out.
+    frequent = counted.filter("word <> ''").join(F.broadcast(docs), "code").filter(F.col("n") >= LEARN_SHARE * F.col("docs"))
+    ranked = frequent.withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy(F.col("n").desc(), "word"))).filter(F.col("r") <= LEARN_MOST)
+    return {r["code"]: sorted(r["words"]) for r in ranked.groupBy("code").agg(F.collect_list("word").alias("words")).collect()}
+
 
 def segments(text: str) -> Iterator[tuple[str, bool]]:
     """(segment, neutral): the sentences and lines of a text. Log lines, fenced code and defanged indicators are
@@ -76,16 +98,29 @@ def segments(text: str) -> Iterator[tuple[str, bool]]:
                 yield part, False
 
 
-def measured(text: str, declared: str | None) -> tuple:
-    """(lang, seg_words, seg_function, neutral words, Latin words, five measures) of one text.
+class Lexicon:
+    """The function words by language, the fixed ones and those learnt."""
+
+    def __init__(self, learnt: dict[str, list[str]] | None = None) -> None:
+        sets = {**{k: frozenset(v) for k, v in (learnt or {}).items()}, **{k: frozenset(FUNCTION_WORDS[k]) for k in LANGUAGES}}
+        self.languages = sorted(sets)
+        self.sets = [sets[k] for k in self.languages]
+        self.all = frozenset().union(*self.sets)
+
+
+FIXED = Lexicon()
+
+
+def measured(text: str, declared: str | None, lexicon: Lexicon = FIXED) -> tuple:
+    """(lang, seg_words, seg_function, neutral words, five measures) of one text.
 
     lang is the language with most function words, else the declared one, else "und". seg_words and seg_function
-    have the words and function words of each segment; links and hosts count as one word each.
+    have the words and function words of each segment; links and hosts count as one word each. The top word is the
+    share of its further uses, so that a word used twice in a short note weighs little.
     """
     counts: list[int] = []
     spoken: list[list[str]] = []
     words: list[str] = []
-    shapes: set[str] = set()
     neutral = links = separators = tokens = 0
     for part, aside in segments(text):
         if aside:
@@ -109,36 +144,36 @@ def measured(text: str, declared: str | None) -> tuple:
         links += found + hosts * (len(w) < MIN_WORDS)
         separators += len(_SEPARATOR.findall(part.strip())) - (1 if part.lstrip()[:1] == "#" else 0)
         words += w
-        shapes.add(_DIGITS.sub("0", _SHAPE.sub("w", body.strip())))
     seen = Counter(words)
-    total = [sum(map(seen.__getitem__, s)) for s in _SETS]
+    total = [sum(map(seen.__getitem__, s)) for s in lexicon.sets]
     if any(total):
-        k = max(range(len(LANGUAGES)), key=total.__getitem__)
-        has = _SETS[k].__contains__
-        lang, function = LANGUAGES[k], [sum(map(has, w)) for w in spoken]
+        k = max(range(len(total)), key=total.__getitem__)
+        has = lexicon.sets[k].__contains__
+        lang, function = lexicon.languages[k], [sum(map(has, w)) for w in spoken]
     else:
         code = (declared or "").strip().lower()[:2]
-        lang, function = code if code in FUNCTION_WORDS else "und", [0] * len(counts)
-    top = max((n for w, n in seen.items() if w not in _ALL), default=0) / max(1, len(words))
+        lang, function = code if code in lexicon.languages else "und", [0] * len(counts)
+    top = max((n - 1 for w, n in seen.items() if w not in lexicon.all), default=0) / max(1, len(words))
     repeats = 1 - len(set(zip(words, words[1:], words[2:]))) / (len(words) - 2) if len(words) > 2 else 0.0
-    lines = 1 - len(shapes) / max(1, len(counts))
-    latin = sum(map(_LATIN_END.__gt__, words))
-    return lang, counts, function, neutral, latin, top, repeats, lines, links / max(1, tokens), max(0, separators) / max(1, tokens)
+    rows = [line for line in text.splitlines() if line.strip()]
+    lines = 1 - len({_DIGITS.sub("0", _SHAPE.sub("w", line.strip())) for line in rows}) / max(1, len(rows))
+    return lang, counts, function, neutral, top, repeats, lines, links / max(1, tokens), max(0, separators) / max(1, tokens)
 
 
 _SCHEMA = pa.schema(
-    [("doc_id", pa.int64()), ("lang", pa.string()), ("seg_words", pa.list_(pa.int32())), ("seg_function", pa.list_(pa.int32())), ("neutral", pa.int32()), ("latin_words", pa.int32()), *[(m, pa.float64()) for m in MEASURES]]
+    [("doc_id", pa.int64()), ("lang", pa.string()), ("seg_words", pa.list_(pa.int32())), ("seg_function", pa.list_(pa.int32())), ("neutral", pa.int32()), *[(m, pa.float64()) for m in MEASURES]]
 )
-_DDL = "doc_id bigint, lang string, seg_words array<int>, seg_function array<int>, neutral int, latin_words int, " + ", ".join(f"{m} double" for m in MEASURES)
+_DDL = "doc_id bigint, lang string, seg_words array<int>, seg_function array<int>, neutral int, " + ", ".join(f"{m} double" for m in MEASURES)
 
 
 def text_measures(df: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
     """The measures of each text that is not null or blank; whole texts, in Arrow batches."""
+    lexicon = Lexicon(learnt_words(df, text_col, lang_col)) if lang_col else FIXED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, langs = (batch.column(i).to_pylist() for i in range(3))
-            rows = [(i, *measured(t, g)) for i, t, g in zip(ids, texts, langs)]
+            rows = [(i, *measured(t, g, lexicon)) for i, t, g in zip(ids, texts, langs)]
             cols = list(zip(*rows)) if rows else [()] * len(_SCHEMA)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA)], schema=_SCHEMA)
 
@@ -150,9 +185,10 @@ def text_measures(df: DataFrame, id_col: str, text_col: str, lang_col: str | Non
 def judged(measures: DataFrame) -> DataFrame:
     """Add total, stuffed (words outside running text), and the language's thresholds, and `is_spam`.
 
-    `measures` is read three times: for the usual share of function words of each language (the median over all its
-    documents), for the thresholds (a high quantile over its documents of running text), and for the verdict. Both
-    statistics have one row per language and are sent by broadcast.
+    `measures` is read for the usual share of function words of each language (the median over all its documents), for
+    the thresholds (a high quantile over its documents of running text; where these are fewer than LEARN_DOCS, over
+    those of all languages), and for the verdict. The statistics have one row per language, or one row in all, and are
+    sent by broadcast.
     """
     words = F.aggregate("seg_words", F.lit(0), lambda a, x: a + x)
     share = F.aggregate("seg_function", F.lit(0), lambda a, x: a + x) / words
@@ -165,15 +201,15 @@ def judged(measures: DataFrame) -> DataFrame:
     pairs = F.arrays_zip("seg_words", "seg_function")
     running = F.aggregate(pairs, F.lit(0), lambda a, p: a + F.when((p["seg_words"] >= MIN_WORDS) & (p["seg_function"] >= F.col("need") * p["seg_words"]), p["seg_words"]).otherwise(0))
     rated = rated.withColumn("total", words + F.col("neutral")).withColumn("stuffed", words - running)
-    clean = rated.filter(F.col("stuffed") < 0.2 * F.col("total"))
-    limits = clean.groupBy("lang").agg(*[F.percentile_approx(m, QUANTILE).alias(f"{m}_q") for m in MEASURES])
-    limited = rated.join(F.broadcast(limits), "lang", "left")
+    clean = F.col("stuffed") < 0.2 * F.col("total")
+    # A row for each language and one, without language, for all; that one's values stand in for languages of few documents.
+    rolled = rated.rollup("lang").agg(F.count_if(clean).alias("n"), *[F.percentile_approx(F.when(clean, F.col(m)), QUANTILE).alias(m) for m in MEASURES])
+    of_all = [F.max(F.when(F.col("lang").isNull(), F.col(m))).over(Window.partitionBy(F.lit(0))) for m in MEASURES]
+    limits = rolled.select("lang", *[F.coalesce(F.when(F.col("n") >= LEARN_DOCS, F.col(m)), o, F.lit(0.0)).alias(f"{m}_q") for m, o in zip(MEASURES, of_all)])
+    limited = rated.join(F.broadcast(limits), "lang")
     beyond = F.lit(False)
     for m in MEASURES:
-        beyond = beyond | (F.col(m) > F.least(F.greatest(F.coalesce(f"{m}_q", F.lit(0.0)), F.lit(FLOORS[m])), F.lit(2 * FLOORS[m])))
-    # Function words are missing where a text of some length, in letters that could spell them, has almost none.
-    missing = (F.col("latin_words") >= 2 * MIN_STUFFED) & (share < F.lit(0.5) * F.col("need"))
-    beyond = beyond | missing
+        beyond = beyond | (F.col(m) > F.greatest(F.col(f"{m}_q"), F.lit(FLOORS[m])))
     spam = (F.col("stuffed") >= MIN_STUFFED) & (F.col("stuffed") > MAJORITY * F.col("total")) & beyond
     return limited.select("doc_id", "lang", "total", "stuffed", *MEASURES, spam.alias("is_spam"))
 

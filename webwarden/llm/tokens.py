@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 TOKENIZER_DIR = os.environ.get("WEBWARDEN_TOKENIZERS", "/opt/tokenizers")
 #: Words that a process remembers before it starts afresh: a bound on memory, without effect on results.
 WORD_CACHE = 400_000
+#: Judged pairs of tokens that a worker remembers, nine bytes each, before it starts afresh.
+PAIR_CACHE = 4_000_000
 #: Characters of text that are encoded at once.
 CHUNK_CHARS = 4_000_000
 
@@ -107,11 +109,14 @@ class SpeculativeEncoder:
         at = np.searchsorted(self.known, keys)
         at[at == len(self.known)] = 0
         new = np.unique(keys if not len(self.known) else keys[self.known[at] != keys])
+        if len(self.known) and len(self.known) + len(new) > PAIR_CACHE:
+            # Judged pairs are forgotten all at once, and those of this call are judged again, so that none is missing.
+            self.known, self.fits = np.empty(0, np.int64), np.empty(0, bool)
+            return self.compatible(left, right)
         if len(new):
             judged = np.fromiter((self.merge(self.bytes_of[k >> 20] + self.bytes_of[k & 0xFFFFF]) == [k >> 20, k & 0xFFFFF] for k in new.tolist()), bool, len(new))
-            known = np.concatenate([self.known, new])
-            order = np.argsort(known)
-            self.known, self.fits = known[order], np.concatenate([self.fits, judged])[order]
+            place = np.searchsorted(self.known, new)
+            self.known, self.fits = np.insert(self.known, place, new), np.insert(self.fits, place, judged)
             at = np.searchsorted(self.known, keys)
         return self.fits[at]
 
