@@ -1,5 +1,8 @@
 import json
 
+from hypothesis import given
+from hypothesis import strategies as st
+
 from webwarden.operators import shredding as m
 
 
@@ -37,3 +40,34 @@ def test_entity_tables_keep_links(spark):
     assert (form["action_url"], form["method"], form["has_password_field"], form["parent_pos"]) == (None, "GET", "true", -1)
     (field,) = m.entity_table(nodes, "input_fields").collect()
     assert (field["name"], field["type"], field["parent_pos"], field["record_id"]) == ("a", None, 0, 5)
+
+
+def test_any_depth_any_length_and_the_standard(spark):
+    depth = 100_000
+    deep = '{"a":' * depth + '{"hops":[{"url":"d"}]}' + "}" * depth
+    lists = "[" * depth + '{"hops":{"url":"e"}}' + "]" * depth
+    text = json.dumps({"hops": " " * 100 + "\n" + json.dumps([{"url": "f"}])})
+    digits = '{"hops":[{"url":"g","status_code":' + "1" * 5000 + "}]}"
+    got = children(spark, deep, lists, text, digits, '{"hops":[{"url":"h","status_code":NaN}]}', '{"hops":[{"url":"i"}],"x":-Infinity}', deep[:-1])
+    assert [(r[0], r[5]) for r in got] == [(0, "d"), (1, "e"), (2, "f"), (3, "g")]
+    nodes = m.adjacency(spark.createDataFrame([(1, digits)], "report_id bigint, payload string"), "report_id", "payload")
+    assert m.entity_table(nodes, "hops").first()["status_code"] == "1" * 5000
+
+
+values = st.recursive(st.none() | st.booleans() | st.integers(-10**9, 10**9) | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=5), lambda c: st.lists(c, max_size=4) | st.dictionaries(st.text(max_size=3), c, max_size=4), max_leaves=20)
+
+
+@given(values, st.sampled_from([None, 1]), st.text(alphabet='{}[],:" x', max_size=2), st.integers(0, 40))
+def test_both_parsers_agree(value, indent, junk, at):
+    text = json.dumps(value, indent=indent)
+    assert m.parse_any_depth(text) == value
+    broken = text[:at] + junk + text[at:]
+    try:
+        want = json.loads(broken)
+    except ValueError:
+        want = ValueError
+    try:
+        got = m.parse_any_depth(broken)
+    except ValueError:
+        got = ValueError
+    assert got == want or got is want

@@ -9,7 +9,9 @@ the link to the parent entity.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,17 +31,102 @@ ENTITIES = {
 RESULT_LIST, PARENT_OF = "results", {"input_fields": "form_actions"}
 
 
+class Digits(str):
+    """A whole number of more digits than the parser converts, as it was written."""
+
+
+def _refused(word: str):
+    raise ValueError(f"{word} is no JSON")
+
+
+_DECODER = json.JSONDecoder(parse_constant=_refused)
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?")
+_OPENING = re.compile(r"[ \t\n\r]*[\[{]")
+_LITERALS = {"t": ("true", True), "f": ("false", False), "n": ("null", None)}
+
+
+def _key_at(text: str, i: int) -> tuple[str, int]:
+    if text[i : i + 1] != '"':
+        raise ValueError("a key was expected")
+    key, i = scanstring(text, i + 1, True)
+    i = _SPACE.match(text, i).end()
+    if text[i : i + 1] != ":":
+        raise ValueError("a colon was expected")
+    return key, i + 1
+
+
+def parse_any_depth(text: str):
+    """The value of a JSON text of any depth and with numbers of any length, with a stack of its own; ValueError if
+    it is not valid JSON."""
+    stack: list[tuple] = []
+    i = 0
+    while True:
+        i = _SPACE.match(text, i).end()
+        c = text[i : i + 1]
+        if c in ("{", "["):
+            value = {} if c == "{" else []
+            i = _SPACE.match(text, i + 1).end()
+            if text[i : i + 1] == ("}" if c == "{" else "]"):
+                i += 1
+            else:
+                key, i = _key_at(text, i) if c == "{" else (None, i)
+                stack.append((value, key))
+                continue
+        elif c == '"':
+            value, i = scanstring(text, i + 1, True)
+        elif c in _LITERALS and text.startswith(_LITERALS[c][0], i):
+            word, value = _LITERALS[c]
+            i += len(word)
+        elif m := _NUMBER.match(text, i):
+            i = m.end()
+            value = float(m[0]) if m[1] or m[2] else int(m[0]) if len(m[0]) < 4000 else Digits(m[0])
+        else:
+            raise ValueError("a value was expected")
+        while stack:
+            holder, key = stack.pop()
+            i = _SPACE.match(text, i).end()
+            after = text[i : i + 1]
+            i += 1
+            if isinstance(holder, list):
+                holder.append(value)
+                if after == ",":
+                    stack.append((holder, None))
+                    break
+            else:
+                holder[key] = value
+                if after == ",":
+                    key, i = _key_at(text, _SPACE.match(text, i).end())
+                    stack.append((holder, key))
+                    break
+            if after != ("]" if isinstance(holder, list) else "}"):
+                raise ValueError("a comma or an end was expected")
+            value = holder
+        else:
+            if _SPACE.match(text, i).end() != len(text):
+                raise ValueError("more than one value")
+            return value
+
+
 def _parse(text: str):
-    """The value of a JSON text, or None if it is not valid JSON."""
+    """The value of a JSON text, or None if it is not valid JSON by the standard, which has no NaN and no Infinity. What
+    is nested too deep or has too many digits for the quick parser goes to the other one."""
+    try:
+        return _DECODER.decode(text)
+    except RecursionError:
+        pass
+    except ValueError as e:
+        if "digits" not in str(e):
+            return None
     try:
-        return json.loads(text)
-    except (ValueError, RecursionError):
+        return parse_any_depth(text)
+    except ValueError:
         return None
 
 
 def _opened(value):
     """A list or object delivered as text is the list or object itself; everything else stays."""
-    if isinstance(value, str) and value[:64].lstrip()[:1] in ("[", "{"):
+    if isinstance(value, str) and _OPENING.match(value):
         inner = _parse(value)
         if isinstance(inner, (list, dict)):
             return inner
@@ -49,6 +136,8 @@ def _opened(value):
 def _text(value) -> str | None:
     if not isinstance(value, str):
         return None if value is None else json.dumps(value)
+    if isinstance(value, Digits):
+        return str(value)
     try:
         value.encode()
     except UnicodeEncodeError:  # half of a surrogate pair, which JSON can spell but UTF-8 cannot
@@ -74,7 +163,7 @@ def shred_value(root) -> Iterator[tuple]:
             if ordinal < 0 and not isinstance(value, list) and value is not None:
                 ordinal = 0  # a lone object counts as a list of one
         node, count = count, count + 1
-        kind = "object" if isinstance(value, dict) else "list" if isinstance(value, list) else "null" if value is None else "flag" if isinstance(value, bool) else "text" if isinstance(value, str) else "number"
+        kind = "object" if isinstance(value, dict) else "list" if isinstance(value, list) else "null" if value is None else "flag" if isinstance(value, bool) else "text" if isinstance(value, str) and not isinstance(value, Digits) else "number"
         yield node, parent, label, ordinal, kind, None if kind in ("object", "list", "null") else _text(value), result, owner
         if kind == "object":
             if label in parents:
