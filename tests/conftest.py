@@ -8,9 +8,12 @@ os.environ.setdefault("PYTHONPATH", sys.path[0])
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    from pyspark.sql import SparkSession
+
     from webwarden.session import build_session
 
+    SparkSession.builder.config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
     s = build_session("tests", "local[4]", 4)
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -36,6 +36,8 @@ CASES = [
     ("2025-06-01 00:00:00", "No/Where", us(2025, 6, 1)),
     ("99991231235959Z", None, 253402300799_000000),
     (" 2025-01-01T00:00:00Z ", None, us(2025, 1, 1)),
+    ("2025-07-01 12:00:00 Europe/Berlin", None, us(2025, 7, 1, 10)), ("2025-01-01T12:00:00[America/Argentina/Ushuaia]", "Asia/Tokyo", us(2025, 1, 1, 15)), ("2025-07-01T12:00:00+02:00[Europe/Berlin]", None, us(2025, 7, 1, 10)), ("1 Jul 2025 12:00:00 Europe/Berlin", None, us(2025, 7, 1, 10)),
+    ("2016-12-31T23:59:60Z", None, us(2017, 1, 1)), ("2025-01-31T24:00:00Z", None, us(2025, 2, 1)), ("2025-01-31T24:00:01Z", None, None), ("2025-07-01 12:00:00 Mars/Olympus", None, None), ("2025-07-01", None, None),
     ("0000-00-00 00:00:00", None, None), ("2025-02-30 10:00:00", None, None), ("2025-01-01 25:00:00", None, None), ("pending", None, None),
     ("", None, None), ("-", None, None), ("12", None, None), ("Jan 11, 2025 13:27:46 PM", None, None), ("x" * 50000, None, None), ("2025-01-01 10:00:00 QQQ", None, None),
 ]
@@ -61,13 +63,27 @@ def test_values_skip_nulls(spark):
     assert [tuple(r) for r in rows] == [("t.x", 1, "a", None)]
 
 
-def test_dictionary_grows_by_new_strings_only(spark, tmp_path):
+def test_dictionary_grows_by_new_strings_only(spark, tmp_path, monkeypatch):
     d = m.InstantDictionary(spark, f"file://{tmp_path}/dict")
-    first = spark.createDataFrame([("f", 1, "1735733095", None), ("f", 2, "Jan  1 04:13:59 2025 GMT", "UTC")], SCHEMA)
-    second = spark.createDataFrame([("f", 3, "1735733095", None), ("f", 4, "1735733096", None)], SCHEMA)
-    assert m.normalise_instants(first, d).count() == 2 and d.read().count() == 2
-    assert m.normalise_instants(second, d).count() == 2 and d.read().count() == 3
-    assert m.normalise_instants(second, d).count() == 2 and d.read().count() == 3
+    first = spark.createDataFrame([("f", 1, "1735733095", None), ("f", 2, "Jan  1 04:13:59 2025 GMT", "UTC"), ("f", 9, "pending", None)], SCHEMA)
+    second = spark.createDataFrame([("f", 3, "1735733095", None), ("f", 4, "1735733096", None), ("f", 9, "pending", None)], SCHEMA)
+    assert m.normalise_instants(first, d).count() == 2 and d.read().count() == 3
+    assert m.normalise_instants(second, d).count() == 2 and d.read().count() == 4
+    batches = len(list((tmp_path / "dict").iterdir()))
+    # What is known is not parsed: with a parser that answers -1, only a new string gets its answer.
+    monkeypatch.setattr(m, "instant_micros", lambda raw, zone: m.F.lit(-1).cast("bigint"))
+    third = spark.createDataFrame([("f", 3, "1735733095", None), ("f", 4, "1735733097", None), ("f", 9, "pending", None)], SCHEMA)
+    assert sorted(r["utc_micros"] for r in m.normalise_instants(third, d).collect()) == [-1, 1735733095_000000]
+    assert m.normalise_instants(first, d).count() == 2 and len(list((tmp_path / "dict").iterdir())) == batches + 1  # nothing new, no batch
+
+
+def test_repeated_batches_of_the_dictionary_duplicate_no_rows(spark, tmp_path):
+    d = m.InstantDictionary(spark, f"file://{tmp_path}/dict")
+    df = spark.createDataFrame([("f", 1, "1735733095", None), ("f", 2, "1735733095", None), ("f", 3, "-", None)], SCHEMA)
+    want = sorted(map(tuple, m.normalise_instants(df, d).collect()))
+    d.append(d.read())  # a second writer, or a call that is repeated
+    d.append(d.read())
+    assert sorted(map(tuple, m.normalise_instants(df, d).collect())) == want and d.read().count() == 2
 
 
 def test_zone_names_of_the_notations_are_known():

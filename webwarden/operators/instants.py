@@ -9,13 +9,14 @@ Everything runs as built-in expressions inside the JVM.
 from __future__ import annotations
 
 import uuid
+from hashlib import md5
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webwarden.functions.skew import lookup_join
-from webwarden.session import materialize, shared_dir
+from webwarden.session import materialize, path_exists, shared_dir
 
 # Offsets in minutes of the zone abbreviations that certificate tools and mail headers write.
 ZONE_MINUTES = {
@@ -26,7 +27,7 @@ ZONE_MINUTES = {
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
-_ZONE = r"\s*([A-Za-z]{1,5}|[+-]\d{2}(?::?\d{2})?)?"
+_ZONE = r"\s*([A-Za-z]{1,5}|[+-]\d{2}(?::?\d{2})?|\[?[A-Z][A-Za-z]+(?:/[A-Z][A-Za-z0-9_+\-]*){1,2}\]?)?(?:\[[A-Za-z0-9_+\-/]+\])?"
 #: Each notation: a pattern, and the groups of year, month, day, hour, minute, second, fraction, half of day, zone (0: none).
 NOTATIONS = [
     (rf"^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})[Tt ]\s*{_CLOCK}{_ZONE}$", (1, 2, 3, 4, 5, 6, 7, 0, 8)),
@@ -79,12 +80,14 @@ def _composed(part: Column, zone: Column) -> Column:
     h = F.when(half.isNull(), h24).otherwise(h12)
     midnight = F.unix_micros(F.try_make_timestamp(y, mo, day.cast("int"), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC")))
     clock = (h.cast("long") * 3600 + mi * 60 + s) * 1000000 + F.coalesce(F.rpad(F.substring(fraction, 1, 6), 6, "0").cast("long"), F.lit(0))
-    wall = F.when((h < 24) & (mi < 60) & (s < 60), midnight + clock)
+    # A leap second is the first of the next minute, 24:00 the midnight that ends the day.
+    wall = F.when(((h < 24) & (mi < 60) & (s <= 60)) | ((h == 24) & (mi == 0) & (s == 0)), midnight + clock)
+    place = F.when(F.contains(mark, F.lit("/")), F.regexp_replace(mark, r"[\[\]]", ""))
     names = F.create_map(*[x for k, v in ZONE_MINUTES.items() for x in (F.lit(k), F.lit(v))])
     digits = F.regexp_replace(mark, ":", "")
     size = F.substring(digits, 2, 2).try_cast("int") * 60 + F.coalesce(F.substring(digits, 4, 2).try_cast("int"), F.lit(0))
     minutes = F.when(mark.rlike(r"^[+-]"), F.when(F.startswith(mark, F.lit("-")), -size).otherwise(size)).otherwise(F.try_element_at(names, F.upper(mark)))
-    return F.when(mark.isNull(), _utc_micros(wall, zone)).otherwise(wall - minutes.cast("long") * 60000000)
+    return F.when(mark.isNull(), _utc_micros(wall, zone)).when(place.isin(_known_zones()), _utc_micros(wall, place)).otherwise(wall - minutes.cast("long") * 60000000)
 
 
 def _number(raw: Column) -> Column:
@@ -99,36 +102,43 @@ def _number(raw: Column) -> Column:
 
 def instant_micros(raw: Column, zone: Column) -> Column:
     """Microseconds since 1970 UTC that a string names, cut off below the microsecond; null where it names none
-    (null, blank, words, dates that do not exist). Times without zone are local to `zone` (UTC if null)."""
+    (null, blank, words, dates that do not exist, dates alone, which name a day). Times without zone are local to `zone` (UTC if null)."""
     text = F.regexp_replace(F.trim(raw), r"[  ]", " ")
     # The lambda binds the parts once: written out, each of their thirty uses would match the patterns again.
     by_notation = F.transform(F.array(_parts(text)), lambda part: _composed(part, zone))[0]
     return F.when(text.rlike(r"^\d{9,19}([.,]\d*)?$"), _number(text)).otherwise(by_notation)
 
 
+#: Names the state of the notations above: a dictionary that was parsed by others is not used.
+PARSER = md5(repr((NOTATIONS, sorted(ZONE_MINUTES.items()), MONTHS, UNITS, 2)).encode()).hexdigest()[:12]
+
+
 class InstantDictionary:
-    """A table (raw, zone, micros) in the shared folder that grows by the strings that each call brings new."""
+    """A table (lookup, micros) of distinct strings with their zones in the shared folder, which grows by the strings
+    that each call brings new. micros is null for those that name no instant, so that they are not tried again.
+
+    Every call writes one batch into a folder of its own, which appears as a whole or not at all. Two writers may bring
+    the same string, and a call may be repeated: a string is read once, however many batches have it.
+    """
 
     def __init__(self, spark, path: str | None = None):
+        """Without a path it is the one dictionary of the shared folder, kept for later sessions."""
         self.spark = spark
-        self.path = path or f"{shared_dir(spark)}/webwarden/instants-{uuid.uuid4().hex}"
-        self.schema = "raw string, zone string, micros bigint"
+        self.path = path or f"{shared_dir(spark)}/webwarden-instants/{PARSER}"
+        self.schema = "lookup string, micros bigint"
 
     def exists(self) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return path_exists(self.spark, self.path)
 
     def read(self) -> DataFrame:
+        """(lookup, micros), one row per string."""
         if not self.exists():
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        batches = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+        return batches.groupBy("lookup").agg(F.max("micros").alias("micros"))
 
-    def add(self, values: DataFrame) -> None:
-        """Parse and append the distinct (raw, zone) of `values` that the table does not have."""
-        if self.exists():
-            known = self.read().select(F.col("raw").alias("k_raw"), F.col("zone").alias("k_zone"))
-            values = values.join(known, (F.col("raw") == F.col("k_raw")) & F.col("zone").eqNullSafe(F.col("k_zone")), "left_anti")
-        values.select("raw", "zone", instant_micros(F.col("raw"), F.col("zone")).alias("micros")).write.mode("append").parquet(self.path)
+    def append(self, parsed: DataFrame) -> None:
+        parsed.select("lookup", "micros").write.parquet(f"{self.path}/batch-{uuid.uuid4().hex}")
 
 
 def time_values(df: DataFrame, id_col: str, zone_col: str, fields: dict[str, str]) -> DataFrame:
@@ -141,18 +151,23 @@ def normalise_instants(values: DataFrame, dictionary: InstantDictionary | None =
     """(field_name, row_id, utc_micros) for each value that names an instant.
 
     Takes (field_name, row_id, raw, zone). Null and unreadable values give no row; repeated rows give a row each;
-    an empty table gives an empty result. A string that says its own zone is parsed under that zone only.
+    an empty table gives an empty result. A string that says its own zone is parsed under that zone only. With a
+    dictionary only the strings that it lacks are parsed, and they are added to it.
     """
     packed = values.withColumn("lookup", F.concat_ws("\u0001", F.coalesce("zone", F.lit("")), "raw"))
     distinct = packed.groupBy("lookup").agg(F.first("raw").alias("raw"), F.first("zone").alias("zone"), F.count(F.lit(1)).alias("uses"))
-    if dictionary is None:
-        table = materialize(distinct.select("lookup", "uses", instant_micros(F.col("raw"), F.col("zone")).alias("utc_micros")), "instants")
+    parsed = instant_micros(F.col("raw"), F.col("zone"))
+    if dictionary is None or not dictionary.exists():
+        table = materialize(distinct.select("lookup", "uses", parsed.alias("micros"), F.lit(True).alias("is_new")), "instants")
     else:
-        distinct = materialize(distinct, "values")
-        dictionary.add(distinct.select("raw", "zone"))
-        known = dictionary.read().select(F.concat_ws("\u0001", F.coalesce("zone", F.lit("")), "raw").alias("lookup"), F.col("micros").alias("utc_micros"))
-        table = distinct.select("lookup", "uses").join(known, "lookup")
-    named = table.filter(F.col("utc_micros").isNotNull())
+        known = dictionary.read().select("lookup", F.col("micros").alias("k_micros"), F.lit(True).alias("is_known"))
+        new = F.col("is_known").isNull()
+        table = materialize(distinct.join(known, "lookup", "left").select("lookup", "uses", F.when(new, parsed).otherwise(F.col("k_micros")).alias("micros"), new.alias("is_new")), "instants")
+    if dictionary is not None:
+        new = table.filter("is_new")
+        if new.limit(1).count():
+            dictionary.append(new)
+    named = table.filter(F.col("micros").isNotNull()).select("lookup", "uses", F.col("micros").alias("utc_micros"))
     return lookup_join(packed.select("field_name", "row_id", "lookup"), named, "lookup", "uses").select("field_name", "row_id", "utc_micros")
 
 

@@ -33,7 +33,7 @@ def validity_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return instants.found_instants(validity_times(spark, sf_dir))
+    return instants.found_instants(validity_times(spark, sf_dir), instants.InstantDictionary(spark))
 
 
 def p4_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:

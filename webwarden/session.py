@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: dict[str, str] = {}
+_KNOWN: set[str] = set()
 
 
 def build_session(app: str = "webwarden", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -31,16 +33,29 @@ def build_session(app: str = "webwarden", master: str | None = None, shuffle_par
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where none is set (tests, one machine) a temporary one is made."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir, or that the session's context was given. Only where none is set and
+    the master is this very process (tests, one machine) a temporary one is made; a cluster without one is an error,
+    since its executors would each write to a disk of their own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir names no shared folder, and {master} is not one machine")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIR:
-        _LOCAL_DIR[app] = "file://" + tempfile.mkdtemp(prefix="webwarden-")
+        folder = tempfile.mkdtemp(prefix="webwarden-")
+        _LOCAL_DIR[app] = "file://" + folder
+        pid = os.getpid()
+        atexit.register(lambda: os.getpid() == pid and shutil.rmtree(folder, ignore_errors=True))
     return _LOCAL_DIR[app]
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote; silent when it is gone already or the session has ended."""
     try:
@@ -51,17 +66,32 @@ def remove_path(spark: SparkSession, path: str) -> None:
         return
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are: a folder of its own, so that those of a driver that died can be
+    told and removed."""
+    return f"{shared_dir(spark)}/webwarden/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage is cut, nothing is recomputed, and the
-    files outlive any executor. The folder is removed when the driver process ends."""
+    files outlive any executor. They are removed by `release`, or when the driver process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/webwarden/{name}-{uuid.uuid4().hex}"
+    folder = tables_dir(spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    pid = os.getpid()
-    atexit.register(lambda: os.getpid() == pid and remove_path(spark, path))
+    if folder not in _KNOWN:
+        _KNOWN.add(folder)
+        pid = os.getpid()
+        atexit.register(lambda: os.getpid() == pid and remove_path(spark, folder))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application, once the results that read them have been written: what a
+    session that runs many queries calls in between."""
+    remove_path(spark, tables_dir(spark))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, in bytes: a number for sizing partitions, never a switch between results."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
