@@ -116,3 +116,50 @@ def test_long_broken_markup_is_quick():
         assert m.page_words(text) is not None
     assert time.time() - start < 20
     assert m.page_words("a<!-- x -->b <p>c</p> <d <!-- e") == ["ab", "c", "d", "e"]
+
+
+def test_programs_in_blocks_cost_hardly_more(monkeypatch):
+    rnd = np.random.default_rng(3)
+    pages = [(rnd.integers(0, n // 3, n), rnd.zipf(1.6, n).clip(0, 4000)) for n in (1500, 5000)]
+
+    def cost(found):
+        total = 0.0
+        for (anchors, others), places in zip(pages, found):
+            for a in np.unique(anchors[places]):
+                c = np.sort(others[places][anchors[places] == a]).astype(float)
+                total += c[-1] + m.GROUP_OVERLAP * c[:-1].sum()
+        return total
+
+    blocks = m.chosen_probes(pages, 0.6)
+    monkeypatch.setattr(m, "PROGRAM_CELLS", 1 << 40)
+    whole = m.chosen_probes(pages, 0.6)
+    assert [len(x) for x in blocks] == [len(x) for x in whole]
+    assert cost(whole) <= cost(blocks) <= 1.03 * cost(whole)
+    cheapest = [np.argsort(o, kind="stable")[: len(x)] for (_, o), x in zip(pages, whole)]
+    assert cost(blocks) < cost(cheapest)  # what a page would get without the program
+
+
+def test_long_pages_equal_brute_force(spark):
+    rnd = random.Random(9)
+    vocab = [f"w{i}" for i in range(4000)]
+    base = [rnd.choice(vocab) for _ in range(5200)]
+    rows = []
+    for i in range(10):
+        w = list(base)
+        for _ in range(rnd.choice([20, 300, 500, 700, 900])):
+            w[rnd.randrange(len(w))] = rnd.choice(vocab)
+        rows.append((i, "<p>" + " ".join(w) + "</p>"))
+    rows += [(50 + i, "<p>" + " ".join(rnd.choice(vocab) for _ in range(5000)) + "</p>") for i in range(4)]
+    df = spark.createDataFrame(rows, "capture_id bigint, dom_html string")
+    got = sorted(map(tuple, m.NearCopies(df, "capture_id", "dom_html").pairs().collect()))
+    want = brute(rows)
+    assert got == want and 3 <= len(want) < 45
+
+
+def test_hot_bits_copies_and_many_ids(spark, monkeypatch):
+    rows = corpus(4, 60)
+    rows += [(2000 + i, rows[7][1]) for i in range(40)]
+    df = spark.createDataFrame(rows, "capture_id bigint, dom_html string")
+    monkeypatch.setattr(m, "HOT", 3)  # nearly every shared bit and the group of copies are spread
+    monkeypatch.setattr(m, "BROADCAST_IDS", 5)  # and the copies are taken out by a shuffled join
+    assert sorted(map(tuple, m.NearCopies(df, "capture_id", "dom_html").pairs().collect())) == brute(rows)

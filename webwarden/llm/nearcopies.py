@@ -5,7 +5,8 @@ into groups of correlated bits, namely the sequences that share their anchor wor
 If B is similar to A, at most k bits of A are missing in B; give each group i a threshold T_i of -1, 0, 1, ... such
 that the sum of T_i + 1 is k + w, probe T_i + 1 bits of each group, and at least w probes of A must hit B. A dynamic
 program gives the thresholds per page, unequal over the groups, to make the estimated number of candidates least;
-the estimates come from counters over all pages. Whatever they say, the bound holds, so no pair is lost. Candidates
+the estimates come from counters over all pages. Whatever they say, the bound holds, so no pair is lost. Bits that many
+pages have are spread over tasks. Candidates
 with enough hits are verified on the exact sets. Exact copies are one page throughout.
 """
 
@@ -26,8 +27,12 @@ from webwarden.session import materialize
 
 #: Of the query over pages: least similarity, words of a sequence, least words of a page.
 SIMILARITY, SEQUENCE, LEAST_WORDS = 0.6, 3, 60
-#: Counters of the frequency estimates, a fixed 8 MB that is sent by broadcast; two sequences may share a counter.
+#: Counters of the frequency estimates, a fixed 16 MB that is sent by broadcast; two sequences may share a counter.
 COUNTER_BITS = 22
+#: Pages with one bit, or copies of one page, that one task of a join gets; those of a more frequent one are spread.
+HOT = 4096
+#: Copies whose ids are sent by broadcast, 8 MB at most; more are taken out by a shuffled join.
+BROADCAST_IDS = 1_000_000
 #: The part of the bits by which probes exceed what the bound needs, so that candidates need several hits.
 SPARE_PROBES = 0.03
 #: How much a further probe of one group adds to its estimate: correlated bits find mostly the same pages.
@@ -158,11 +163,37 @@ def allocate(pages: list[list[np.ndarray]], units: list[int]) -> list[list[int]]
     return out
 
 
-#: Pages whose thresholds are found together, and the size of a program beyond which a page's bits are taken as
-#: uncorrelated: then the cheapest bits are best and no program is needed. The bound holds either way.
+#: Pages whose thresholds are found together; and the bits times units of one program. A larger page is dealt into
+#: blocks of at most that size, each with its part of the units and a program of its own, so that memory and time grow
+#: with the page and not with its square. The sum over the blocks is the page's, so the bound holds as before.
 TOGETHER, PROGRAM_CELLS = 128, 400_000
 
 
+def program_blocks(groups: list[np.ndarray], costs: list[np.ndarray], units: int) -> list[tuple[int, list[np.ndarray], list[np.ndarray]]]:
+    """[(units, groups, costs)]: the programs of one page, one block unless bits times units exceed PROGRAM_CELLS.
+
+    Groups are dealt out in turn, and so are the bits of a group that is larger than a block's part, such as the lone
+    bits, which are sorted by cost: every block gets alike groups, and equal parts of the units are near the best.
+    """
+    bits = sum(map(len, groups))
+    blocks = math.ceil(math.sqrt(bits * units / PROGRAM_CELLS))
+    if blocks <= 1:
+        return [(units, groups, costs)]
+    dealt: list[tuple[list[np.ndarray], list[np.ndarray]]] = [([], []) for _ in range(blocks)]
+    for g, (group, cost) in enumerate(zip(groups, costs)):
+        if len(group) * blocks <= bits:
+            dealt[g % blocks][0].append(group)
+            dealt[g % blocks][1].append(cost)
+            continue
+        # A part keeps each bit's addition to the whole group's estimate.
+        steps = np.diff(cost, prepend=0.0)
+        for k in range(min(blocks, len(group))):
+            dealt[k][0].append(group[k::blocks])
+            dealt[k][1].append(np.cumsum(steps[k::blocks]))
+    ends = np.concatenate([[0], np.cumsum([sum(map(len, d[0])) for d in dealt])]) * units // bits
+    return [(int(y - x), *d) for x, y, d in zip(ends, ends[1:], dealt) if y > x]
+
+
 def grouped_costs(anchors: np.ndarray, others: np.ndarray, units: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """(groups, costs) of the bits that other pages may have: their places by anchor, cheapest first. All groups of
     one bit are offered as one, since of them the cheapest are always best. A bit that adds more to its group than
@@ -197,52 +228,51 @@ def chosen_probes(pages: list[tuple[np.ndarray, np.ndarray]], similarity: float)
         units = k + w - int((others == 0).sum())
         if units <= 0:
             continue
-        if len(others) * units > PROGRAM_CELLS:
-            order = np.argsort(others, kind="stable")
-            found[p] = order[others[order] > 0][:units]
-        else:
-            waiting.append((units, p, *grouped_costs(anchors, others, units)))
+        waiting += [(u, p, g, c) for u, g, c in program_blocks(*grouped_costs(anchors, others, units), units)]
     waiting.sort(key=lambda x: (x[0], len(x[2])))
     for at in range(0, len(waiting), TOGETHER):
         part = waiting[at : at + TOGETHER]
         # The lone bits' curve is long: it is cut to the units that a page can spend.
         taken = allocate([[c[:units] for c in costs] for units, _, _, costs in part], [x[0] for x in part])
         for (_, p, groups, _), t in zip(part, taken):
-            found[p] = np.concatenate([g[:u] for g, u in zip(groups, t)])
+            found[p] = np.concatenate([found[p], *[g[:u] for g, u in zip(groups, t)]])
     return found
 
 
 def frequency_counters(sets: DataFrame, bits: int = COUNTER_BITS) -> np.ndarray:
-    """How many pages have a bit that falls on each of 2**bits counters, capped at 65,535: an upper estimate of the
-    frequency of each bit. The array has a fixed size, so it may be collected and sent out."""
-    counted = sets.select(F.explode("bits").alias("bit")).groupBy(F.col("bit").bitwiseAND((1 << bits) - 1).cast("int").alias("slot")).agg(F.least(F.count(F.lit(1)), F.lit(65535)).cast("int").alias("n"))
+    """How many pages have a bit that falls on each of 2**bits counters: an upper estimate of the frequency of each
+    bit. The array has a fixed size, so it may be collected and sent out."""
+    slot = F.col("bit").bitwiseAND((1 << bits) - 1).cast("int")
+    counted = sets.select(F.explode("bits").alias("bit")).groupBy(slot.alias("slot")).agg(F.least(F.count(F.lit(1)), F.lit(2**32 - 1)).alias("n"))
     table = counted.toArrow()
-    counters = np.zeros(1 << bits, np.uint16)
+    counters = np.zeros(1 << bits, np.uint32)
     counters[table.column("slot").to_numpy()] = table.column("n").to_numpy()
     return counters
 
 
-_ROW = pa.schema([("bit", pa.int64()), ("id", pa.int64()), ("size", pa.int32())])
-_ROW_DDL = "bit bigint, id bigint, size int"
+_ROW = pa.schema([("bit", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("salts", pa.int32())])
+_ROW_DDL = "bit bigint, id bigint, size int, salts int"
 
 
-def _bit_rows(batches: Iterator[pa.RecordBatch], choose) -> Iterator[pa.RecordBatch]:
-    """(bit, id, size) of the bits that choose(bits, sizes, batch) marks, batch by batch."""
+def _bit_rows(batches: Iterator[pa.RecordBatch], counters: np.ndarray, hot: int, choose) -> Iterator[pa.RecordBatch]:
+    """(bit, id, size, salts) of the bits that choose(bits, sizes, batch) marks, batch by batch. salts says over how
+    many tasks the pages with the bit are spread: one for all but hot bits."""
+    mask = len(counters) - 1
     for b in batches:
         ids, sizes = b.column(0).to_numpy(), np.diff(b.column(1).offsets.to_numpy())
         bits = b.column(1).flatten().to_numpy()
         kept = choose(bits, sizes, b)
-        owner = np.repeat(np.arange(len(ids)), sizes)[kept]
-        yield pa.RecordBatch.from_arrays([pa.array(bits[kept]), pa.array(ids[owner]), pa.array(sizes[owner].astype(np.int32))], schema=_ROW)
+        owner, own = np.repeat(np.arange(len(ids)), sizes)[kept], bits[kept]
+        salts = 1 + counters[own & mask] // np.uint32(hot)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids[owner]), pa.array(sizes[owner].astype(np.int32)), pa.array(salts.astype(np.int32))], schema=_ROW)
 
 
-def probe_rows(sets: DataFrame, counters, similarity: float) -> DataFrame:
-    """(bit, id, size) of the bits of each page that are probed."""
-    shared = sets.sparkSession.sparkContext.broadcast(counters)
-    mask = len(counters) - 1
+def probe_rows(sets: DataFrame, shared, similarity: float) -> DataFrame:
+    """(bit, id, size, salts) of the bits of each page that are probed; `shared` is the broadcast counters."""
 
     def choose(bits: np.ndarray, sizes: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-        anchors, others = batch.column(2).flatten().to_numpy(), shared.value[bits & mask].astype(np.int64) - 1
+        counters = shared.value
+        anchors, others = batch.column(2).flatten().to_numpy(), counters[bits & (len(counters) - 1)].astype(np.int64) - 1
         probed = np.zeros(len(bits), bool)
         ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
         pages = [(anchors[x:y], others[x:y]) for x, y in zip(ends, ends[1:])]
@@ -250,29 +280,40 @@ def probe_rows(sets: DataFrame, counters, similarity: float) -> DataFrame:
             probed[at + places] = True
         return probed
 
-    return sets.select("id", "bits", "anchors").mapInArrow(lambda batches: _bit_rows(batches, choose), _ROW_DDL)
+    hot = HOT
+    return sets.select("id", "bits", "anchors").mapInArrow(lambda batches: _bit_rows(batches, shared.value, hot, choose), _ROW_DDL)
 
 
-def probed_rows(sets: DataFrame, probes: DataFrame, bits: int = COUNTER_BITS) -> DataFrame:
-    """(bit, id, size) of the bits of each page that fall on a counter of some probe. The marks of the counters have a
-    fixed size, 2**bits bytes, so they may be collected and sent out; a bit that shares a probe's counter is only
-    carried in vain."""
+def probed_rows(sets: DataFrame, probes: DataFrame, shared, bits: int = COUNTER_BITS) -> DataFrame:
+    """(bit, id, size, salts) of the bits of each page that fall on a counter of some probe. The marks of the counters
+    have a fixed size, 2**bits bytes, so they may be collected and sent out; a bit that shares a probe's counter is
+    only carried in vain."""
     mask = (1 << bits) - 1
     slots = probes.select(F.col("bit").bitwiseAND(mask).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()
     marks = np.zeros(1 << bits, bool)
     marks[slots] = True
-    shared = sets.sparkSession.sparkContext.broadcast(marks)
-    return sets.select("id", "bits").mapInArrow(lambda batches: _bit_rows(batches, lambda own, sizes, batch: shared.value[own & mask]), _ROW_DDL)
+    marked, hot = sets.sparkSession.sparkContext.broadcast(marks), HOT
+    return sets.select("id", "bits").mapInArrow(lambda batches: _bit_rows(batches, shared.value, hot, lambda own, sizes, batch: marked.value[own & mask]), _ROW_DDL)
+
+
+def _salt(row: str, salts: str = "salts"):
+    return F.pmod(F.xxhash64(row), F.col(salts)).cast("int")
+
+
+def _replicated(df: DataFrame, salts: str = "salts") -> DataFrame:
+    """Each row once for every salt of its key, to meet rows of that key on whichever salt they have."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col(salts) - 1)))
 
 
 def similar_representatives(sets: DataFrame, similarity: float) -> DataFrame:
     """(id_a, id_b, similarity) of every pair of distinct sets, id_a < id_b. `sets` has one row per distinct set."""
-    probes = materialize(probe_rows(sets, frequency_counters(sets), similarity), "probes")
-    p = probes.select("bit", F.col("id").alias("p_id"), F.col("size").alias("p_size"))
-    x = probed_rows(sets, probes).select("bit", F.col("id").alias("x_id"), F.col("size").alias("x_size"))
+    shared = sets.sparkSession.sparkContext.broadcast(frequency_counters(sets))
+    probes = materialize(probe_rows(sets, shared, similarity), "probes")
+    p = _replicated(probes).select("bit", "salt", F.col("id").alias("p_id"), F.col("size").alias("p_size"))
+    x = probed_rows(sets, probes, shared).select("bit", _salt("id").alias("salt"), F.col("id").alias("x_id"), F.col("size").alias("x_size"))
     larger = (F.col("x_size") > F.col("p_size")) | ((F.col("x_size") == F.col("p_size")) & (F.col("x_id") > F.col("p_id")))
     near = F.col("x_size") * F.lit(similarity) <= F.col("p_size") + F.lit(1e-6)
-    hits = p.join(x, "bit").filter(larger & near).groupBy("p_id", "x_id", "p_size", "x_size").agg(F.count(F.lit(1)).alias("hits"))
+    hits = p.join(x, ["bit", "salt"]).filter(larger & near).groupBy("p_id", "x_id", "p_size", "x_size").agg(F.count(F.lit(1)).alias("hits"))
     part = similarity / (1 + similarity)
     need = F.ceil(F.lit(part) * (F.col("p_size") + F.col("x_size")) - 1e-9)
     least = F.ceil(F.lit(part) * (F.col("p_size") * 2) - 1e-9)
@@ -289,9 +330,10 @@ def similar_representatives(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def classes(sets: DataFrame) -> DataFrame:
-    """(id, rep): every page with the least id of its exact copies, found by the digest of the set."""
-    reps = materialize(sets.groupBy("content").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps")
-    return lookup_join(sets.select("id", "content"), reps, "content", "copies").select("id", "rep")
+    """(id, rep, copies): every page with the least id of its exact copies and their number, found by the digest of
+    the set."""
+    reps = materialize(sets.groupBy("content").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("uses"), F.count(F.lit(1)).alias("copies")), "reps")
+    return lookup_join(sets.select("id", "content"), reps, "content", "uses").select("id", "rep", "copies")
 
 
 class NearCopies:
@@ -302,18 +344,25 @@ class NearCopies:
         sets = materialize(sequence_sets(df, id_col, markup_col, sequence, least_words), "sets")
         self.members = materialize(classes(sets), "classes")
         copies = self.members.filter("id <> rep").select("id")
-        distinct = sets.select("id", "bits", "anchors").join(copies, "id", "left_anti")
-        self.links = materialize(similar_representatives(materialize(distinct, "distinct"), similarity), "links")
+        if copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+            distinct = sets.join(F.broadcast(copies), "id", "left_anti")
+        else:
+            distinct = materialize(sets.join(copies, "id", "left_anti"), "distinct")
+        self.links = materialize(similar_representatives(distinct.select("id", "bits", "anchors"), similarity), "links")
 
     def pairs(self) -> DataFrame:
-        """(id_a, id_b), id_a < id_b: every similar pair of rows, exact copies included."""
-        m = self.members
-        left, right = m.select(F.col("id").alias("x"), F.col("rep").alias("id_a")), m.select(F.col("id").alias("y"), F.col("rep").alias("id_b"))
-        across = self.links.select("id_a", "id_b").join(left, "id_a").join(right, "id_b").select("x", "y")
-        many = m.groupBy("rep").count().filter("count > 1").select("rep")
-        same = m.join(many, "rep", "left_semi")
-        inside = same.select("rep", F.col("id").alias("x")).join(same.select("rep", F.col("id").alias("y")), "rep").filter("x < y").select("x", "y")
-        return across.unionAll(inside).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+        """(id_a, id_b), id_a < id_b: every similar pair of rows, exact copies included. The copies of a page of which
+        there are many are spread over tasks."""
+        m = self.members.withColumn("salts", (F.floor(F.col("copies") / HOT) + 1).cast("int"))
+        spread = m.withColumn("salt", _salt("id"))
+        reps = m.filter("id = rep").select("rep", "salts")
+        across = self.links.select("id_a", "id_b")
+        for end, out in (("id_a", "x"), ("id_b", "y")):
+            keyed = _replicated(across.withColumnRenamed(end, "rep").join(reps, "rep")).drop("salts")
+            across = keyed.join(spread.select("rep", "salt", F.col("id").alias(out)), ["rep", "salt"]).drop("rep", "salt")
+        same = m.filter("copies > 1")
+        inside = spread.filter("copies > 1").select("rep", "salt", F.col("id").alias("x")).join(_replicated(same).select("rep", "salt", F.col("id").alias("y")), ["rep", "salt"]).filter("x < y").select("x", "y")
+        return across.select("x", "y").unionAll(inside).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
     def groups(self) -> DataFrame:
         """(id, rep, links, group_id): one row per page with its class, the number of similar classes, and the least
