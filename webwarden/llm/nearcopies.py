@@ -74,8 +74,8 @@ class WordHashes(dict):
 
 
 def sequence_bits(words: list[str], hashes: WordHashes, sequence: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bits, anchors) of the distinct word sequences, sorted: each sequence's 64-bit hash, and the least hash of its
-    words, which the sequences around one word share."""
+    """(bits, anchors) of the distinct word sequences, sorted: each sequence's 64-bit hash, and the place in the page's
+    order of anchors of its own, the least hash of its words, which the sequences around one word share."""
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = len(h) - sequence + 1
     mixed = np.zeros(n, np.uint64)
@@ -86,10 +86,10 @@ def sequence_bits(words: list[str], hashes: WordHashes, sequence: int) -> tuple[
         mixed *= np.uint64(_MIX[-1])
         np.minimum(anchor, h[j : j + n], out=anchor)
     bits, first = np.unique((mixed ^ (mixed >> np.uint64(32))).view(np.int64), return_index=True)
-    return bits, anchor[first].view(np.int64)
+    return bits, np.unique(anchor[first], return_inverse=True)[1].astype(np.int32)
 
 
-_SETS = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("bits", pa.list_(pa.int64())), ("anchors", pa.list_(pa.int64())), ("content", pa.binary())])
+_SETS = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("bits", pa.list_(pa.int64())), ("anchors", pa.list_(pa.int32())), ("content", pa.binary())])
 
 
 def sequence_sets(df: DataFrame, id_col: str, markup_col: str, sequence: int = SEQUENCE, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -105,15 +105,15 @@ def sequence_sets(df: DataFrame, id_col: str, markup_col: str, sequence: int = S
                 if len(words) >= max(least_words, sequence):
                     own, anchor = sequence_bits(words, hashes, sequence)
                     kept.append(rid), bits.append(own), anchors.append(anchor), digests.append(md5(own.tobytes()).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(map(len, bits), pa.int32()), _lists(bits), _lists(anchors), pa.array(digests, pa.binary())], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(map(len, bits), pa.int32()), _lists(bits), _lists(anchors, np.int32), pa.array(digests, pa.binary())], schema=_SETS)
 
     source = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{markup_col}`").alias("m")).filter(F.length("m") > 0)
-    return source.mapInArrow(run, "id bigint, size int, bits array<bigint>, anchors array<bigint>, content binary")
+    return source.mapInArrow(run, "id bigint, size int, bits array<bigint>, anchors array<int>, content binary")
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+def _lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]) if parts else np.zeros(1)
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.empty(0, kind)))
 
 
 def required_overlap(size_a: int, size_b: int, similarity: float) -> int:
@@ -300,6 +300,12 @@ def _salt(row: str, salts: str = "salts"):
     return F.pmod(F.xxhash64(row), F.col(salts)).cast("int")
 
 
+def _spread_bit():
+    """The key under which a bit is joined: itself, or for a further salt a hash of both. Should a hash equal another
+    bit, a candidate more is verified."""
+    return F.when(F.col("salt") == 0, F.col("bit")).otherwise(F.xxhash64("bit", "salt")).alias("key")
+
+
 def _replicated(df: DataFrame, salts: str = "salts") -> DataFrame:
     """Each row once for every salt of its key, to meet rows of that key on whichever salt they have."""
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col(salts) - 1)))
@@ -309,11 +315,11 @@ def similar_representatives(sets: DataFrame, similarity: float) -> DataFrame:
     """(id_a, id_b, similarity) of every pair of distinct sets, id_a < id_b. `sets` has one row per distinct set."""
     shared = sets.sparkSession.sparkContext.broadcast(frequency_counters(sets))
     probes = materialize(probe_rows(sets, shared, similarity), "probes")
-    p = _replicated(probes).select("bit", "salt", F.col("id").alias("p_id"), F.col("size").alias("p_size"))
-    x = probed_rows(sets, probes, shared).select("bit", _salt("id").alias("salt"), F.col("id").alias("x_id"), F.col("size").alias("x_size"))
+    p = _replicated(probes).select(_spread_bit(), F.col("id").alias("p_id"), F.col("size").alias("p_size"))
+    x = probed_rows(sets, probes, shared).withColumn("salt", _salt("id")).select(_spread_bit(), F.col("id").alias("x_id"), F.col("size").alias("x_size"))
     larger = (F.col("x_size") > F.col("p_size")) | ((F.col("x_size") == F.col("p_size")) & (F.col("x_id") > F.col("p_id")))
     near = F.col("x_size") * F.lit(similarity) <= F.col("p_size") + F.lit(1e-6)
-    hits = p.join(x, ["bit", "salt"]).filter(larger & near).groupBy("p_id", "x_id", "p_size", "x_size").agg(F.count(F.lit(1)).alias("hits"))
+    hits = p.join(x, "key").filter(larger & near).groupBy("p_id", "x_id", "p_size", "x_size").agg(F.count(F.lit(1)).alias("hits"))
     part = similarity / (1 + similarity)
     need = F.ceil(F.lit(part) * (F.col("p_size") + F.col("x_size")) - 1e-9)
     least = F.ceil(F.lit(part) * (F.col("p_size") * 2) - 1e-9)
