@@ -2,19 +2,24 @@
 
 Hosts are cut into labels. The labels that are already consistent form the vocabulary, which is spread over tries,
 and every other label is walked through its trie by a weighted edit automaton: ignorable characters are skipped and
-compatibility forms, decompositions and look-alike letters are taken at no cost, anything else costs an edit. The
-vocabulary's spelling is selected where the walk ends within the budget; labels without a match are normalised by
-table. A label and the spellings it can reach at no cost have one table form, whose checksum routes them to one trie.
+compatibility forms, decompositions and look-alike letters are taken at no cost, anything else costs an edit. Some
+characters look like more than one letter, as a palochka like l and i: each is free, and the vocabulary tells which is
+meant. Its spelling is selected where the walk ends within the budget; labels without a match are normalised by table.
+Letters that one character may stand for form a class, and a label and all spellings it can reach at no cost agree in
+the classes of their letters, whose checksum routes them to one trie. With a budget for an edit, the checksums with one
+letter left out route them too.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from string import ascii_letters, ascii_lowercase
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webwarden.functions.skew import lookup_join
@@ -31,12 +36,17 @@ LOOKALIKES = {
     # Latin
     "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ȷ": "j", "ᴄ": "c", "ᴋ": "k", "ᴏ": "o", "ꜱ": "s", "ᴜ": "u", "ʋ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ʏ": "y", "ƅ": "b",
 }
+# Characters that look like more than one ASCII letter, the likeliest first.
+AMBIGUOUS = {"ӏ": "li", "ǀ": "li", "ɪ": "il", "ɩ": "il", "ו": "li", "ا": "li", "ո": "nu", "υ": "uv", "ʋ": "uv"}
 # Marks that look like an ASCII hyphen, and full stops that separate labels.
 HYPHENS = "‐‑‒–—―−⁃˗﹘﹣－"
 DOTS = ".．。｡․"
 _HIDDEN = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0}
-#: What an edit costs that is no look-alike, and the cost up to which a walk may go.
+#: What an edit costs that is no look-alike, and the cost up to which a walk may go: hosts that differ in a letter do
+#: not look the same, so the query asks for no edits.
 EDIT_COST, BUDGET = 1.0, 0.0
+#: With a budget for edits, how many times as frequent as a label a spelling must be that differs by one.
+EDIT_RATIO = 10
 #: About the size of the input, in bytes, that shares a trie.
 TRIE_BYTES = 4 << 20
 
@@ -59,20 +69,88 @@ def has_latin(label: str) -> bool:
     return any("a" <= c <= "z" or (c > "\x7f" and unicodedata.name(c, "").startswith("LATIN")) for c in label)
 
 
-def table_form(label: str) -> str:
-    """The consistent form of a label by table alone. Digits, true accents and labels of other scripts stay."""
-    text = plain(label)
-    if text.isascii() or not has_latin(text):
-        return unicodedata.normalize("NFC", text)
-    split = unicodedata.normalize("NFD", text)
-    return unicodedata.normalize("NFC", "".join(LOOKALIKES.get(c, c) for c in split))
+class Table:
+    """Which ASCII letters a character looks like, the likeliest first. Capitals go by their own shape before that of
+    their small letter: a capital Cyrillic en looks like H, the small one like no letter."""
+
+    def __init__(self, letters: dict[str, str] = LOOKALIKES, capitals: dict[str, str] | None = None) -> None:
+        self.letters, self.capitals = {**letters, **AMBIGUOUS}, capitals or {}
+        self.known: dict[str, str] = {}
+        # Letters that some character may stand for alike are one class, named after its first letter.
+        self.classes = {c: c for c in ascii_lowercase}
+        for group in {self.options(c) for c in {*self.letters, *self.capitals}}:
+            first = min(self.classes[c] for c in group)
+            for old in {self.classes[c] for c in group}:
+                self.classes.update({c: first for c, k in self.classes.items() if k == old})
+        self._route = str.maketrans(self.classes)
+
+    def options(self, c: str) -> str:
+        """The letters of one character in its original case; empty for one that looks like none."""
+        found = self.known.get(c)
+        if found is None:
+            found = self.known[c] = "".join(dict.fromkeys(self.capitals.get(c, "") + self.letters.get(c.lower(), "")))
+        return found
+
+    def form(self, label: str) -> str:
+        """The consistent form of a label by table alone. Digits, true accents and labels of other scripts stay."""
+        text = composed(label)
+        low = unicodedata.normalize("NFKC", text.lower())
+        if text.isascii() or not has_latin(low):
+            return unicodedata.normalize("NFC", low)
+        split = unicodedata.normalize("NFD", text)
+        return unicodedata.normalize("NFC", "".join(self.options(c)[:1] or c.lower() for c in split))
+
+    def route(self, form: str) -> str:
+        """The classes of a consistent form's letters: the same for all spellings that a label reaches at no cost."""
+        return form.translate(self._route)
+
+
+def composed(label: str) -> str:
+    """A label in its own case, with compatibility forms resolved, ASCII hyphens and nothing invisible."""
+    text = unicodedata.normalize("NFKC", "".join(c for c in label if not invisible(c)))
+    return unicodedata.normalize("NFKC", "".join("-" if c in HYPHENS else c for c in text if not invisible(c)))
+
+
+def public_table(spark: SparkSession) -> Table:
+    """The fixed look-alikes and those of the public confusables data that comes with the JVM's Unicode library: every
+    letter whose skeleton is that of an ASCII letter, and the small capitals by their names. The fixed ones go first."""
+    rest = (chr(o) for o in range(0x80, 0x20000) if not (0x3400 <= o <= 0x9FFF or 0xAC00 <= o <= 0xDFFF))
+    chars = [c for c in rest if unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFKD", c) == c]
+    try:
+        checker = getattr(spark.sparkContext._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+        skeletons = checker.getSkeleton("\n".join([*ascii_letters, *chars])).split("\n")
+    except Exception:  # a JVM without that library
+        return FIXED
+    by_skeleton: dict[str, str] = {}
+    for c, k in zip(ascii_letters, skeletons):
+        by_skeleton.setdefault(k, c.lower())
+    own = {c: re.fullmatch("LATIN LETTER SMALL CAPITAL ([A-Z])", unicodedata.name(c, "")) for c in chars}
+    small = {c: m[1].lower() for c, m in own.items() if m}
+    letters, capitals = {}, {}
+    for c, k in zip(chars, skeletons[len(ascii_letters) :]):
+        if not unicodedata.name(c, "").startswith("LATIN"):
+            k = "".join(x for x in k if not unicodedata.combining(x)) or k
+        letter = small.get(c) or by_skeleton.get(k) or small.get(k)
+        if letter and c.lower() == c:
+            letters[c] = letter
+        elif letter:
+            capitals[c] = "i" if letter == "l" and c.lower() in ("і", "ι") else letter
+    return Table({**letters, **LOOKALIKES}, capitals)
+
+
+FIXED = Table()
+
+
+def table_form(label: str, table: Table = FIXED) -> str:
+    return table.form(label)
 
 
 class Trie:
     """Spellings by their decomposed characters; a leaf holds the spelling and how often it occurs."""
 
-    def __init__(self) -> None:
+    def __init__(self, table: Table = FIXED) -> None:
         self.root: dict = {}
+        self.table = table
 
     def add(self, spelling: str, count: int) -> None:
         node = self.root
@@ -82,22 +160,23 @@ class Trie:
         node[""] = (spelling, known[1] + count)
 
     def walk(self, label: str, budget: float = BUDGET) -> str | None:
-        """The cheapest spelling within the budget that the automaton reaches, of equals the most frequent.
+        """The cheapest spelling within the budget that the automaton reaches, of equals the most frequent, of those
+        the one that the table would give."""
+        found = self.matched(label, budget)
+        return found[2] if found else None
+
+    def matched(self, label: str, budget: float = BUDGET, least: int = 0) -> tuple[float, int, str] | None:
+        """(cost, -count, spelling) of the best spelling. One that costs an edit needs a count of `least`.
 
         States are trie nodes with their cost. A character that does not show moves nothing and costs nothing; a
-        character's compatibility form, and in labels with Latin letters its look-alike, move down at no cost;
-        every other substitution, insertion or omission costs EDIT_COST.
+        character's compatibility form, and in labels with Latin letters each of its look-alikes, move down at no
+        cost; every other substitution, insertion or omission costs EDIT_COST.
         """
         latin = has_latin(plain(label))
         states = self._inserted({id(self.root): (self.root, 0.0)}, budget)
-        for ch in label:
-            if invisible(ch):
-                continue
-            symbols = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", ch).lower())
-            for s in symbols:
-                if invisible(s):
-                    continue
-                take = {"-"} if s in HYPHENS else {s, LOOKALIKES[s]} if latin and s in LOOKALIKES else {s}
+        for ch in composed(label):
+            for s in unicodedata.normalize("NFD", ch):
+                take = {*s.lower(), *(self.table.options(s) if latin else "")}
                 after: dict = {}
                 for node, cost in states.values():
                     for t in take:
@@ -111,8 +190,10 @@ class Trie:
                 states = self._inserted(after, budget)
                 if not states:
                     return None
-        ends = [(cost, -node[""][1], node[""][0]) for node, cost in states.values() if "" in node]
-        return min(ends)[2] if ends else None
+        form = self.table.form(label)
+        ends = [(cost, -node[""][1], node[""][0] != form, node[""][0]) for node, cost in states.values() if "" in node and (not cost or node[""][1] >= least)]
+        best = min(ends, default=None)
+        return (best[0], best[1], best[3]) if best else None
 
     @staticmethod
     def _keep(states: dict, node: dict, cost: float) -> None:
@@ -145,57 +226,86 @@ def labels_of(host: Column) -> Column:
     return F.split(F.regexp_replace(host, rf"^{_EDGES}|{_EDGES}$", ""), f"[{DOTS}]")
 
 
-_TOKEN = pa.schema([("token", pa.string()), ("uses", pa.int64()), ("form", pa.string()), ("shard", pa.int64())])
-_RESULT = pa.schema([("token", pa.string()), ("uses", pa.int64()), ("clean", pa.string()), ("known", pa.bool_())])
+_KINDS = pa.schema([("token", pa.string()), ("uses", pa.int64()), ("form", pa.string()), ("shard", pa.int64())])
+_KINDS_DDL = "token string, uses bigint, form string, shard bigint"
+_RESULT = pa.schema([("token", pa.string()), ("uses", pa.int64()), ("form", pa.string()), ("cost", pa.float64()), ("rank", pa.int64()), ("clean", pa.string())])
+_RESULT_DDL = "token string, uses bigint, form string, cost double, rank bigint, clean string"
+
+
+def routes(key: str, budget: float) -> list[str]:
+    """The keys under which a label of this route may meet spellings: its own, and where an edit is allowed those with
+    one letter left out, of which two labels that are one edit apart share one."""
+    return [key] if budget < EDIT_COST else [key, *dict.fromkeys(key[:i] + key[i + 1 :] for i in range(len(key)))]
 
 
-def _routed(shards: int):
+def _routed(shared, shards: int, budget: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
         for b in batches:
-            forms = [table_form(t) for t in b.column(0).to_pylist()]
-            shard = [zlib.crc32(f.encode("utf-8", "surrogatepass")) % shards for f in forms]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(forms, pa.string()), pa.array(shard, pa.int64())], schema=_TOKEN)
+            out: list[list] = [[], [], [], []]
+            for token, uses in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                form = table.form(token)
+                keys = routes(table.route(form), budget)
+                for shard in {zlib.crc32(k.encode("utf-8", "surrogatepass")) % shards for k in keys}:
+                    for c, v in zip(out, (token, uses, form, shard)):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _KINDS)], schema=_KINDS)
 
     return run
 
 
-def _matched(tokens: pa.Table, vocabulary: pa.Table) -> pa.Table:
-    """Walk the tokens of one shard through the trie of its vocabulary, to which the tokens that are consistent
-    themselves belong too."""
-    names, uses, forms = (tokens.column(c).to_pylist() for c in ("token", "uses", "form"))
-    trie = Trie()
-    if names:
-        for spelling, n in zip(vocabulary.column("token").to_pylist(), vocabulary.column("uses").to_pylist()):
-            trie.add(spelling, n)
-        for t, n, f in zip(names, uses, forms):
-            if t == f:
-                trie.add(t, n)
-    found = [trie.walk(t) for t in names]
-    clean = [f if w is None else w for w, f in zip(found, forms)]
-    return pa.Table.from_arrays([pa.array(names, pa.string()), pa.array(uses, pa.int64()), pa.array(clean, pa.string()), pa.array([w is not None for w in found], pa.bool_())], schema=_RESULT)
-
-
-def label_dictionary(hosts: DataFrame, odd: DataFrame) -> DataFrame:
-    """(token, uses, clean, known) of every distinct label of the distinct hosts `odd` that is not plain ASCII."""
+def _matcher(shared, budget: float):
+    def run(tokens: pa.Table, vocabulary: pa.Table) -> pa.Table:
+        """Walk the tokens of one shard through the trie of its vocabulary, to which the tokens that are consistent
+        themselves belong too."""
+        names, uses, forms = (tokens.column(c).to_pylist() for c in ("token", "uses", "form"))
+        trie = Trie(shared.value)
+        if names:
+            for spelling, n in zip(vocabulary.column("token").to_pylist(), vocabulary.column("uses").to_pylist()):
+                trie.add(spelling, n)
+            for t, n, f in zip(names, uses, forms):
+                if t == f:
+                    trie.add(t, n)
+        found = [(0.0, 0, t) if t == f else trie.matched(t, budget, EDIT_RATIO * n) for t, n, f in zip(names, uses, forms)]
+        cost, rank, clean = ([None if x is None else x[i] for x in found] for i in range(3))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((names, uses, forms, cost, rank, clean), _RESULT)], schema=_RESULT)
+
+    return run
+
+
+def label_dictionary(hosts: DataFrame, odd: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """(token, uses, clean, known) of every distinct label of the distinct hosts `odd` that is not plain ASCII; known
+    tells whether the vocabulary has it. The table of look-alikes, a few hundred letters, is sent by broadcast."""
+    spark = hosts.sparkSession
+    shared = spark.sparkContext.broadcast(public_table(spark))
     shards = max(32, plan_bytes(hosts) // TRIE_BYTES)
     tokens = odd.select(F.explode(labels_of(F.col("raw"))).alias("token")).filter(suspicious(F.col("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
-    routed = tokens.mapInArrow(_routed(shards), "token string, uses bigint, form string, shard bigint")
     plain_hosts = hosts.filter(~suspicious(F.col("raw")))
     words = plain_hosts.select(F.explode(F.split(F.lower("raw"), r"\.")).alias("token")).filter("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
-    vocabulary = words.withColumn("shard", F.crc32("token") % shards)
-    return routed.groupBy("shard").cogroup(vocabulary.groupBy("shard")).applyInArrow(_matched, "token string, uses bigint, clean string, known boolean")
-
-
-def consistent_hosts(hosts: DataFrame) -> DataFrame:
+    classes = {k: v for k, v in shared.value.classes.items() if k != v}
+    if budget < EDIT_COST:
+        vocabulary = words.withColumn("shard", F.crc32(F.translate("token", "".join(classes), "".join(classes.values()))) % shards)
+    else:
+        vocabulary = words.mapInArrow(_routed(shared, shards, budget), _KINDS_DDL).select("token", "uses", "shard")
+    routed = tokens.mapInArrow(_routed(shared, shards, budget), _KINDS_DDL)
+    found = routed.groupBy("shard").cogroup(vocabulary.groupBy("shard")).applyInArrow(_matcher(shared, budget), _RESULT_DDL)
+    if budget >= EDIT_COST:
+        best = F.min(F.when(F.col("clean").isNotNull(), F.struct("cost", "rank", "clean")))["clean"]
+        found = found.groupBy("token", "uses", "form").agg(best.alias("clean"))
+    return found.select("token", "uses", F.coalesce("clean", "form").alias("clean"), F.col("clean").isNotNull().alias("known"))
+
+
+def consistent_hosts(hosts: DataFrame, budget: float = BUDGET) -> DataFrame:
     """(field_name, row_id, pos, clean_form) of each host whose spelling differs from its consistent form in more
     than letter case, from (field_name, row_id, pos, raw).
 
     Null hosts give no row; an empty host is consistent; repeated rows give a row each; an empty table gives an
-    empty result. `hosts` is read four times, in the columns it has.
+    empty result. `hosts` is read four times, in the columns it has. A `budget` of 1 also mends one edit in labels with
+    odd characters, towards spellings that are EDIT_RATIO times as frequent.
     """
     suspects = hosts.filter(suspicious(F.col("raw")))
     odd = materialize(suspects.groupBy("raw").agg(F.count(F.lit(1)).alias("rows")), "hosts")
-    dictionary = materialize(label_dictionary(hosts, odd).select("token", "uses", "clean"), "labels")
+    dictionary = materialize(label_dictionary(hosts, odd, budget).select("token", "uses", "clean"), "labels")
     labels = odd.select("raw", "rows", F.posexplode(labels_of(F.col("raw"))).alias("place", "token"))
     plain_labels = labels.filter(~suspicious(F.col("token"))).select("raw", "rows", "place", F.lower("token").alias("clean"))
     odd_labels = lookup_join(labels.filter(suspicious(F.col("token"))), dictionary, "token", "uses").select("raw", "rows", "place", "clean")
