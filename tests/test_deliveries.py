@@ -61,3 +61,24 @@ def test_empty_and_kept(spark):
         first[f] = min(first.get(f, (at, i)), (at, i))
     assert kept == {i for _, i in first.values()}
     assert kept.isdisjoint(found(df)) and len(kept) + len(found(df)) == 500
+
+
+def test_store_accepts_each_message_once(spark, tmp_path):
+    store = d.MessageStore(spark, f"file://{tmp_path}/messages")
+    other = hashlib.sha256(b"y").hexdigest()
+    take = lambda *rows: sorted(r[0] for r in store.accept(frame(spark, list(rows))).collect())
+    assert take((1, t(1), H, "1", "I", "a"), (2, t(0), COLON, "1", "I", "a"), (3, t(2), None, "7", "I", "b")) == [2, 3]
+    # A stored digest, a row without one that agrees with it, a row that agrees with a stored row without digest.
+    assert take((4, t(3), B64, "9", "J", "c"), (5, t(3), None, "0x1", "I", "A"), (6, t(3), None, "07", "I", "B"), (7, t(3), None, None, "I", "b")) == [7]
+    # The first digest for a stored row without one is a repeat; another digest is a message of its own.
+    assert take((8, t(4), other, "7", "I", "b")) == []
+    third = hashlib.sha256(b"z").hexdigest()
+    assert take((9, t(5), third, "7", "I", "b"), (10, t(6), third, "7", "I", "b")) == [9]
+    assert take() == [] and take((11, t(7), third, None, None, None)) == []
+
+
+def test_store_in_batches_keeps_as_many_messages_as_all_at_once(spark, tmp_path):
+    rows = [(i, t(i % 50), None if i % 5 == 0 else hashlib.sha256(str(i % 23).encode()).hexdigest(), str(i % 23), "I", "a") for i in range(200)]
+    store = d.MessageStore(spark, f"file://{tmp_path}/messages")
+    kept = [r[0] for k in range(0, 200, 50) for r in store.accept(frame(spark, rows[k : k + 50])).collect()]
+    assert len(kept) == d.kept_deliveries(frame(spark, rows)).count() == 23

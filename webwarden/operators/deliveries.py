@@ -3,16 +3,19 @@
 Identifiers are split by aggregated frequency. One map-side-combined aggregate counts each identifier and holds its
 first delivery; identifiers seen once pass straight out of that aggregate, and only the rows of identifiers seen
 more often are brought together and ranked, in two salted steps, so that a message delivered a billion times is
-never sorted by one task. The two parts are united.
+never sorted by one task. The two parts are united. A store keeps the identifiers of earlier messages, so that a new
+batch is held against them without reading the old deliveries again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webwarden.functions.skew import lookup_join, salted_rank
-from webwarden.session import materialize
+from webwarden.session import materialize, path_exists
 
 _PREFIX = r"(?i)^sha-?256\s*[:_/=\-]?\s*"
 
@@ -62,7 +65,10 @@ def keyed_deliveries(df: DataFrame, cols: dict[str, str] = CT_COLUMNS, stored: D
     base = _prepared(df, cols)
     if stored is not None:
         base = base.unionAll(_prepared(stored, cols))
-    base = materialize(base, "deliveries")
+    return _keyed(materialize(base, "deliveries"))
+
+
+def _keyed(base: DataFrame) -> DataFrame:
     named = base.filter(F.col("digest").isNotNull())
     bare = base.filter(F.col("digest").isNull())
     linked = bare.filter(F.col("link").isNotNull()).select("row_id", "at", "link")
@@ -71,11 +77,13 @@ def keyed_deliveries(df: DataFrame, cols: dict[str, str] = CT_COLUMNS, stored: D
     keys = asked.join(leads, "link", "left").select("link", "asking", F.coalesce("lead.digest", "link").alias("key"))
     found = lookup_join(linked, materialize(keys, "links"), "link", "asking")
     own = F.encode(F.concat(F.lit("row:"), F.col("row_id").cast("string")), "utf-8")
-    return (
+    keyed = (
         named.select("row_id", "at", F.col("digest").alias("key"))
         .unionAll(found.select("row_id", "at", "key"))
         .unionAll(bare.filter(F.col("link").isNull()).select("row_id", "at", own.alias("key")))
     )
+    # Counted, and read twice more by a join: written once, so that the links are not joined each time.
+    return materialize(keyed, "keyed")
 
 
 def split_by_frequency(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,3 +121,43 @@ def message_sizes(df: DataFrame, cols: dict[str, str] = CT_COLUMNS) -> DataFrame
     keyed = keyed_deliveries(df, cols)
     per_key = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     return per_key.groupBy("copies").agg(F.count(F.lit(1)).alias("messages"))
+
+
+class MessageStore:
+    """The identifiers of all messages kept so far, a table (ident, linked) in the shared folder: a fingerprint's
+    digest, or the digest of issuer, serial value and domain. linked is false for the latter while no fingerprint is
+    known for them, so that the first fingerprint that agrees is a repeat and not a message of its own.
+
+    Every batch is written into a folder of its own, which appears as a whole or not at all; an identifier that several
+    batches have is read once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path, self.schema = spark, path, "ident binary, linked boolean"
+
+    def read(self) -> DataFrame:
+        if not path_exists(self.spark, self.path):
+            return self.spark.createDataFrame([], self.schema)
+        batches = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+        return batches.groupBy("ident").agg(F.bool_or("linked").alias("linked"))
+
+    def accept(self, df: DataFrame, cols: dict[str, str] = CT_COLUMNS) -> DataFrame:
+        """(row_id) of the deliveries of a new batch that are the first of messages that the store does not have; their
+        identifiers are added. Only the batch is keyed and ranked; of the store the identifiers are read."""
+        base = materialize(_prepared(df, cols), "deliveries")
+        keyed = _keyed(base)
+        # What a row asks for: its digest; as a row without one its link; as a row with one a link that no digest has yet.
+        bare = F.col("digest").isNull()
+        asks = F.array_compact(F.array(F.struct(F.col("digest").alias("ident"), F.lit(False).alias("unlinked")), F.struct(F.col("link").alias("ident"), (~bare).alias("unlinked"))))
+        asked = base.select("row_id", F.explode(asks).alias("a")).select("row_id", "a.ident", "a.unlinked").filter("ident is not null")
+        wanted = asked.groupBy("ident").agg(F.count(F.lit(1)).alias("uses"))
+        stored = materialize(wanted.join(self.read(), "ident").select("ident", "uses", "linked"), "stored")
+        known_rows = lookup_join(asked, stored, "ident", "uses").filter(~(F.col("unlinked") & F.col("linked"))).select("row_id").distinct()
+        known = keyed.join(known_rows, "row_id", "left_semi").select("key").distinct()
+        singles, repeated = split_by_frequency(keyed)
+        first = singles.select("row_id").unionAll(ranked_repeats(keyed, repeated).filter("_rank = 1").select("row_id"))
+        new = materialize(keyed.join(first, "row_id", "left_semi").join(known, "key", "left_anti").select("row_id"), "new")
+        digests = base.filter(~bare).select(F.col("digest").alias("ident"), F.lit(True).alias("linked"))
+        links = base.filter(F.col("link").isNotNull()).select(F.col("link").alias("ident"), (~bare).alias("linked"))
+        digests.unionAll(links).groupBy("ident").agg(F.bool_or("linked").alias("linked")).write.parquet(f"{self.path}/batch-{uuid.uuid4().hex}")
+        return new
