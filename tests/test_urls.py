@@ -60,7 +60,7 @@ def test_parts(spark):
 def test_targets_and_endpoints(spark):
     df = rows(spark, ["https://g.test/url?x=1&next=https%3A%2F%2Fa.test%2F&q=no", "https://api.telegram.org/bot1:a/sendMessage", "http://1.2.3.4:8080/x", "https://a.test/gate.php", "https://a.test/"]).orderBy("i")
     assert df.select(u.redirect_target(F.col("url"))).first()[0] == "https://a.test/"
-    assert [r[0] for r in df.select(u.c2_endpoint(F.col("url")).family).collect()] == ["standard", "chat_bot_drop", "bare_address", "script_gate", "standard"]
+    assert [r[0] for r in df.select(u.c2_endpoint(F.col("url")).family).collect()] == ["Standard Web Resource", "Telegram Bot API Exfiltration Drop", "Direct IP C2 Exfiltration Endpoint", "Automated Script Credential Harvester (.php/.asp gate)", "Standard Web Resource"]
 
 
 def test_hmac_equals_the_library(spark):

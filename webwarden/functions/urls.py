@@ -323,16 +323,16 @@ def c2_endpoint(url: Column) -> Column:
     u = F.lower(url)
     has = lambda *ws: reduce(lambda a, w: a | F.contains(u, F.lit(w)), ws, F.lit(False))
     rules = [
-        (has("api.telegram.org") & has("sendmessage", "senddocument"), "chat_bot_drop", "T1020"),
-        (has("discord.com/api/webhooks", "discordapp.com/api/webhooks"), "chat_webhook_drop", "T1020"),
-        (u.rlike(r"/(log|gate|drop|grabber|save|post|login|auth|dump|pass|cred|collect)\.(php|asp|aspx|jsp|cgi|pl|py)"), "script_gate", "T1056.001"),
-        (u.rlike(r"https?://\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(:\d{2,5})?"), "bare_address", "T1071.001"),
-        (has("webhook.site", "pipedream.net", "requestbin", "postb.in"), "third_party_webhook", "T1020"),
+        (has("api.telegram.org") & has("sendmessage", "senddocument"), "Telegram Bot API Exfiltration Drop", "T1020"),
+        (has("discord.com/api/webhooks", "discordapp.com/api/webhooks"), "Discord Webhook Exfiltration Drop", "T1020"),
+        (u.rlike(r"/(log|gate|drop|grabber|save|post|login|auth|dump|pass|cred|collect)\.(php|asp|aspx|jsp|cgi|pl|py)"), "Automated Script Credential Harvester (.php/.asp gate)", "T1056.001"),
+        (u.rlike(r"https?://\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(:\d{2,5})?"), "Direct IP C2 Exfiltration Endpoint", "T1071.001"),
+        (has("webhook.site", "pipedream.net", "requestbin", "postb.in"), "Third-Party Webhook Data Harvester", "T1020"),
     ]
-    out = F.when(F.coalesce(u, F.lit("")) == "", F.struct(F.lit(False).alias("is_c2"), F.lit("none").alias("family"), F.lit("none").alias("technique")))
+    out = F.when(F.coalesce(u, F.lit("")) == "", F.struct(F.lit(False).alias("is_c2"), F.lit("None").alias("family"), F.lit("None").alias("technique")))
     for cond, family, technique in rules:
         out = out.when(cond, F.struct(F.lit(True).alias("is_c2"), F.lit(family).alias("family"), F.lit(technique).alias("technique")))
-    return out.otherwise(F.struct(F.lit(False).alias("is_c2"), F.lit("standard").alias("family"), F.lit("none").alias("technique")))
+    return out.otherwise(F.struct(F.lit(False).alias("is_c2"), F.lit("Standard Web Resource").alias("family"), F.lit("None").alias("technique")))
 
 
 def homoglyph_fold(name: Column) -> Column:

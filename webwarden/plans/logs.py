@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webwarden.functions import logs as g
@@ -42,7 +42,7 @@ def log_parse(spark, sf_dir):
 
 
 def log_findings(spark, sf_dir):
-    return g.findings(parsed(spark, sf_dir)).select("line_no", "ip", "uri", F.explode("attacks").alias("a")).select("line_no", "ip", "uri", "a.category", "a.rule", "a.severity", "a.technique")
+    return g.finding_rows(parsed(spark, sf_dir))
 
 
 def log_category_hist(spark, sf_dir):
@@ -52,8 +52,8 @@ def log_category_hist(spark, sf_dir):
 def log_category_share(spark, sf_dir):
     """Each category's part of all events; a scalar total beside a histogram of a few rows."""
     counted = g.category_counts(parsed(spark, sf_dir))
-    total = counted.agg(F.sum("events").alias("total"))
-    return counted.join(F.broadcast(total).withColumn("k", F.lit(1)), F.col("k") == F.lit(1)).select("category", F.round(F.least(F.lit(1.0), F.col("events") / F.greatest(F.lit(1), F.col("total"))), 4).alias("share"))
+    total = F.sum("events").over(Window.partitionBy(F.lit(0)))  # of at most six rows
+    return counted.select("category", F.round(F.least(F.lit(1.0), F.col("events") / F.greatest(F.lit(1), total)), 4).alias("share"))
 
 
 def log_severity_hist(spark, sf_dir):
@@ -78,10 +78,9 @@ def log_first_findings(spark, sf_dir):
 
 
 def log_totals(spark, sf_dir):
-    p = parsed(spark, sf_dir)
-    lines = p.agg(F.count(F.lit(1)).alias("requests"), F.countDistinct("ip").alias("addresses"), F.count_if(F.size(g.attacks()) > 0).alias("found"))
-    forced = g.brute_force(p).agg(F.count(F.lit(1)).alias("forced"))
-    return lines.withColumn("k", F.lit(1)).join(forced.withColumn("k", F.lit(1)), "k").select("requests", "addresses", (F.col("found") + F.col("forced")).alias("suspicious"))
+    """One pass: what the addresses sum up to."""
+    per_ip = g.per_address(parsed(spark, sf_dir), every=True)
+    return per_ip.agg(F.sum("requests").alias("requests"), F.count(F.lit(1)).alias("addresses"), (F.sum("lines") + F.count_if("forced")).alias("suspicious"))
 
 
 def log_rollup(spark, sf_dir):
@@ -129,7 +128,7 @@ cat AS (SELECT category, count(*) AS events FROM (SELECT category FROM f UNION A
 _TS = "strptime(time, '%d/%b/%Y:%H:%M:%S %z')"
 SQL = {
     "log_parse": _BASE + "SELECT * FROM q",
-    "log_findings": _BASE + "SELECT line_no, ip, left(uri, 250) AS uri, category, rule, severity, technique FROM f",
+    "log_findings": _BASE + "SELECT line_no, ip, time, method, left(uri, 250) AS uri, status, left(ua, 150) AS ua, category, rule, upper(severity) AS severity, technique FROM f",
     "log_category_hist": _BASE + "SELECT * FROM cat",
     "log_category_share": _BASE + "SELECT category, round(least(1.0, events / greatest(1, (SELECT sum(events) FROM cat))), 4) AS share FROM cat",
     "log_severity_hist": _BASE + "SELECT s.severity, count(x.severity) AS events FROM (VALUES ('critical'), ('high'), ('medium'), ('low')) s(severity) LEFT JOIN (SELECT severity FROM f UNION ALL SELECT 'high' FROM bf) x USING (severity) GROUP BY s.severity",
@@ -143,3 +142,8 @@ SQL = {
     "log_sessions": _BASE + f""", t AS (SELECT ip, epoch({_TS})::BIGINT AS s FROM q), d AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY ip ORDER BY s) <= 1800 THEN 0 ELSE 1 END AS b FROM t),
 c AS (SELECT *, sum(b) OVER (PARTITION BY ip ORDER BY s ROWS UNBOUNDED PRECEDING) AS n FROM d) SELECT ip, min(s) AS session_start, count(*) AS requests FROM c GROUP BY ip, n""",
 }
+
+
+def closed_windows(late: int = 600) -> str:
+    """The windows of log_hourly_window that end `late` seconds before the last login post, or earlier."""
+    return SQL["log_hourly_window"].replace("FROM lp, (VALUES (0), (1)) t(k) GROUP BY ALL", f"FROM lp, (VALUES (0), (1)) t(k) WHERE floor(epoch({_TS}) / 1800) * 1800 - k * 1800 + 3600 <= (SELECT max(epoch({_TS})) FROM lp) - {late} GROUP BY ALL")

@@ -154,7 +154,7 @@ SELECT y.capture_id, round(coalesce(len(list_intersect(t, rt)) / nullif(len(list
  {_has('dom_html', h.SHADOW)} OR regexp_matches(regexp_replace(dom_html, '(?s)<!--.*?-->', '', 'g'), '<[a-z]+-[a-z0-9-]*[\\s/>]') AS shadow_dom, regexp_matches(d, 'font-size:\\s*0|opacity:\\s*0([^.\\d]|$)|display:\\s*none|visibility:\\s*hidden') OR regexp_matches(dom_html, '[\\x{{200b}}-\\x{{200f}}\\x{{2060}}\\x{{feff}}]') AS hidden_text,
  regexp_matches(d, '<iframe[^>]*style=["''][^"'']*(opacity:\\s?0|z-index: 999|position: absolute)') AS overlay FROM p""",
     "dom_exfiltration": f"SELECT DISTINCT capture_id, unnest(list_concat(regexp_extract_all(dom_html, '{_q(h.HOOK)}'), regexp_extract_all(dom_html, '{_q(h.DROP_FILE)}', 1))) AS endpoint FROM page_captures WHERE length(dom_html) > 0",
-    "cloaking": _LOWP + ", k AS (SELECT capture_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(d, '{_q(p)}') THEN '{n}' END" for p, n, _ in h.CLOAKS) + ", CASE WHEN length(dom_html) < 400 AND regexp_matches(d, 'loading|please wait|checking') THEN 'intermediate_loader' END], lambda x: x IS NOT NULL) AS n FROM p) SELECT capture_id, n[1] AS kind, array_to_string(n, ',') AS techniques, list_has_any(n, ['managed_challenge', 'image_captcha', 'other_captcha', 'commercial_gateway', 'intermediate_loader']) AS is_bot_wall FROM k",
+    "cloaking": _LOWP + ", k AS (SELECT capture_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(d, '{_q(p)}') THEN '{n}' END" for p, n, _ in h.CLOAKS) + ", CASE WHEN length(dom_html) < 400 AND regexp_matches(d, 'loading|please wait|checking') THEN '{h.LOADER[1]}' END], lambda x: x IS NOT NULL) AS n FROM p) SELECT capture_id, CASE WHEN n[1] = '" + h.LOADER[1] + "' THEN '" + h.LOADER[0] + "' ELSE n[1] END AS kind, array_to_string(n, ',') AS techniques, list_has_any(n, [" + ", ".join(f"'{x}'" for x in (*(n for _, n, w in h.CLOAKS if w), h.LOADER[1])) + "]) AS is_bot_wall FROM k",
     "cloaking_kinds": "SELECT regexp_replace(trim(regexp_replace(lower(interstitial_type), '\\s+', ' ', 'g')), ' v\\d+$', '') AS kind, count(*) AS results, count(*) FILTER (is_bot_wall) AS bot_walls FROM cloaking_results WHERE interstitial_type IS NOT NULL GROUP BY 1",
     "kit_fingerprint": _LOWP + f", k AS (SELECT capture_id, [{_KITN}] AS n, regexp_matches(d, '{h.BOT_DROP}') AS bot_drop FROM p) SELECT capture_id, CASE WHEN list_max(n) > 0 THEN [{', '.join(repr(x) for x in h.KITS)}][list_position(n, list_max(n))] END AS kit, list_max(n)::INT AS matches, bot_drop, CASE WHEN list_max(n) > 0 THEN 0.95 WHEN bot_drop THEN 0.9 ELSE 0 END::DOUBLE AS confidence FROM k",
     "content_brand_match": _LOWP + """, b AS (SELECT brand_id, row_number() OVER () AS o, unnest(list_distinct(list_concat([brand_id], string_split(lower(coalesce(display_name, '')), ' ')))) AS w FROM protected_brands),

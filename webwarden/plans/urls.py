@@ -259,7 +259,7 @@ SELECT feature_id, regexp_matches(h, '^\\d+\\.\\d+\\.\\d+\\.\\d+$')::INT AS doma
 b AS (SELECT feature_id, h IN ({_IN(u.SHORTENERS)}) AS is_shortened, {_TARGET} AS target FROM a) SELECT *, CASE WHEN is_shortened OR target IS NOT NULL THEN 2 ELSE 1 END::INT AS hops, CASE WHEN is_shortened OR target IS NOT NULL THEN 0.2 ELSE 0 END::DOUBLE AS boost FROM b""",
     "c2_classify": r"""WITH a AS (SELECT feature_id, lower(url) AS u FROM lexical_features), b AS (SELECT feature_id, CASE WHEN contains(u, 'api.telegram.org') AND (contains(u, 'sendmessage') OR contains(u, 'senddocument')) THEN 1 WHEN contains(u, 'discord.com/api/webhooks') OR contains(u, 'discordapp.com/api/webhooks') THEN 2
 WHEN regexp_matches(u, '/(log|gate|drop|grabber|save|post|login|auth|dump|pass|cred|collect)\.(php|asp|aspx|jsp|cgi|pl|py)') THEN 3 WHEN regexp_matches(u, 'https?://\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(:\d{2,5})?') THEN 4 WHEN regexp_matches(u, 'webhook\.site|pipedream\.net|requestbin|postb\.in') THEN 5 ELSE 6 END AS k FROM a)
-SELECT feature_id, k < 6 AS is_c2, ['chat_bot_drop', 'chat_webhook_drop', 'script_gate', 'bare_address', 'third_party_webhook', 'standard'][k] AS family, ['T1020', 'T1020', 'T1056.001', 'T1071.001', 'T1020', 'none'][k] AS technique FROM b""",
+SELECT feature_id, k < 6 AS is_c2, ['Telegram Bot API Exfiltration Drop', 'Discord Webhook Exfiltration Drop', 'Automated Script Credential Harvester (.php/.asp gate)', 'Direct IP C2 Exfiltration Endpoint', 'Third-Party Webhook Data Harvester', 'Standard Web Resource'][k] AS family, ['T1020', 'T1020', 'T1056.001', 'T1071.001', 'T1020', 'None'][k] AS technique FROM b""",
     "homoglyph_match": _LOW + """, f AS (SELECT feature_id, host, translate(host, '1053@8', 'loseab') AS folded FROM h), br AS (SELECT brand_id, row_number() OVER () AS o FROM protected_brands)
 SELECT feature_id, folded, arg_min(brand_id, o) AS brand FROM f JOIN br ON contains(folded, brand_id) AND NOT contains(host, brand_id) GROUP BY feature_id, folded""",
     "canary_credentials": f"""SELECT feature_id, upper(left(sha256('{_XOR(0x5C)}'::BLOB || unhex(sha256('{_XOR(0x36)}'::BLOB || encode(lower(trim(url)) || '|{CANARY_HOUR}|std')))), 12)) AS canary_id FROM lexical_features""",

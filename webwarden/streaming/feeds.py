@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Sequence
 
@@ -10,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webwarden.functions import logs, network
-from webwarden.session import shared_dir
+from webwarden.session import tables_dir
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's files as a stream, whether the table is one file or a folder of parts."""
     path = f"{sf_dir}/{name}.parquet"
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    if os.path.isfile(path):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile():
         return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return reader.parquet(path)
 
@@ -39,14 +39,11 @@ def first_deliveries(events: DataFrame, key: str, at: str, within: str = "1 day"
     return events.withWatermark(at, within).dropDuplicatesWithinWatermark([key])
 
 
-def run_to_end(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Process all that a stream has now and give the result as a table in the shared folder."""
+def run_to_end(stream: DataFrame, name: str = "stream") -> DataFrame:
+    """Process all that a stream has now and give the result as a table in the shared folder. Windows come out once the
+    watermark has passed them, and their state goes."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/webwarden/{name}-{uuid.uuid4().hex}"
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).outputMode(mode).start()
-    else:
-        save = lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out")
-        q = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).outputMode(mode).start()
+    base = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).outputMode("append").start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
