@@ -16,7 +16,8 @@ def rows(spark, urls):
 
 def lexical(spark, url, canonical=False):
     h = F.lower(u.host(F.col("url")))
-    df = rows(spark, [url]).withColumn("host", h).withColumn("near", u.nearest_brand(u.brand_tokens(F.col("host")), BRANDS))
+    df = rows(spark, [url]).withColumn("host", h)
+    df = df.join(u.nearest_brands(df.select("host").distinct(), BRANDS), "host", "left")
     return df.select("near.*", u.lexical_score(F.col("host"), F.col("near"), F.lit(canonical), F.col("url")).alias("s")).first()
 
 

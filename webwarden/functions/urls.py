@@ -1,7 +1,7 @@
 """URL features as column expressions: parts, entropy, brand proximity, lexical score, 79 lexical measures.
 
-Every function takes and returns columns, so all of them run inside whole-stage projections over the scan. Null URLs
-give null or zero features and never fail.
+Functions take and return columns, so they run inside whole-stage projections over the scan; brand proximity alone
+goes by way of a table of distinct tokens. Null URLs give null or zero features and never fail.
 """
 
 from __future__ import annotations
@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webwarden.functions.skew import lookup_join
+from webwarden.session import materialize
+
 # Top-level names with much abuse, and second-level names under which registries sell.
 RISKY_TLDS = (
     "tk ml ga cf gq xyz top work buzz online site icu monster club info cfd sbs rest fit cc ws country stream gdn mom cam kim vip click link surf casa bar lat live space support".split()
@@ -149,28 +152,42 @@ def brand_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(bound(base, pieces), lambda t: t != ""))
 
 
-def nearest_brand(tokens: Column, brands: Sequence[str]) -> Column:
-    """Struct (distance, similarity, brand) of the brand with the least edit distance to any token; then the greatest
-    similarity, then the first brand. The brand is '' and the similarity 0 if nothing is near."""
-    items = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(b).alias("brand")) for i, b in enumerate(brands)])
-
-    def one(t: Column, b: Column) -> Column:
-        d = F.levenshtein(t, b["brand"])
-        sim = 1 - d / F.greatest(F.length(t), F.length(b["brand"]))
-        return F.struct(d.alias("distance"), (-sim).alias("minus"), b["ord"].alias("ord"), b["brand"].alias("brand"))
-
-    # The outer lambda binds the tokens once; they would else be cut again for each brand.
-    best = F.transform(F.array(tokens), lambda ts: F.array_min(F.flatten(F.transform(items, lambda b: F.transform(ts, lambda t: one(t, b))))))[0]
-
-    def kept(x: Column) -> Column:
-        far = (x["minus"] > -0.6) & (x["distance"] > 2)
-        return F.struct(
-            F.coalesce(x["distance"], F.lit(0)).alias("distance"),
-            F.when(far | x.isNull(), 0.0).otherwise(F.round(-x["minus"], 4)).alias("similarity"),
-            F.when(far | x.isNull(), "").otherwise(x["brand"]).alias("brand"),
-        )
-
-    return F.transform(F.array(best), kept)[0]
+#: Bits of each part of a candidate's code.
+_PART = 20
+
+
+def _near_or_far(code: Column, brands: Sequence[str]) -> Column:
+    """Struct (distance, similarity, brand) of a candidate's code; '' and 0 if it is far, or if there is none."""
+    distance = F.coalesce(F.shiftright(code, 2 * _PART).cast("int"), F.lit(0))
+    longer = (1 << _PART) - 1 - F.shiftright(code, _PART).bitwiseAND((1 << _PART) - 1)
+    similarity = F.when(distance == 0, 1.0).otherwise(1 - distance / longer)
+    far = ((similarity < 0.6) & (distance > 2)) | code.isNull()
+    brand = F.element_at(F.array(*[F.lit(b) for b in brands]), (code.bitwiseAND((1 << _PART) - 1) + 1).cast("int"))
+    return F.struct(distance.alias("distance"), F.when(far, 0.0).otherwise(F.round(similarity, 4)).alias("similarity"), F.when(far, "").otherwise(brand).alias("brand"))
+
+
+def nearest_brands(hosts: DataFrame, brands: Sequence[str]) -> DataFrame:
+    """(host, near) of distinct hosts: the struct (distance, similarity, brand) of the brand with the least edit
+    distance to any of the host's tokens; then the greatest similarity, then the first brand. The brand is '' and the
+    similarity 0 if nothing is near, or the host has no tokens.
+
+    Hosts share tokens, so each distinct token is held against the brands once, in flat rows that run as compiled code.
+    A token that a large part of the hosts has is joined by broadcast. `hosts` is read three times: give a table.
+    """
+    items = F.array(*[F.struct(F.lit(i).cast("bigint").alias("ord"), F.lit(b).alias("brand")) for i, b in enumerate(brands)])
+    tokens = hosts.select("host", F.explode(brand_tokens(F.col("host"))).alias("token"))
+    # Few bytes, but much work for each: adaptive execution would put them into one partition.
+    width = int(hosts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).repartition(width).select("token", "uses", F.explode(items).alias("b"))
+    # A candidate is one number, which hash aggregates can take the least of: the distance, then among equal ones the
+    # greatest similarity, which is that of the longest, then the place of the brand.
+    most = (1 << _PART) - 1
+    distance, longer = F.levenshtein("token", "b.brand").cast("bigint"), F.least(F.lit(most), F.greatest(F.length("token"), F.length("b.brand")))
+    rated = pairs.select("token", "uses", "b.ord", distance.alias("d"), longer.cast("bigint").alias("longer"))
+    code = F.shiftleft("d", 2 * _PART) + F.when(F.col("d") == 0, F.lit(0).cast("bigint")).otherwise(F.shiftleft(most - F.col("longer"), _PART)) + F.col("ord")
+    nearest = materialize(rated.groupBy("token", "uses").agg(F.min(code).alias("best")), "tokens")
+    of_hosts = lookup_join(tokens, nearest, "token", "uses").groupBy("host").agg(F.min("best").alias("best"))
+    return hosts.join(of_hosts, "host", "left").select("host", _near_or_far(F.col("best"), brands).alias("near"))
 
 
 def lexical_score(name: Column, near: Column, canonical: Column, url: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webwarden.functions import logs as g
+from webwarden.session import spread
 
 _PAYLOADS = [
     "/index.html", "/item?id=1+UNION+SELECT+name", "/a/../../etc/passwd", "/q?x=%3Cscript%3Ealert(1)%3C/script%3E", "/run?c=/bin/sh", "/item?id=1%27%20or%20%271%27=%271", "/page?f=php://filter/x", "/p?u=javascript:alert", "/assets/app.js", "/q?s=information_schema", "/x?y=%00",
@@ -15,7 +16,7 @@ _AGENTS = ["Mozilla/5.0", "sqlmap/1.7", "Mozilla/5.0 (X11)", "curl/8.0", "Nikto/
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line_no, line): a line in the combined format for each event; every 97th is malformed, every 13th sizeless."""
-    return spelt(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return spelt(spread(spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
 def spelt(e: DataFrame) -> DataFrame:

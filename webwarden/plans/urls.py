@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webwarden.functions import urls as u
-from webwarden.session import materialize
+from webwarden.session import materialize, spread
 
 #: Key and hour of the planted credentials in the query; an engine's user passes their own.
 CANARY_KEY, CANARY_HOUR = b"webwarden-canary", 485000
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lexical_features.parquet").select("feature_id", "url")
+    return spread(spark.read.parquet(f"{sf_dir}/lexical_features.parquet").select("feature_id", "url"))
 
 
 def brand_ids(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -57,8 +57,10 @@ def _near(spark, sf_dir) -> DataFrame:
     """Each distinct host once with its nearest brand, written down: proximity is costly, hosts repeat, and a join's
     condition on the brand would have the optimizer spell the expression out again in every branch."""
     named = scans(spark, sf_dir).withColumn("host", F.lower(u.host(F.col("url"))))
-    hosts = named.select("host").distinct()
-    return materialize(hosts.select("host", u.nearest_brand(u.brand_tokens(F.col("host")), brand_ids(spark, sf_dir)).alias("near")), "near")
+    # Hosts are few bytes with much work for each: adaptive execution would put them into one partition.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hosts = materialize(named.select("host").distinct().repartition(width), "hosts")
+    return materialize(u.nearest_brands(hosts, brand_ids(spark, sf_dir)), "near")
 
 
 def url_brand_distance(spark, sf_dir):

@@ -95,3 +95,16 @@ def release(spark: SparkSession) -> None:
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, in bytes: a number for sizing partitions, never a switch between results."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+#: Bytes of a plan below which its rows are too few to be worth dealing out.
+SPREAD_FROM = 256 << 10
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that has work for less than half of the cores, such as one small file, dealt out over all of them. Larger
+    scans, which have a partition for each part of their files, stay as they are: there is no shuffle to pay for."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan_bytes(df) < SPREAD_FROM or 2 * df._jdf.queryExecution().toRdd().getNumPartitions() > cores:
+        return df
+    return df.repartition(cores)
