@@ -94,3 +94,24 @@ def test_metrics(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.4), (0, 0.6), (0, 0.1)], "y int, s double")
     r = models.metrics(df, "y", "s").first()
     assert (r["rows"], r["accuracy"], r["precision"], r["recall"], r["fpr"], r["auc"]) == (4, 0.5, 0.5, 0.5, 0.5, 0.75)
+
+
+def test_each_elevation(spark):
+    t = lambda start=0.3, canonical=False, lex=0.2, **k: d.threat_score(F.lit(start), F.lit(canonical), F.lit(lex), {n: F.lit(v) for n, v in k.items()})
+    flags = {"inconsistent": 0.85, "kit": 0.9, "qr_lure": 0.6, "form_mismatch": 0.85, "formless_secret": 0.85, "exfiltration": 0.9, "fake_window": 0.92, "anchor_discrepancy": 0.88, "unhandled_form": 0.82, "dead_links": 0.5, "hidden_text": 0.55, "content_swap": 0.85, "content_brand": 0.8}
+    assert [round(x, 4) for x in one(spark, *[t(**{k: True}) for k in flags])] == list(flags.values())
+    assert set(flags) | {"redirect_boost", "relay_boost", "cloaked", "url_ensemble", "content_risk"} == {e[0] for e in d.ELEVATIONS} and len(d.ELEVATIONS) == 18
+    got = one(spark, t(redirect_boost=0.25), t(relay_boost=0.4), t(cloaked=True, lex=0.34), t(cloaked=True, lex=0.4), t(url_ensemble=0.69), t(url_ensemble=0.8), t(0.95, url_ensemble=0.7), t(content_risk=0.59), t(content_risk=0.6))
+    assert [round(x, 4) for x in got] == [0.55, 0.7, 0.3, 0.4, 0.3, 0.65, 0.95, 0.3, 0.39]
+    every = {k: True for k in flags} | {"redirect_boost": 0.25, "relay_boost": 0.4, "cloaked": True, "url_ensemble": 0.9, "content_risk": 0.9}
+    order = one(spark, t(0.0, hidden_text=True, unhandled_form=True), t(0.0, hidden_text=True, content_brand=True), t(**every), t(canonical=True, **every), t(0.01, canonical=True, kit=True), t(0.01, canonical=True, relay_boost=0.02), t(kit=None))
+    assert [round(x, 4) for x in order] == [1.0, 0.8, 1.0, 0.05, 0.01, 0.03, 0.3]
+    with pytest.raises(ValueError):
+        t(other=True)
+
+
+def test_synchronised_and_importance(spark):
+    s = lambda b, x, y: F.struct(*d.synchronised(F.lit(b), F.lit(x), F.lit(y)))
+    assert [tuple(r) for r in one(spark, s(None, 0.9, 0.9), s("a", 0.0, 0.0), s("a", 0.2, None), s("", 0.1, 0.1))] == [(0.0, 0.0), (0.4, 0.5), (0.2, 0.5), (0.0, 0.0)]
+    (r,) = one(spark, d.importance(F.array(*[F.lit(float(x)) for x in range(4)]), F.array(*[F.lit(x) for x in (0.1, -0.5, 0.5, 0.0)]), ["a", "b", "c", "d"]))
+    assert [tuple(x) for x in r] == [("b", 1.0, -0.5, "BENIGN ANCHOR"), ("c", 2.0, 0.5, "ELEVATES RISK"), ("a", 0.0, 0.1, "ELEVATES RISK"), ("d", 3.0, 0.0, "BENIGN ANCHOR")]

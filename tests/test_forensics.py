@@ -51,7 +51,13 @@ def test_ladder_and_attribution(spark):
     L = lambda lex, ls, dom, ds, con, cs, vis, vs: f.brand_ladder(*[F.lit(x) if x is not None else n for x in (lex,)], F.lit(ls), F.lit(dom), F.lit(ds), F.lit(con), F.lit(cs), F.lit(vis), F.lit(vs))
     assert tuple(one(spark, L("a", 0.6, "b", 0.9, "c", 0.9, "d", 0.9), L("a", 0.5, "b", 0.4, "c", 0.9, "d", 0.9), L("", 0.9, "b", 0.3, "c", 0.55, "d", 0.9), L("", 0.9, "b", 0.3, "c", 0.1, "d", 0.65), L(None, 0.9, "", 0.0, "", 0.1, "d", 0.79))) == ("a", "b", "c", "d", None)
     a = lambda text, lex: f.attribution(F.lit(text), F.lit(lex), n, z, n, z, {"pay": ["pay"], "bank": ["bank"]})
-    assert [tuple(x) for x in one(spark, a("x", "bank"), a("your seed phrase", ""), a("login", ""), a("", ""))] == [("bank", "brand_impersonation", 0.4), ("wallet_drainer", "asset_theft", 0.82), ("credential_harvester", "generic_harvest", 0.65), ("unclassified", "general", 0.1)]
+    assert [tuple(x) for x in one(spark, a("x", "bank"), a("your seed phrase", ""), a("login", ""), a("", ""))] == [("bank", f.IMPERSONATION, 0.4), *[f.ARCHETYPES[k] for k in ("wallet", "login", "none")]]
+    b = lambda **k: f.attribution(F.lit("x"), F.lit(""), n, z, n, z, {"pay": ["pay"], "bank": ["bank"]}, official={"pay": ["Pay.test"], "bank": ["bank.test"]}, **k)
+    got = one(spark, b(host=F.lit("a.pay.test")), b(host=F.lit("apay.test"), relay=F.lit(True), qr=F.lit(True)), b(qr=F.lit(True)), b())
+    assert [tuple(x) for x in got] == [("pay", f.OFFICIAL, 1.0), *[f.ARCHETYPES[k] for k in ("relay", "qr", "none")]]
+    assert tuple(one(spark, f.attribution(F.lit("x"), F.lit("pay"), n, z, n, z, {"pay": ["q"]}, relay=F.lit(True)))[0]) == ("pay", f.RELAY_OF_BRAND, 0.4)
+    read = lambda r, rs, ds=0.0, vis="", vs=0.0: f.brand_ladder(n, z, n, F.lit(ds), n, z, F.lit(vis), F.lit(vs), F.lit(r), F.lit(rs), F.array(F.lit("acmebank"), F.lit("d")))
+    assert tuple(one(spark, read("Acme Bank", 0.75), read("acme_bank", 0.1, 0.25), read("other", 0.9), read("acmebank", 0.6), read("acmebank", 0.5), read("d", 0.5, vis="d", vs=0.65))) == ("acmebank", "acmebank", None, "acmebank", None, "d")
 
 
 def test_nodes_of_pages(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,10 +79,84 @@ def consistency(host: Column, brand: Column, vis: Column, dom: Column, official:
 
 
 def elevated(score: Column, steps: Sequence[tuple[Column, str, Column]]) -> Column:
-    """A score after ordered steps (condition, "floor" or "add" or "cap", value); order matters, since sums do not
-    commute with floors. The result stays in [0, 1]."""
-    out = score
-    for cond, kind, value in steps:
-        new = F.greatest(out, value) if kind == "floor" else F.least(out, value) if kind == "cap" else out + value
-        out = F.when(cond, F.least(F.lit(1.0), new)).otherwise(out)
-    return out
+    """A score after ordered steps (condition, kind, value); order matters, since sums do not commute with floors. "floor"
+    raises to the value, "add" adds it, "cap" lowers to it, and "blend" takes the value and 0.30 of the score if that is
+    more. The result stays in [0, 1]. The steps are folded as data, so the expression grows with their number only."""
+    kinds = ["floor", "add", "cap", "blend"]
+    items = F.array(*[F.struct(F.coalesce(c, F.lit(False)).alias("c"), F.lit(kinds.index(k)).alias("k"), F.coalesce(v, F.lit(0.0)).cast("double").alias("v")) for c, k, v in steps])
+
+    def step(s: Column, x: Column) -> Column:
+        new = F.when(x["k"] == 0, F.greatest(s, x["v"])).when(x["k"] == 1, s + x["v"]).when(x["k"] == 2, F.least(s, x["v"])).otherwise(F.greatest(s, 0.30 * s + x["v"]))
+        return F.when(x["c"], F.least(F.lit(1.0), new)).otherwise(s)
+
+    return F.aggregate(items, score.cast("double"), step)
+
+
+# The elevations of a score in their order: signal, kind, value, and whether official hosts get it too. "floor" raises
+# to the value, "add" adds the value, "scale" adds that part of the signal, "gain" adds the signal, "blend" mixes it in with that weight,
+# "lex" raises to the lexical score if that reaches the value.
+ELEVATIONS = [
+    ("inconsistent", "floor", 0.85, False),
+    ("kit", "floor", 0.90, False),
+    ("redirect_boost", "gain", 1.0, False),
+    ("relay_boost", "gain", 1.0, True),
+    ("qr_lure", "add", 0.30, False),
+    ("form_mismatch", "floor", 0.85, False),
+    ("formless_secret", "floor", 0.85, False),
+    ("exfiltration", "floor", 0.90, False),
+    ("fake_window", "floor", 0.92, False),
+    ("anchor_discrepancy", "floor", 0.88, False),
+    ("unhandled_form", "floor", 0.82, False),
+    ("dead_links", "add", 0.20, False),
+    ("hidden_text", "add", 0.25, False),
+    ("content_swap", "floor", 0.85, True),
+    ("cloaked", "lex", 0.35, True),
+    ("url_ensemble", "blend", 0.70, False),
+    ("content_risk", "scale", 0.15, False),
+    ("content_brand", "floor", 0.80, False),
+]
+#: What the two model scores must reach to count, and what an official host's score is held below.
+ENSEMBLE_FROM, CONTENT_FROM, OFFICIAL_MOST = 0.70, 0.60, 0.05
+
+
+def threat_score(score: Column, canonical: Column, s_lex: Column, signals: Mapping[str, Column]) -> Column:
+    """A score after the elevations of ELEVATIONS, in their order. Signals are flags, or numbers for the two boosts and
+    the two model scores; one that is not given, or null, is not there. The result stays in [0, 1]; that of an official
+    host stays at OFFICIAL_MOST or below."""
+    unknown = set(signals) - {name for name, *_ in ELEVATIONS}
+    if unknown:
+        raise ValueError(f"no such signals: {sorted(unknown)}")
+    canonical, s_lex = F.coalesce(canonical, F.lit(False)), F.coalesce(s_lex, F.lit(0.0))
+    steps = []
+    for name, kind, value, official_too in ELEVATIONS:
+        if name not in signals:
+            continue
+        signal = signals[name]
+        if kind in ("gain", "scale", "blend"):
+            number = F.coalesce(signal, F.lit(0.0))
+            there = (number > 0) & (number >= {"gain": 0.0, "scale": CONTENT_FROM, "blend": ENSEMBLE_FROM}[kind])
+            step = ("blend" if kind == "blend" else "add", value * number)
+        else:
+            there = F.coalesce(signal, F.lit(False)) & ((s_lex >= value) if kind == "lex" else F.lit(True))
+            step = ("add", F.lit(value)) if kind == "add" else ("floor", s_lex if kind == "lex" else F.lit(value))
+        steps.append((there if official_too else there & ~canonical, *step))
+    return elevated(score, [*steps, (canonical, "cap", F.lit(OFFICIAL_MOST))])
+
+
+def synchronised(brand: Column, dom: Column, vis: Column) -> tuple[Column, Column]:
+    """(dom, vis): what page and image say once the brand is settled. Without a brand they say nothing; with one, a score
+    that is missing is 0.40 for the page and 0.50 for the image."""
+    none = F.coalesce(brand, F.lit("")) == ""
+    own = lambda c, usual: F.when(none, 0.0).when(F.coalesce(c, F.lit(0.0)) > 0, c).otherwise(usual)
+    return own(dom, 0.40), own(vis, 0.50)
+
+
+def importance(values: Column, impacts: Column, names: Sequence[str] = VECTOR) -> Column:
+    """Array of structs (feature, value, impact, direction) of the signed impacts of a vector's features, the greatest
+    magnitude first and of equals the earlier feature."""
+    listed = F.array(*[F.lit(n) for n in names])
+    rows = F.transform(F.arrays_zip(values.alias("v"), impacts.alias("x"), listed.alias("n")), lambda r, i: F.struct((-F.abs(F.round(r["x"], 4))).alias("o"), i.alias("i"), r.alias("r")))
+    return F.transform(
+        F.array_sort(rows),
+        lambda s: F.struct(s["r"]["n"].alias("feature"), F.round(s["r"]["v"], 4).alias("value"), F.round(s["r"]["x"], 4).alias("impact"), F.when(s["r"]["x"] > 0, "ELEVATES RISK").otherwise("BENIGN ANCHOR").alias("direction")),
+    )

@@ -129,29 +129,57 @@ def recognised(text: Column, brands: Sequence[str]) -> Column:
     return F.transform(F.array(low), rated)[0]
 
 
-def brand_ladder(lex: Column, lex_sim: Column, dom: Column, dom_score: Column, content: Column, content_score: Column, vis: Column, vis_score: Column) -> Column:
-    """The brand of a scan: the first rung that holds, by host, structure, content, then image; null if none does."""
+def brand_ladder(
+    lex: Column, lex_sim: Column, dom: Column, dom_score: Column, content: Column, content_score: Column, vis: Column, vis_score: Column, read: Column | None = None, read_score: Column | None = None, known: Column | None = None
+) -> Column:
+    """The brand of a scan: the first rung that holds, by host, structure, the text that an image shows (`read`), content,
+    then image; null if none does. A brand of a text must be in the array `known`, if it is given."""
     named = lambda c: F.coalesce(c, F.lit("")) != ""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    rungs = [(named(lex) & (zero(lex_sim) >= 0.6), lex), (named(dom) & (zero(dom_score) >= 0.40), dom), (named(content) & (zero(content_score) >= 0.55), content), (named(vis) & (zero(vis_score) >= 0.65) & (zero(dom_score) >= 0.25), vis), (named(vis) & (zero(vis_score) >= 0.80), vis)]
+    listed = lambda c: named(c) & (F.array_contains(known, c) if known is not None else F.lit(True))
+    read = F.translate(F.lower(read), " _", "") if read is not None else F.lit(None).cast("string")
+    sure = zero(read_score) if read_score is not None else F.lit(0.0)
+    agrees = F.coalesce(read == vis, F.lit(False)) & listed(read)
+    rungs = [
+        (named(lex) & (zero(lex_sim) >= 0.6), lex), (named(dom) & (zero(dom_score) >= 0.40), dom), (listed(read) & ((sure >= 0.75) | (zero(dom_score) >= 0.25)), read), (listed(content) & (zero(content_score) >= 0.55), content),
+        (named(vis) & (zero(vis_score) >= 0.65) & ((zero(dom_score) >= 0.25) | agrees), vis), (named(vis) & (zero(vis_score) >= 0.80), vis), (listed(read) & (sure >= 0.60), read),
+    ]
     return F.coalesce(*[F.when(c, v) for c, v in rungs])
 
 
-def attribution(text: Column, lex: Column, dom: Column, dom_score: Column, vis: Column, vis_score: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
-    """Struct (target, kind, confidence): the catalogue's brand with most evidence if it has 0.35, else a kind of
-    campaign by what the text says. The first brand of the catalogue wins ties."""
+# What a campaign is called, with a target where no brand is one, and how sure that is.
+OFFICIAL, IMPERSONATION = "Legitimate Authoritative Portal", "Brand Impersonation & Credential Theft"
+RELAY_OF_BRAND, QR_OF_BRAND = "Adversary-in-the-Middle (AiTM) Reverse Proxy", "Quishing (QR Phishing) Campaign"
+ARCHETYPES = {
+    "relay": ("aitm_reverse_proxy", "Dynamic Session Interception", 0.88), "qr": ("quishing_lure", "Out-of-Band Optical Phishing", 0.85), "wallet": ("web3_wallet_drainer", "Cryptocurrency Asset Theft", 0.82),
+    "login": ("generic_credential_harvester", "Generic Corporate Account Phishing", 0.65), "none": ("unclassified_target", "General Web Surface", 0.10),
+}
+
+
+def attribution(
+    text: Column, lex: Column, dom: Column, dom_score: Column, vis: Column, vis_score: Column, keywords: Mapping[str, Sequence[str]], host: Column | None = None, official: Mapping[str, Sequence[str]] | None = None, relay: Column | None = None, qr: Column | None = None
+) -> Column:
+    """Struct (target, kind, confidence). A host of a brand of the catalogue (`official`: its hosts) is that brand's own,
+    the first in the catalogue's order. Else the brand with most evidence is the target if it has 0.35, the first of
+    equals; else the kind of campaign follows from a relay, a QR code, or what the text says."""
     low = F.lower(F.coalesce(text, F.lit("")))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
+    flag = lambda c: F.coalesce(c, F.lit(False)) if c is not None else F.lit(False)
     rated = []
     for i, (b, words) in enumerate(keywords.items()):
         s = F.when(lex == b, 0.40).otherwise(0.0) + F.when((vis == b) & (zero(vis_score) > 0.40), 0.50 * zero(vis_score)).otherwise(0.0) + F.when((dom == b) & (zero(dom_score) > 0.35), 0.35 * zero(dom_score)).otherwise(0.0)
         rated.append(F.struct(F.round(s + F.when(_any(low, words), 0.25).otherwise(0.0) + 1e-9, 4).alias("score"), F.lit(-i).alias("o"), F.lit(b).alias("brand")))
+    h_ = F.lower(F.coalesce(host, F.lit(""))) if host is not None else F.lit("")
+    own = [F.when(reduce(lambda a, c: a | (h_ == c.lower()) | F.endswith(h_, F.lit("." + c.lower())), cs, F.lit(False)), F.lit(b)) for b, cs in (official or {}).items()]
+    owner = F.coalesce(*own) if own else F.lit(None).cast("string")
 
     def judged(b: Column) -> Column:
-        row = lambda target, kind, conf: F.struct(target.alias("target"), F.lit(kind).alias("kind"), conf.alias("confidence"))
-        named = row(b["brand"], "brand_impersonation", F.least(F.lit(1.0), b["score"]))
-        wallet, login, rest = (row(F.lit(t), k, F.lit(c)) for t, k, c in (("wallet_drainer", "asset_theft", 0.82), ("credential_harvester", "generic_harvest", 0.65), ("unclassified", "general", 0.10)))
-        return F.when(b["score"] >= 0.35, named).when(_any(low, WALLET_WORDS), wallet).when(_any(low, LOGIN_WORDS), login).otherwise(rest)
+        row = lambda target, kind, conf: F.struct(target.alias("target"), kind.alias("kind"), conf.alias("confidence"))
+        kind = F.when(flag(relay), RELAY_OF_BRAND).when(flag(qr), QR_OF_BRAND).otherwise(IMPERSONATION)
+        named = row(b["brand"], kind, F.least(F.lit(1.0), b["score"]))
+        other = {k: row(*map(F.lit, v)) for k, v in ARCHETYPES.items()}
+        out = F.when(owner.isNotNull(), row(owner, F.lit(OFFICIAL), F.lit(1.0))).when(b["score"] >= 0.35, named).when(flag(relay), other["relay"]).when(flag(qr), other["qr"])
+        return out.when(_any(low, WALLET_WORDS), other["wallet"]).when(_any(low, LOGIN_WORDS), other["login"]).otherwise(other["none"])
 
     return F.transform(F.array(F.array_max(F.array(*rated))), judged)[0]
 

@@ -80,16 +80,6 @@ def brand_consistency(spark, sf_dir):
     return j.select("scan_id", d.consistency(F.col("host"), F.coalesce("page_brand", F.lit("")), vis, dom, F.col("official")).alias("c")).select("scan_id", "c.*")
 
 
-def score_elevation(spark, sf_dir):
-    """Ordered elevation by what a page's forms, redirects and cloaks show; here by the recorded cloak and brand."""
-    cl = latest(table(spark, sf_dir, "cloaking_results").select("scan_id", "result_id", "analysed_at", "is_cloaked", "is_bot_wall"), "scan_id", "analysed_at", "result_id")
-    j = scores(spark, sf_dir).join(cl, "scan_id", "left")
-    canonical, cloaked, wall = F.coalesce("is_canonical_domain", F.lit(False)), F.coalesce("is_cloaked", F.lit(False)), F.coalesce("is_bot_wall", F.lit(False))
-    lex = F.coalesce("s_lex", F.lit(0.0))
-    steps = [(wall & ~canonical, "add", F.lit(0.20)), ((F.coalesce("page_brand", F.lit("")) != "") & ~canonical & (F.coalesce("s_vis", F.lit(0.0)) >= 0.65), "floor", F.lit(0.85)), (cloaked & (lex >= 0.35), "floor", lex), (canonical, "cap", F.lit(0.05))]
-    return j.select("scan_id", F.round(d.elevated(F.col("score"), steps) + 1e-9, 4).alias("score"))
-
-
 def attribution_groups(spark, sf_dir):
     """Shares of the feature groups, the vector's values standing for impacts."""
     f = d.fusion_vector(_lex(), F.col("s_dom"), F.col("s_vis"))
@@ -179,7 +169,7 @@ def seed_expansion(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        vec_normalise, vec_topk, vec_centroid_match, fusion_vector, fusion_score, fusion_verdicts, brand_consistency, score_elevation, attribution_groups, confusion, export_indicators, export_blocklist, export_rules, export_firewall,
+        vec_normalise, vec_topk, vec_centroid_match, fusion_vector, fusion_score, fusion_verdicts, brand_consistency, attribution_groups, confusion, export_indicators, export_blocklist, export_rules, export_firewall,
         evidence_digest, takedown_notices, incident_narratives, evidence_packages, brand_upsert, brand_delete, dataset_balance, dataset_split, seed_expansion,
     )
 }
@@ -204,9 +194,6 @@ SQL = {
     "fusion_verdicts": _S + "SELECT count(*) FILTER (score >= 0.65) AS phishing, count(*) FILTER (score >= 0.35 AND score < 0.65) AS suspicious, count(*) FILTER (score < 0.35) AS safe FROM c",
     "brand_consistency": _S + """, q AS (SELECT v.*, coalesce(page_brand <> '' AND vs >= 0.25, false) AS shown, coalesce(canonical_domains, [page_brand || '.com']) AS o FROM v LEFT JOIN protected_brands ON brand_id = page_brand WHERE capture_id IS NOT NULL),
 w AS (SELECT *, coalesce(len(list_filter(o, lambda z: host = lower(z) OR ends_with(host, '.' || lower(z)))) > 0, false) AS own FROM q) SELECT scan_id, NOT shown OR own AS consistent, shown AND NOT own AS phishing, CASE WHEN shown THEN round(least(1, 0.7 * vs + 0.3 * dm) + 1e-9, 4) ELSE 0 END::DOUBLE AS confidence FROM w""",
-    "score_elevation": _S + """, k AS (SELECT scan_id, arg_max({'c': is_cloaked, 'w': is_bot_wall}, (analysed_at, result_id)) AS r FROM cloaking_results GROUP BY scan_id), a AS (SELECT c.*, coalesce(r.c, false) AS ck, coalesce(r.w, false) AS w FROM c LEFT JOIN k USING (scan_id)),
-b1 AS (SELECT *, CASE WHEN w AND NOT can THEN least(1, score + 0.2) ELSE score END AS x1 FROM a), b2 AS (SELECT *, CASE WHEN page_brand <> '' AND NOT can AND coalesce(s_vis, 0) >= 0.65 THEN greatest(x1, 0.85) ELSE x1 END AS x2 FROM b1),
-b3 AS (SELECT *, CASE WHEN ck AND lx >= 0.35 THEN least(1, greatest(x2, lx)) ELSE x2 END AS x3 FROM b2) SELECT scan_id, round((CASE WHEN can THEN least(x3, 0.05) ELSE x3 END)::DOUBLE + 1e-9, 4) AS score FROM b3""",
     "attribution_groups": _S + ", a AS (SELECT scan_id, [" + ", ".join(f"abs(({e})::DOUBLE)" for e in _V.values()) + "] AS m FROM v), g AS (SELECT scan_id, list_sum(m[1:13]) AS l, m[14] + 0.25 * m[18] AS d, m[15] + 0.5 * m[17] + 0.5 * m[19] AS s, list_sum(m[20:23]) AS n FROM a) SELECT scan_id, round(l / (l + d + s + n) + 1e-9, 4) AS lex, round(d / (l + d + s + n) + 1e-9, 4) AS dom, round(s / (l + d + s + n) + 1e-9, 4) AS vis, round(n / (l + d + s + n) + 1e-9, 4) AS dns FROM g",
     "confusion": _S + ", q AS (SELECT coalesce(page_brand, '') <> '' AS y, score >= 0.35 AS h FROM c WHERE capture_id IS NOT NULL), k AS (SELECT count(*) FILTER (y AND h) AS tp, count(*) FILTER (NOT y AND h) AS fp, count(*) FILTER (y AND NOT h) AS fn, count(*) FILTER (NOT y AND NOT h) AS tn FROM q) SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall, round(coalesce(fp / nullif(fp + tn, 0), 0), 4) AS fpr FROM k",
     "export_indicators": _S + "SELECT scan_id, floor(score * 100 + 1e-9)::INT AS confidence, score >= 0.65 AS malicious, CASE WHEN score >= 0.65 THEN 'malicious-activity' ELSE 'anomalous-activity' END AS label FROM c WHERE score >= 0.35",

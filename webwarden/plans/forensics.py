@@ -129,7 +129,7 @@ SELECT capture_id, len(list_filter(a, lambda x: NOT ({_away})))::INT AS internal
     "brand_ladder": _S + ", lm AS (SELECT scan_id, arg_max({'m': matched_brand, 's': levenshtein_sim}, (computed_at, feature_id)) AS x FROM lexical_features GROUP BY scan_id) SELECT scan_id, CASE WHEN x.m <> '' AND x.s >= 0.6 THEN x.m WHEN page_brand <> '' AND s_dom >= 0.4 THEN page_brand WHEN page_brand <> '' AND s_vis >= 0.65 AND s_dom >= 0.25 THEN page_brand WHEN page_brand <> '' AND s_vis >= 0.8 THEN page_brand END AS brand FROM j JOIN lm USING (scan_id)",
     "target_attribution": _S + """, lm AS (SELECT scan_id, arg_max({'m': matched_brand}, (computed_at, feature_id)) AS x FROM lexical_features GROUP BY scan_id), b AS (SELECT brand_id, row_number() OVER () AS o FROM protected_brands),
 k AS (SELECT scan_id, lower(coalesce(url, '')) AS u, brand_id, o, round((CASE WHEN x.m = brand_id THEN 0.4 ELSE 0 END + CASE WHEN page_brand = brand_id AND s_vis > 0.4 THEN 0.5 * s_vis ELSE 0 END + CASE WHEN page_brand = brand_id AND s_dom > 0.35 THEN 0.35 * s_dom ELSE 0 END + CASE WHEN contains(lower(coalesce(url, '')), brand_id) THEN 0.25 ELSE 0 END)::DOUBLE + 1e-9, 4) AS s FROM j JOIN lm USING (scan_id), b),
-m AS (SELECT scan_id, u, arg_max({'b': brand_id, 's': s}, (s, -o)) AS m FROM k GROUP BY ALL) SELECT scan_id, CASE WHEN m.s >= 0.35 THEN m.b WHEN regexp_matches(u, 'metamask|seed phrase|connect wallet|keystore|crypto wallet|private key') THEN 'wallet_drainer' WHEN regexp_matches(u, 'password|sign in|login|username|account') THEN 'credential_harvester' ELSE 'unclassified' END AS target,
- CASE WHEN m.s >= 0.35 THEN 'brand_impersonation' WHEN regexp_matches(u, 'metamask|keystore') THEN 'asset_theft' WHEN regexp_matches(u, 'password|sign in|login|username|account') THEN 'generic_harvest' ELSE 'general' END AS kind, CASE WHEN m.s >= 0.35 THEN least(1, m.s) WHEN regexp_matches(u, 'metamask|keystore') THEN 0.82 WHEN regexp_matches(u, 'password|sign in|login|username|account') THEN 0.65 ELSE 0.1 END::DOUBLE AS confidence FROM m""",
+m AS (SELECT scan_id, u, arg_max({'b': brand_id, 's': s}, (s, -o)) AS m FROM k GROUP BY ALL) SELECT scan_id, CASE WHEN m.s >= 0.35 THEN m.b WHEN regexp_matches(u, 'metamask|seed phrase|connect wallet|keystore|crypto wallet|private key') THEN 'web3_wallet_drainer' WHEN regexp_matches(u, 'password|sign in|login|username|account') THEN 'generic_credential_harvester' ELSE 'unclassified_target' END AS target,
+ CASE WHEN m.s >= 0.35 THEN 'Brand Impersonation & Credential Theft' WHEN regexp_matches(u, 'metamask|keystore') THEN 'Cryptocurrency Asset Theft' WHEN regexp_matches(u, 'password|sign in|login|username|account') THEN 'Generic Corporate Account Phishing' ELSE 'General Web Surface' END AS kind, CASE WHEN m.s >= 0.35 THEN least(1, m.s) WHEN regexp_matches(u, 'metamask|keystore') THEN 0.82 WHEN regexp_matches(u, 'password|sign in|login|username|account') THEN 0.65 ELSE 0.1 END::DOUBLE AS confidence FROM m""",
     "dom_formless": f"SELECT capture_id, {_n('<input [^>]*type=.password')}::BIGINT AS secrets, 0::BIGINT AS outside FROM page_captures WHERE length(dom_html) > 0 AND {_n('<input [^>]*type=.password')} > 0",
 }
