@@ -78,3 +78,11 @@ def test_content_model(spark):
     assert (r["internal_link"], r["external_link"], r["login_form"], r["alarm_window"], r["title_domain"], r["domain_occurrence"]) == (1, 1, 1, 1, 1, 1)
     assert r["score"] == round((1 + 1 + 2) / 23, 4)
     assert (got[2]["score"], got[2]["brand_domain"], got[2]["html_len"]) == (round(4 / 11, 4), 1, 0)
+
+
+def test_seen_text_hides_whole_subtrees(spark):
+    hiding = ["display : none", "VISIBILITY:hidden", "opacity:0", "font-size:0", "left:-9999px", "text-indent: -500px", "transform:scale(0)", "max-height:0"]
+    page = "<p>Hi\u200bdden <b>t</b>ext</p><div style='display:none'>no <p>no <b>no</b></p></div><section hidden><p>no</p></section><div aria-hidden='TRUE'><span>no</span></div><noscript>no</noscript>" + "".join(f'<div style="{h}"><i>no</i></div>' for h in hiding) + "<!-- no --><p>seen</p> tail"
+    rows = [(1, page), (2, "<p>plain</p>"), (3, "<p hidden>x</p><p>y</p>"), (4, "a\u00adb"), (5, None)]
+    got = {r["page_id"]: (r["text"], r["obfuscated"]) for r in d.seen_texts(spark.createDataFrame(rows, "id bigint, html string"), "id", "html").collect()}
+    assert got == {1: ("Hidden t ext seen tail", True), 2: ("plain", False), 3: ("y", False), 4: ("ab", True)}

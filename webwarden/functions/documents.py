@@ -48,6 +48,7 @@ class Document(h._Nodes):
     def __init__(self, markup: str) -> None:
         super().__init__()
         self.said: list[str] = []
+        self.owners: list[int] = []
         self.begin: list[tuple[int, ...]] = []
         self.end: list[tuple[int, ...]] = []
         self.quiet: list[bool] = []
@@ -81,6 +82,7 @@ class Document(h._Nodes):
             self._seen[0] += len(data)
             if data.strip():
                 self.said.append(data.strip())
+                self.owners.append(inside)
 
     def handle_starttag(self, tag, attrs):
         self._flush()
@@ -150,6 +152,26 @@ def per_page(df: DataFrame, id_col: str, markup_col: str, extras: Sequence[Colum
     return source.mapInArrow(run, from_arrow_schema(full))
 
 
+def seen_text(doc: Document, markup: str) -> tuple[str, bool]:
+    """(text, obfuscated): what a reader sees. An element that is invisible by its name, the attributes hidden or
+    aria-hidden, or its style hides all that it holds; zero-width characters go, and spaces are collapsed. obfuscated
+    tells whether the page has a zero-width character anywhere, or a style that hides."""
+    hidden: list[bool] = []
+    styled = False
+    for parent, _, _, tag, attrs, _ in doc.nodes:
+        above = parent >= 0 and hidden[parent]
+        by_style = not above and tag not in INVISIBLE and bool(HIDING.search(attrs.get("style", "")))
+        styled |= by_style
+        hidden.append(above or by_style or tag in INVISIBLE or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true")
+    text = " ".join(t for t, i in zip(doc.said, doc.owners) if i < 0 or not hidden[i])
+    return " ".join(ZERO_WIDTH.sub("", text).split()), styled or bool(ZERO_WIDTH.search(markup))
+
+
+def seen_texts(df: DataFrame, id_col: str, markup_col: str) -> DataFrame:
+    """(page_id, text, obfuscated) of each page: see seen_text."""
+    return per_page(df, id_col, markup_col, [], pa.schema([("text", pa.string()), ("obfuscated", pa.bool_())]), seen_text)
+
+
 def spoken(doc: Document, visible: str) -> str:
     """What a page says and names: its whole visible text, then title, form targets, input names and hints, image
     descriptions, and once more the elements with short texts, in lower case."""
@@ -163,7 +185,7 @@ def spoken(doc: Document, visible: str) -> str:
 
 def spoken_texts(df: DataFrame, id_col: str, markup_col: str) -> DataFrame:
     """(page_id, text) of the pages that say anything."""
-    out = per_page(df, id_col, markup_col, [h.visible_text(F.col(markup_col))], pa.schema([("text", pa.string())]), lambda doc, m, visible: (spoken(doc, visible),))
+    out = per_page(df, id_col, markup_col, [], pa.schema([("text", pa.string())]), lambda doc, m: (spoken(doc, seen_text(doc, m)[0]),))
     return out.filter("text <> ''")
 
 

@@ -73,13 +73,13 @@ def reference_match(pages: DataFrame, references: DataFrame, id_col: str, markup
     """
     catalogue = layouts(references)
 
-    def one(doc: documents.Document, markup: str, shape: Mapping, visible: str) -> tuple:
-        score, brand = documents.best_reference(documents.Layout(doc, markup, shape), documents.spoken(doc, visible), catalogue)
+    def one(doc: documents.Document, markup: str, shape: Mapping) -> tuple:
+        score, brand = documents.best_reference(documents.Layout(doc, markup, shape), documents.spoken(doc, documents.seen_text(doc, markup)[0]), catalogue)
         return brand, score
 
     m = F.col(markup_col)
     schema = pa.schema([("brand", pa.string()), ("score", pa.float64())])
-    return documents.per_page(pages, id_col, markup_col, [topology(m), h.visible_text(m)], schema, one).withColumnRenamed("page_id", "id")
+    return documents.per_page(pages, id_col, markup_col, [topology(m)], schema, one).withColumnRenamed("page_id", "id")
 
 
 def content_measures(markup: Column, url: Column) -> dict[str, Column]:

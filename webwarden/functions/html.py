@@ -178,14 +178,6 @@ def simhash_similarity(a: Column, b: Column) -> Column:
     return F.when((a == 0) & (b == 0), 0.0).otherwise(F.round(1 - F.bit_count(a.bitwiseXOR(b)) / 64, 4))
 
 
-def visible_text(markup: Column) -> Column:
-    """The text that a reader sees: without comments, hidden elements and zero-width characters, spaces collapsed."""
-    t = F.regexp_replace(without_comments(markup), r"(?is)<(script|style|noscript|svg|template)\b[^>]*>.*?</\1\s*>", " ")
-    t = F.regexp_replace(t, r"""(?is)<(\w+)\b[^>]*(?:\shidden\b|aria-hidden="true"|style="[^"]*(?:display:\s*none|visibility:\s*hidden|font-size:\s*0|opacity:\s*0))[^>]*>[^<]*</\1\s*>""", " ")
-    t = F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), "[​-‏⁠﻿­]", "")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
-
-
 def _any(text: Column, words: Sequence[str]) -> Column:
     return reduce(lambda a, w: a | F.contains(text, F.lit(w)), words, F.lit(False))
 

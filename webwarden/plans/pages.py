@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webwarden.functions import html as h
+from webwarden.functions.documents import seen_texts
 from webwarden.functions.urls import host
 from webwarden.plans.training import table
 from webwarden.plans.urls import brand_ids
@@ -76,7 +77,7 @@ def dom_exfiltration(spark, sf_dir):
 
 
 def visible_text(spark, sf_dir):
-    return pages(spark, sf_dir).select("capture_id", h.visible_text(F.col("dom_html")).alias("text"))
+    return seen_texts(pages(spark, sf_dir), "capture_id", "dom_html").withColumnRenamed("page_id", "capture_id")
 
 
 def cloaking(spark, sf_dir):

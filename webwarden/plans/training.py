@@ -52,19 +52,27 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shredding.child_rows(report_nodes(spark, sf_dir)).withColumnRenamed("record_id", "report_id")
 
 
+def _entity(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
+    return shredding.entity_table(report_nodes(spark, sf_dir), entity).drop("node").withColumnRenamed("record_id", "report_id")
+
+
 def p6_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shredding.entity_table(report_nodes(spark, sf_dir), "hops").withColumnRenamed("record_id", "report_id")
+    return _entity(spark, sf_dir, "hops")
 
 
 def p6_form_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shredding.entity_table(report_nodes(spark, sf_dir), "form_actions").withColumnRenamed("record_id", "report_id")
+    return _entity(spark, sf_dir, "form_actions")
+
+
+def p6_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entity(spark, sf_dir, "mitre_attack_techniques")
 
 
 def p6_input_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shredding.entity_table(report_nodes(spark, sf_dir), "input_fields").withColumnRenamed("record_id", "report_id")
+    return _entity(spark, sf_dir, "input_fields")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_message_sizes, p4_found, p4_unreadable, p6_found, p6_hops, p6_form_actions, p6_input_fields)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_message_sizes, p4_found, p4_unreadable, p6_found, p6_hops, p6_form_actions, p6_techniques, p6_input_fields)}
 
 _DIGEST = r"""
   CASE WHEN regexp_matches(regexp_replace(bare, '[:\s\-]', '', 'g'), '^[0-9a-fA-F]{64}$') THEN lower(regexp_replace(bare, '[:\s\-]', '', 'g'))
@@ -97,6 +105,8 @@ r AS (SELECT field_name, row_id, raw, CASE WHEN f = 0 THEN (t::HUGEINT // 1000):
  WHEN wall IS NULL THEN NULL WHEN mark = '' THEN least(epoch_us(timezone({_TZ}, wall)), epoch_us(timezone({_TZ}, wall - INTERVAL 1 HOUR)) + 3600000000) + coalesce(nullif(rpad(left(p.f, 6), 6, '0'), '000000')::BIGINT, 0)
  ELSE epoch_us(wall) - minutes::BIGINT * 60000000 + coalesce(nullif(rpad(left(p.f, 6), 6, '0'), '000000')::BIGINT, 0) END AS utc_micros FROM k)
 """
+#: The same with the values that are written in the usual form already.
+INSTANTS_OF_ALL = _INSTANTS.replace(f" AND NOT regexp_matches(raw, '{instants.CANONICAL}')", "")
 _UNTEXT = "CASE WHEN json_type({0}) = 'VARCHAR' AND regexp_matches(trim({0} ->> '$'), '^[\\[{{]') AND json_valid({0} ->> '$') THEN ({0} ->> '$')::JSON ELSE {0} END"
 _LISTED = "CASE WHEN json_type({0}) = 'ARRAY' THEN {0} ELSE json_array({0}) END"
 # Every list of an entity by its path; a place is an element's index, and the parent of an input field is the form
@@ -120,3 +130,15 @@ UNION ALL SELECT report_id, result_pos, 'input_fields', pos, place, CASE WHEN js
     "p1_kept": _MESSAGES + "SELECT delivery_id FROM r WHERE rn = 1",
     "p1_message_sizes": _MESSAGES + "SELECT copies, count(*) AS messages FROM (SELECT key, count(*) AS copies FROM r GROUP BY key) GROUP BY copies",
 }
+
+
+def _entity_sql(entity: str) -> str:
+    """The flat table of an entity of _SHREDDED, in the columns of shredding.ENTITIES: scalars as the JSON spells them."""
+    value = lambda c: f"CASE WHEN json_type(json_extract(o, '$.{c}')) IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE o ->> '$.{c}' END AS {c}"
+    columns = ", ".join(value(c) for c in shredding.ENTITIES[entity])
+    if entity == "input_fields":
+        return _SHREDDED + f"SELECT report_id, result_pos, pos AS parent_pos, place AS child_pos, CASE WHEN json_type(o) = 'VARCHAR' THEN o ->> '$' END AS text, {columns} FROM f WHERE json_type(o) IN ('OBJECT', 'VARCHAR') AND (o ->> '$') <> ''"
+    return _SHREDDED + f"SELECT report_id, result_pos, -1 AS parent_pos, pos AS child_pos, {columns} FROM k WHERE child = '{entity}'"
+
+
+SQL |= {f"p6_{name}": _entity_sql(entity) for name, entity in (("hops", "hops"), ("form_actions", "form_actions"), ("techniques", "mitre_attack_techniques"), ("input_fields", "input_fields"))}
