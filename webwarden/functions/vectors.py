@@ -6,6 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webwarden.session import plan_bytes
+
+
+#: About the size of a block of rows.
+BLOCK_BYTES = 64 << 20
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -22,12 +28,14 @@ def normalised(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k: int, blocks: int = 16) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k: int, blocks: int | None = None) -> DataFrame:
     """(query_id, rank, id, similarity): the k most similar other rows of each query, ties by id.
 
     Rows are dealt to blocks by id and each query visits every block, so the work spreads over queries times blocks
-    and no task holds more than a block; each block yields its k best, and these are merged. Nothing is left out.
+    and no task holds more than a block; each block yields its k best, and these are merged. Nothing is left out. There
+    are as many blocks as the rows' estimated bytes ask for, and 16 at least.
     """
+    blocks = blocks or max(16, plan_bytes(rows) // BLOCK_BYTES)
     r = rows.select(F.col(id_col).alias("id"), normalised(F.col(vector_col)).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
     q = queries.select(F.col(id_col).alias("query_id"), normalised(F.col(vector_col)).alias("qv")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     pairs = q.join(r, "block").filter("id <> query_id").select("query_id", "block", "id", F.round(dot(F.col("qv"), F.col("v")), 4).alias("similarity"))
