@@ -59,3 +59,12 @@ def test_alignment_and_content(spark):
 def test_nodes_survive_odd_markup():
     assert h.nodes_of("</p><b><i></b>x<br/>&amp;<input>")[0][4] == "b"
     assert h.nodes_of("<" * 5000 + "a" * 5000) is not None
+
+
+def test_tag_sequence_is_that_of_the_parser(spark):
+    from webwarden.functions import documents as d
+
+    odd = '<!-- <p> --><div><INPUT Type="Password" name=a><input name="type=x"><input data-type="y" type=email><input type=""><br><hr><svg><path d="m"/></svg><custom-tag>x</custom-tag></div>'
+    got = [r[0] for r in spark.createDataFrame([(LOGIN,), (odd,)], "m string").select(h.tag_sequence(F.col("m"))).collect()]
+    assert got == [d.layout_tags(d.Document(m)) for m in (LOGIN, odd)]
+    assert got[1] == ["div", "input_password", "input_text", "input_email", "input_text", "br", "hr", "custom-tag"]

@@ -187,7 +187,7 @@ def attribution(
 def tag_paths(df: DataFrame, id_col: str, markup_col: str, depth: int = 6) -> DataFrame:
     """(page_id, path, n): paths of tags from the root, at leaves and form elements, to a depth; ignored elements and
     what they hold are left out."""
-    ignored = frozenset(h.IGNORED) - {"html", "head"}
+    ignored = frozenset(h.IGNORED)
     schema = pa.schema([("page_id", pa.int64()), ("path", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

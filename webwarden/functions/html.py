@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 # Elements without content, elements left out of tag sequences, and hrefs that lead nowhere.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-IGNORED = "script style noscript meta link head html svg path br hr".split()
+IGNORED = "script style meta link noscript svg path defs clippath head title".split()
 NULL_LINKS = ["", "#", "#!", "javascript:void(0)", "javascript:void(0);", "javascript:;", "javascript:void()", "about:blank", "mailto:"]
 # Traces of pages that resist analysis, fake browser windows, overlays and shadow roots.
 NO_RIGHT_CLICK = ['oncontextmenu="return false', "event.button == 2", "event.button==2", 'contextmenu",function(e){e.preventdefault', 'contextmenu",(e)=>e.preventdefault']
@@ -140,14 +140,22 @@ def without_comments(markup: Column) -> Column:
     return F.regexp_replace(markup, "(?s)<!--.*?-->", "")
 
 
+#: Inputs with a type that is not empty, and all others.
+TYPED_INPUT = r"""<[iI][nN][pP][uU][tT]\b(?:[^>]*?\s)?[tT][yY][pP][eE]\s*=\s*["']?([a-zA-Z][a-zA-Z-]*)"""
+PLAIN_INPUT = r"<[iI][nN][pP][uU][tT]\b"
+
+
 def tag_sequence(markup: Column) -> Column:
-    """Names of the start tags in order, without the ignored ones."""
-    tags = F.transform(F.regexp_extract_all(without_comments(markup), F.lit(r"<([a-zA-Z][a-zA-Z0-9-]*)")), F.lower)
+    """Names of the start tags in order, without the ignored ones; an input's name carries its type, "text" if it has
+    none."""
+    typed = F.regexp_replace(without_comments(markup), TYPED_INPUT, "<input_$1")
+    plain = F.regexp_replace(typed, PLAIN_INPUT, "<input_text")
+    tags = F.transform(F.regexp_extract_all(plain, F.lit(r"<([a-zA-Z][a-zA-Z0-9_-]*)")), F.lower)
     return F.filter(tags, lambda t: ~t.isin(IGNORED))
 
 
 def ngrams(items: Column, n: int) -> Column:
-    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(0), F.size(items) - n), lambda i: F.array_join(F.slice(items, i + 1, n), ">"))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(0), F.size(items) - n), lambda i: F.array_join(F.slice(items, i + 1, n), "_"))).otherwise(F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

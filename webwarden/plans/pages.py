@@ -130,8 +130,8 @@ QUERIES = {
 _q = lambda w: w.replace("'", "''")
 _has = lambda c, ws: "(" + " OR ".join(f"contains({c}, '{_q(w)}')" for w in ws) + ")"
 _TAGS = f"""WITH p AS (SELECT * FROM page_captures WHERE length(dom_html) > 0),
-t AS (SELECT capture_id, matched_brand, list_filter(list_transform(regexp_extract_all(regexp_replace(dom_html, '(?s)<!--.*?-->', '', 'g'), '<([a-zA-Z][a-zA-Z0-9-]*)', 1), lambda x: lower(x)), lambda x: x NOT IN ({', '.join(f"'{x}'" for x in h.IGNORED)})) AS t FROM p),
-g AS (SELECT *, list_transform(range(1, len(t)), lambda i: t[i] || '>' || t[i + 1]) AS b2, list_transform(range(1, len(t) - 1), lambda i: t[i] || '>' || t[i + 1] || '>' || t[i + 2]) AS b3 FROM t) """
+t AS (SELECT capture_id, matched_brand, list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(dom_html, '(?s)<!--.*?-->', '', 'g'), '{h.TYPED_INPUT.replace("'", "''")}', '<input_\\1', 'g'), '{h.PLAIN_INPUT}', '<input_text', 'g'), '<([a-zA-Z][a-zA-Z0-9_-]*)', 1), lambda x: lower(x)), lambda x: x NOT IN ({', '.join(f"'{x}'" for x in h.IGNORED)})) AS t FROM p),
+g AS (SELECT *, list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1]) AS b2, list_transform(range(1, len(t) - 1), lambda i: t[i] || '_' || t[i + 1] || '_' || t[i + 2]) AS b3 FROM t) """
 _FP = """, u AS (SELECT capture_id, unnest(b2) AS f FROM g), w AS (SELECT capture_id, ('0x' || left(md5(f), 16))::UBIGINT AS x FROM u), v AS (SELECT capture_id, i, sum(((x >> i) & 1)::INT * 2 - 1) AS s FROM w, range(64) r(i) GROUP BY ALL),
 fp AS (SELECT g.capture_id, coalesce(bit_or(CASE WHEN s > 0 THEN (1::UBIGINT << i::UBIGINT) ELSE 0 END), 0)::UBIGINT AS fp FROM g LEFT JOIN v USING (capture_id) GROUP BY g.capture_id) """
 _FORM = r"""WITH p AS (SELECT capture_id, url, dom_html, matched_brand, lower(regexp_extract(trim(url), '^(?:https?://)?([^/?#:]*)', 1)) AS host, unnest(regexp_extract_all(regexp_replace(dom_html, '(?s)<!--.*?-->', '', 'g'), '(?s)<form .*?</form>')) AS f FROM page_captures WHERE length(dom_html) > 0),
