@@ -113,7 +113,8 @@ def parse_header_block(text: Column) -> Column:
 
 
 def header_risk(hops: Column) -> Column:
-    """Struct of the header features and risk of the last response in an array of header maps."""
+    """Struct of the header features and risk of the last response in an array of header maps: banner, security headers
+    one by one and in all, outdated server, cookie flags, caching, redirects, type of content."""
 
     def of(h: Column, n: Column) -> Column:
         get = lambda k: F.coalesce(F.try_element_at(h, F.lit(k)), F.lit(""))
@@ -131,6 +132,8 @@ def header_risk(hops: Column) -> Column:
         return F.struct(
             F.when(get("server") == "", "Unadvertised").otherwise(get("server")).alias("banner"), secure.alias("security_headers"), F.round(secure / 6, 4).alias("coverage"), old.alias("outdated"),
             (has & ~(flags[0] & flags[1])).alias("insecure_cookie"), no_cache.alias("no_cache"), redirects.alias("redirects"), F.round(F.least(F.lit(1.0), risk), 4).alias("risk"),
+            *[F.map_contains_key(h, k).alias("has_" + k.replace("-", "_")) for k in SECURITY_HEADERS], has.alias("has_cookie"), *[f.alias(f"cookie_{k}") for f, k in zip(flags, ("httponly", "secure", "samesite"))],
+            F.contains(F.lower(get("content-type")), F.lit("text/html")).alias("has_text_html"),
         )
 
     last = F.coalesce(F.try_element_at(hops, F.lit(-1)), F.create_map().cast("map<string,string>"))

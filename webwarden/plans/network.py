@@ -61,7 +61,7 @@ def header_blocks(spark, sf_dir) -> DataFrame:
     lines = F.array(
         F.when(k % 3 == 0, "HTTP/1.1 302 Found\r\nLocation: /a\r\n"), F.when(k % 6 == 0, "HTTP/1.1 302 Found\r\nLocation: /b\r\n"), F.lit("HTTP/1.1 200 OK"), F.concat(F.lit("Server: "), banner),
         line(0, "Strict-Transport-Security: max-age=1"), line(1, "Content-Security-Policy: default-src 'self'"), line(2, "X-Frame-Options: DENY"), line(3, "X-Content-Type-Options: nosniff"), line(4, "Referrer-Policy: no-referrer"), line(5, "Permissions-Policy: x"),
-        line(6, "Set-Cookie: a=1; HttpOnly"), line(7, "set-cookie: b=2; Secure; SameSite=Lax"), F.when(k % 4 == 0, "Cache-Control: no-store"),
+        line(6, "Set-Cookie: a=1; HttpOnly"), line(7, "set-cookie: b=2; Secure; SameSite=Lax"), F.when(k % 4 == 0, "Cache-Control: no-store"), F.when(k % 7 == 0, "Content-Type: Text/HTML; charset=utf-8"),
     )
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.array_compact(lines), "\r\n").alias("raw"))
 
@@ -145,7 +145,8 @@ WHERE (brand IS NOT NULL OR len(tr) > 0) AND NOT coalesce(d = brand || '.com' OR
     "header_risk": """WITH k AS (SELECT c_custkey AS k, ['Apache/2.2.15', 'nginx/1.24.0', 'Microsoft-IIS/6.0', 'nginx/1.1.0', ''][c_custkey % 5 + 1] AS b FROM customer),
 f AS (SELECT *, bit_count(k & 63)::INT AS s, (k >> 6) & 1 = 1 AS h, (k >> 7) & 1 = 1 AS c, CASE WHEN k % 6 = 0 THEN 2 WHEN k % 3 = 0 THEN 1 ELSE 0 END::INT AS r, k % 5 IN (0, 2, 3) AS old FROM k)
 SELECT k AS c_custkey, CASE WHEN b = '' THEN 'Unadvertised' ELSE b END AS banner, s AS security_headers, round(s / 6, 4) AS coverage, old AS outdated, (h OR c) AND NOT (h AND c) AS insecure_cookie, k % 4 = 0 AS no_cache, r AS redirects,
- round(least(1.0, CASE WHEN s = 0 THEN 0.35 WHEN s <= 2 THEN 0.15 ELSE 0 END + 0.25 * old::INT + 0.2 * ((h OR c) AND NOT (h AND c))::INT + 0.1 * (k % 4 = 0)::INT + 0.15 * (r >= 2)::INT)::DOUBLE, 4) AS risk FROM f""",
+ round(least(1.0, CASE WHEN s = 0 THEN 0.35 WHEN s <= 2 THEN 0.15 ELSE 0 END + 0.25 * old::INT + 0.2 * ((h OR c) AND NOT (h AND c))::INT + 0.1 * (k % 4 = 0)::INT + 0.15 * (r >= 2)::INT)::DOUBLE, 4) AS risk,
+ """ + ", ".join(f"(k >> {i}) & 1 = 1 AS has_{x.replace('-', '_')}" for i, x in enumerate(n.SECURITY_HEADERS)) + ", h OR c AS has_cookie, h AS cookie_httponly, c AS cookie_secure, c AS cookie_samesite, k % 7 = 0 AS has_text_html FROM f",
     "dns_fastflux": _FLUX + "SELECT * FROM d",
     "dns_verdicts": _FLUX + "SELECT verdict, count(*) AS names, round(avg(flux_index), 4) AS mean_index FROM d GROUP BY verdict",
     "dns_networks": f"WITH a AS (SELECT CASE WHEN resolved_ip IS NULL OR resolved_ip IN ('', '127.0.0.1', 'localhost') THEN ('AS13335', 0.05::DOUBLE) {_NET} END AS a FROM tls_info) SELECT a[1] AS asn, a[2] AS reputation, count(*) AS probes FROM a GROUP BY ALL",
