@@ -115,3 +115,25 @@ def test_synchronised_and_importance(spark):
     assert [tuple(r) for r in one(spark, s(None, 0.9, 0.9), s("a", 0.0, 0.0), s("a", 0.2, None), s("", 0.1, 0.1))] == [(0.0, 0.0), (0.4, 0.5), (0.2, 0.5), (0.0, 0.0)]
     (r,) = one(spark, d.importance(F.array(*[F.lit(float(x)) for x in range(4)]), F.array(*[F.lit(x) for x in (0.1, -0.5, 0.5, 0.0)]), ["a", "b", "c", "d"]))
     assert [tuple(x) for x in r] == [("b", 1.0, -0.5, "BENIGN ANCHOR"), ("c", 2.0, 0.5, "ELEVATES RISK"), ("a", 0.0, 0.1, "ELEVATES RISK"), ("d", 3.0, 0.0, "BENIGN ANCHOR")]
+
+
+def test_models_are_saved_and_fall_back(spark, tmp_path):
+    rows = spark.range(200).select("id", (F.col("id") % 2).cast("int").alias("y"), ((F.col("id") % 2) * 3 + F.rand(1)).alias("a"))
+    path, trained = f"file://{tmp_path}/model", []
+
+    def train():
+        trained.append(1)
+        return models.ensemble(rows, ["a"], "y", "id")
+
+    first = models.loaded(spark, path, train)
+    again = models.loaded(spark, path, train)
+    assert len(trained) == 1
+    scores = lambda m: [r["score"] for r in models.ensemble_score(m, rows).orderBy("id").limit(6).collect()]
+    assert scores(first) == scores(again) and scores(first)[0] < 0.5 < scores(first)[1]
+    without = again.copy()
+    without.stages = [s for s in again.stages if type(s).__name__ != "RandomForestClassificationModel"]
+    assert scores(without)[0] < 0.5 < scores(without)[1]
+    for f in (tmp_path / "model" / "metadata").iterdir():
+        f.unlink()
+    models.loaded(spark, path, train)
+    assert len(trained) == 2

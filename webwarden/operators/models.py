@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webwarden.operators.registry import balanced
+from webwarden.session import path_exists
+
+logger = logging.getLogger(__name__)
 
 #: Most rows of each label that a classifier is fitted on; scoring covers all rows.
 FIT_CAP = 20_000
@@ -35,13 +41,34 @@ def ensemble(train: DataFrame, features: list[str], label: str, key: str, cap: i
 
 
 def ensemble_score(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Rows with `score`, the weighted mean of the members' probabilities; the margin passes through a sigmoid."""
+    """Rows with `score`, the weighted mean of the members' probabilities; the margin passes through a sigmoid. Members
+    that the model lacks are left out, and the weights of the others count as a whole; without any, the score is 0.50."""
     out = model.transform(rows)
-    margin = 1 / (1 + F.exp(-vector_to_array("raw_margin")[1]))
-    score = WEIGHTS["forest"] * vector_to_array("q_forest")[1] + WEIGHTS["margin"] * margin + WEIGHTS["logit"] * vector_to_array("q_logit")[1]
+    parts = {
+        "forest": ("q_forest", lambda: vector_to_array("q_forest")[1]), "margin": ("raw_margin", lambda: 1 / (1 + F.exp(-vector_to_array("raw_margin")[1]))), "logit": ("q_logit", lambda: vector_to_array("q_logit")[1])
+    }
+    there = [k for k, (column, _) in parts.items() if column in out.columns]
+    score = sum((WEIGHTS[k] * parts[k][1]() for k in there), F.lit(0.0)) / sum(WEIGHTS[k] for k in there) if there else F.lit(0.5)
     return out.select(*rows.columns, F.round(score, 4).alias("score"))
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """Write a model to the shared folder, in place of one that is there."""
+    model.write().overwrite().save(path)
+
+
+def loaded(spark: SparkSession, path: str, train: Callable[[], PipelineModel]) -> PipelineModel:
+    """The model saved under a path. Where there is none, or what is there cannot be read, one is trained and saved."""
+    if path_exists(spark, path):
+        try:
+            return PipelineModel.load(path)
+        except Exception as e:  # a broken or foreign artefact: the default takes its place
+            logger.warning("no model could be read from %s: %s", path, str(e).splitlines()[0] if str(e) else type(e).__name__)
+    model = train()
+    save(model, path)
+    return model
+
+
 def metrics(scored: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
     """One row: rows, accuracy, precision, recall, f1, false positive rate, and the area under the curve by ranks,
     which are counted per distinct rounded score, so nothing is sorted in one task but at most 10,001 scores."""
