@@ -133,3 +133,5 @@ def test_evidence_on_every_page_of_a_host_is_subtracted(spark):
 def test_long_messages_are_evidence():
     long = "The page that you asked for was moved by our editors some time ago and, as far as we can tell from the records that the archive keeps of such moves, can therefore no longer be found under this address today"
     assert m.kind_of(long)[0] == m.ERROR
+    assert m.kind_of("Ray ID: 7f31c0aa9, reported by the proxy")[0] == m.ERROR and m.kind_of("Später steht hier Ihr Inhalt.")[0] == m.FILLER
+    assert m.kind_of("Incident 7334 was closed by the abuse desk.")[0] == m.CONTENT and m.kind_of("Your title")[0] == m.CONTENT

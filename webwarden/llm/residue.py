@@ -95,11 +95,11 @@ _GLUE = frozenset(
 )
 _STATUS = frozenset("400 401 402 403 404 405 406 407 408 409 410 411 412 413 414 415 416 417 418 421 422 423 424 425 426 428 429 431 451 500 501 502 503 504 505 506 507 508 510 511 520 521 522 523 524 525 526 527 530".split())
 _NAMES_STATUS = frozenset("error errors http https status code fehler erreur errore erro fout código codice fehlercode statuscode".split())
-_TRACE = re.compile(r"\b[A-Z]\w+(?:Error|Exception)\b|(?i:\bstack ?trace\b|\btraceback \(most recent call last\)|\bon line \d+|\bat line \d+|#0 \S+\()")
+_TRACE = re.compile(r"\b[A-Z]\w+(?:Error|Exception)\b|(?i:\bstack ?trace\b|\btraceback \(most recent call last\)|\bon line \d+|\bat line \d+|#0 \S+\(|\b(?:incident|ray|correlation|trace|error)(?: id| no| number)?[:#]? ?[0-9a-f-]*\d)")
 # Words for scripts.
 _SCRIPT_WORDS = frozenset("javascript javascripts js script scripts scripting skript skripte skripten ecmascript".split())
 #: Words without one of which a line is no message; the parts of _TOO and _AGAIN among them.
-_SIGNS = _FAILS | _DENIALS | _SCRIPT_WORDS | _CRIES | _STATUS | frozenset("too zu trop demasiado demasiada demasiados demasiadas troppe troppi troppo muita muitas muito muitos te timed time out try retry come check reload refresh versuchen später neu réessayez réessayer rechargez inténtelo intente intentar vuelva riprova riprovare riprovate ricarica torna tente tentar volte recarregue probeer herlaad trace traceback line".split())
+_SIGNS = _FAILS | _DENIALS | _SCRIPT_WORDS | _CRIES | _STATUS | frozenset("too zu trop demasiado demasiada demasiados demasiadas troppe troppi troppo muita muitas muito muitos te timed time out try retry come check reload refresh versuchen später neu réessayez réessayer rechargez inténtelo intente intentar vuelva riprova riprovare riprovate ricarica torna tente tentar volte recarregue probeer herlaad trace traceback line incident ray correlation".split())
 #: Hosts, paths, addresses and files in a sentence, which are things of the web too; in lower case.
 _ADDRESS = re.compile(r"(?<!\S)/[\w.%-]+(?:/[\w.%-]*)*|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|https?://\S*")
 
@@ -129,6 +129,8 @@ _FILLER_WORDS = frozenset(
 _FILLER_SIGNS = _FILLER_WORDS - frozenset("do in ad ex ea eu non id est et ut sit sed qui your here this with own title add in hier ihr ihren ihre steht später titel votre titre ici aquí su título qui tuo titolo aqui seu uw text content inhalt contenu contenido texte texto testo tekst conteúdo contenuto inhoud".split())
 #: The part of a line's words that must be filler, and the least number of words.
 FILLER_PART, FILLER_LEAST = 0.8, 2
+#: Small words alone are filler if a line has this many and nothing else.
+FILLER_WHOLE = 4
 #: Words of content up to which a page with evidence counts as having none: of any kind, or under an error heading;
 #: and the part of the filler's words that content may have in a page of filler.
 SPARE_WORDS, HEADED_WORDS, FILLED_PART = 6, 24, 0.5
@@ -183,8 +185,10 @@ def kind_of(text: str) -> tuple[int, bool]:
     words = _tokens(low)
     if not words:
         return CONTENT, False
-    if len(words) >= FILLER_LEAST and sum(map(_FILLER_WORDS.__contains__, words)) >= FILLER_PART * len(words) and not _FILLER_SIGNS.isdisjoint(words):
-        return FILLER, False
+    if len(words) >= FILLER_LEAST:
+        filler = sum(map(_FILLER_WORDS.__contains__, words))
+        if filler >= FILLER_PART * len(words) and (not _FILLER_SIGNS.isdisjoint(words) or filler == len(words) >= FILLER_WHOLE):
+            return FILLER, False
     own = set(words)
     if own.isdisjoint(_SIGNS) and not ("rror" in text or "xception" in text):
         return CONTENT, False
