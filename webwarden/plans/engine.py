@@ -116,7 +116,9 @@ for _i, (_, _new) in enumerate(_STEPS):
     _chain.append(f"y{_i + 1} AS (SELECT * EXCLUDE s, CASE WHEN c{_i} THEN least(1, {_new.format('s').replace('r.boost', 'boost')}) ELSE s END::DOUBLE AS s FROM {_last})")
     _last = f"y{_i + 1}"
 _lab = "SELECT DISTINCT url, label FROM (SELECT url, CASE WHEN matched_brand <> '' THEN 1 ELSE 0 END AS label FROM lexical_features UNION ALL SELECT official_login_url, 0 FROM protected_brands) WHERE url IS NOT NULL"
+_features = ", ".join(f"struct_pack(i := {i}, f := '{k}', x := ({e})::DOUBLE)" for i, (k, e) in enumerate(decisions._V.items()))
 SQL = {
+    "feature_importance": decisions._S + f", u AS (SELECT scan_id, unnest([{_features}]) AS q FROM v), o AS (SELECT scan_id, q.f AS feature, q.x AS x, row_number() OVER (PARTITION BY scan_id ORDER BY abs(round(q.x, 4)) DESC, q.i) - 1 AS place FROM u) SELECT scan_id, place::INT AS place, feature, round(round(x, 4) + 1e-9, 3) AS impact, CASE WHEN x > 0 THEN 'ELEVATES RISK' ELSE 'BENIGN ANCHOR' END AS direction FROM o WHERE place < 5",
     "score_elevation": decisions._S + ", " + ", ".join(_chain) + f" SELECT scan_id, round(s + 1e-9, 4)::DOUBLE AS score FROM {_last}",
     "rejected_requests": "SELECT CASE WHEN trim(coalesce(u, '')) = '' THEN 'blank' ELSE 'malformed' END AS reason, count(*) AS requests FROM (SELECT unnest([url, raw_domain, tld, ' ']) AS u FROM lexical_features) WHERE NOT coalesce(trim(u) <> '' AND (regexp_matches(trim(u), '(?i)^https?://') OR contains(u, '.')), false) GROUP BY 1",
     "source_labelled_urls": f"SELECT label::INT AS label, count(DISTINCT trim(url)) AS urls FROM ({_lab}) WHERE trim(url) <> '' AND NOT regexp_matches(url, '[\\t\\r\\n]') GROUP BY 1",

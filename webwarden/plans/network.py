@@ -9,6 +9,7 @@ from webwarden.functions import network as n
 from webwarden.functions.urls import host
 from webwarden.operators import instants
 from webwarden.plans.training import INSTANTS_OF_ALL, report_nodes, table
+from webwarden.plans.training import SQL as TRAINING_SQL
 from webwarden.plans.urls import brand_ids
 from webwarden.operators.shredding import entity_table
 
@@ -161,3 +162,16 @@ q AS (SELECT capture_id, alike AND f0 AS f, alike AND o0 AS o, alike AND s0 AS s
 SELECT capture_id, f OR o OR s OR d AS suspect, CASE WHEN d OR o THEN 'CRITICAL' WHEN f THEN 'HIGH' WHEN s THEN 'MEDIUM' ELSE 'NONE' END AS level, round(least(0.4, CASE WHEN f THEN 0.35 WHEN o THEN 0.4 WHEN s THEN 0.2 ELSE 0 END + 0.3 * d::INT)::DOUBLE, 4) AS boost FROM q""",
 }
 SQL["tls_days_to_expiry"] = INSTANTS_OF_ALL + "SELECT r.row_id AS probe_id, floor((r.utc_micros - epoch_us(t.probed_at)) / 86400000000.0)::BIGINT AS days_left FROM r JOIN tls_info t ON t.probe_id = r.row_id WHERE field_name = 'tls_info.valid_to' AND r.utc_micros IS NOT NULL"
+
+
+def _of_reports(sql: str) -> str:
+    """The SQL of redirect_graph over the hops that reports nest, a chain being a result of a report."""
+    for a, b in (
+        ("feature_id // 4 AS chain, feature_id % 4 AS hop,", "report_id, result_pos, child_pos AS hop,"), ("FROM lexical_features WHERE", f"FROM ({TRAINING_SQL['p6_hops']}) WHERE"),
+        ("PARTITION BY chain", "PARTITION BY report_id, result_pos"), ("SELECT chain,", "SELECT report_id, result_pos,"), ("GROUP BY chain", "GROUP BY report_id, result_pos"),
+    ):
+        sql = sql.replace(a, b)
+    return sql
+
+
+SQL["redirect_report_chains"] = _of_reports(SQL["redirect_graph"])
